@@ -1,6 +1,6 @@
 """All registered queries with their oracles."""
 
-from . import series_queries  # noqa: F401  (registers on import)
+from . import catalog_queries, series_queries  # noqa: F401  (register on import)
 from .roles import ORACLES, QUERIES
 from .series_queries import flagship
 
