@@ -1,7 +1,7 @@
 """All registered queries with their oracles."""
 
-from . import catalog_queries, series_queries  # noqa: F401  (register on import)
-from .roles import ORACLES, QUERIES
+from . import catalog_queries, feature_queries, series_queries  # noqa: F401  (register on import)
+from .roles import QUERIES, oracles
 from .series_queries import flagship
 
-__all__ = ["QUERIES", "ORACLES", "flagship"]
+__all__ = ["QUERIES", "oracles", "flagship"]

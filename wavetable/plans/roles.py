@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import blocks as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, str]] = {}
 CTE: dict[str, str] = {}
 _NEEDS: dict[str, tuple[str, ...]] = {}
 
@@ -39,6 +39,10 @@ def oracle(using: str, body: str) -> str:
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 
+def oracles() -> dict[str, str]:
+    return {name: oracle(using, body) for name, (using, body) in _SQL.items()}
+
+
 def query(name: str, using: str = "", sql: str | None = None):
     """Register a query and, if it can be said in SQL, its oracle."""
     def register(fn):
@@ -46,7 +50,7 @@ def query(name: str, using: str = "", sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = oracle(using, sql)
+            _SQL[name] = (using, sql)
         return fn
     return register
 
