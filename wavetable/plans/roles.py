@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import blocks as B
+from ..session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, tuple[str, str]] = {}
@@ -34,8 +35,9 @@ def oracle(using: str, body: str) -> str:
     """``body`` with the named derivations in front; it may start with WITH itself."""
     parts = [f"{n} AS ({CTE[n]})" for n in _expand(using.split())]
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join([*parts, body[5:]])
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ", ".join([*parts, body[len(head):]])
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 
@@ -57,6 +59,7 @@ def query(name: str, using: str = "", sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -179,7 +179,11 @@ def _(spark, sf):
     return R.frames_to_actions(frames(spark, sf), F.lit(29.97), F.lit(1.5))
 
 
-@query("simplify")
+@query("simplify", "frames", """WITH RECURSIVE x AS (SELECT series_id, frame_idx AS i, pos*100.0::DOUBLE AS x, lead(pos*100.0::DOUBLE) OVER (PARTITION BY series_id ORDER BY frame_idx) AS nx FROM frames),
+r AS (SELECT series_id, i, x AS last, true AS kept, x FROM x WHERE i = 0 UNION ALL
+    SELECT series_id, i, CASE WHEN k THEN x ELSE last END, k, x FROM (SELECT x.series_id, x.i, x.x, r.last,
+        x.nx IS NULL OR (x.x >= r.last AND x.x >= x.nx) OR (x.x <= r.last AND x.x <= x.nx) OR abs(x.x - (r.last + (x.nx - r.last)*0.5::DOUBLE)) > 2.0 AS k FROM r JOIN x ON x.series_id = r.series_id AND x.i = r.i + 1))
+SELECT series_id, i AS frame_idx, CAST(round_even(i*1000.0::DOUBLE/30.0::DOUBLE, 0) AS BIGINT) AS at_ms, CAST(round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, x)), 0) AS INTEGER) AS pos FROM r WHERE kept""")
 def _(spark, sf):
     return R.simplify(frames(spark, sf), F.lit(30.0), 2.0)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,35 @@ def build_session(app: str = "wavetable", master: str | None = None, **extra: st
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_wavetable_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="wavetable-package-"), "wavetable.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("wavetable", os.path.relpath(full, root)))
+    context.addPyFile(target)
+    context._wavetable_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder every executor sees: below ``spark.checkpoint.dir``, or temporary where that is unset."""
+    import uuid
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix=f"wavetable-{name}-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
