@@ -133,7 +133,7 @@ def test_sweep_equals_single_runs(spark, frames):
 def test_stats_sum_over_chunks(spark, frames):
     s = V.postprocess_stats(frames, 15.0, V.WaveConfig(chunk_seconds=8.0)).where("series_id = 'hot'").first()
     seg = V.postprocess_segments(frames, 15.0, V.WaveConfig(chunk_seconds=8.0)).where("series_id = 'hot'")
-    assert s["num_samples"] == 400 and s["num_chunks"] == 4
+    assert s["num_samples"] == 400 and s["num_chunks"] == 5
     assert seg.where("kind = 'cycle'").count() == s["num_normalized_cycles"]
     assert seg.where("kind = 'gradient'").count() == s["num_gradient_segments"]
 

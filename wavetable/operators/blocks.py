@@ -41,6 +41,15 @@ def with_block(df: DataFrame, order: Column | str, block: float) -> DataFrame:
     return df.withColumn(BLK, block_of(order, block))
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash by ``columns`` into all shuffle partitions.
+
+    For work that is heavy per byte, such as Python kernels: adaptive execution merges partitions by
+    their size and would leave a few tasks. It takes the place of the shuffle the grouping needs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 # ---------------------------------------------------------------- bounded frames
 
 

@@ -40,9 +40,9 @@ def best_pair(scenes: DataFrame, files: DataFrame, projections: Sequence[str] |
               min_duration: float = 60.0, ratio: bool = True, limit: int | None = None) -> DataFrame:
     """The most plausible pair of every scene: name similarity, then pixels, then duration, then paths.
 
-    Files that share a stem score alike, so copies collapse to the best of them before anything is
-    paired: what is scored is distinct names against distinct names, and the maximum is folded
-    map-side.
+    Files of equal name score alike, so copies collapse map-side to the best of them before anything
+    is paired: what is scored is distinct names against distinct names, and the maximum is folded
+    map-side again. Names are only taken apart for scenes that have both kinds of file.
     """
     px = F.coalesce(F.col("video_width"), F.lit(0)).cast("bigint") * F.coalesce(F.col("video_height"), F.lit(0))
     full = F.concat_ws("/", "path", "filename")
@@ -50,16 +50,17 @@ def best_pair(scenes: DataFrame, files: DataFrame, projections: Sequence[str] |
                         & (F.col("video_duration") >= min_duration))
     if projections:
         video = video.where(F.col("video_projection").isin(*projections))
+    script = files.where(F.col("type") == "script").groupBy("scene_id", "filename").agg(F.min(full).alias("script_path"))
+    script = script.drop("filename")
     rank = F.struct((-px).alias("px"), (-F.coalesce("video_duration", F.lit(0.0))).alias("dur"), full.alias("path"))
-    video = video.withColumn("_key", F.lower(S.stem(F.col("filename")))).groupBy("scene_id", "_key").agg(
+    video = video.join(script.select("scene_id"), "scene_id", "left_semi")
+    video = video.groupBy("scene_id", "filename").agg(
         F.min_by(F.struct(full.alias("video_path"), "video_width", "video_height",
                           F.coalesce("video_projection", F.lit("")).alias("projection"),
                           F.coalesce("video_duration", F.lit(0.0)).alias("duration")), rank).alias("_v"),
-        F.min(rank).alias("_rank"))
-    video = video.withColumn("_ta", S.name_tokens(F.col("_v.video_path"))).drop("_key")
-    script = files.where(F.col("type") == "script").withColumn("_key", F.lower(S.stem(F.col("filename"))))
-    script = script.groupBy("scene_id", "_key").agg(F.min(full).alias("script_path"))
-    script = script.withColumn("_tb", S.name_tokens(F.col("script_path"))).drop("_key")
+        F.min(rank).alias("_rank")).drop("filename")
+    video = video.withColumn("_ta", S.name_tokens(F.col("_v.video_path")))
+    script = script.withColumn("_tb", S.name_tokens(F.col("script_path")))
     named = scenes.where(F.col("is_scripted") == 1).select(F.col("id").alias("scene_id"), "title")
     pair = named.join(video, "scene_id").join(script, "scene_id")
     pair = pair.withColumn("similarity", S.name_similarity(F.col("_v.video_path"), F.col("script_path"),

@@ -169,24 +169,23 @@ def field_summary(fields: DataFrame, n: int = 64, layout: str = "compat") -> Dat
     df = df.withColumn("_y", F.transform("fy", lambda y: y.cast("double")))
     ch, cw = F.floor(F.col("h") / F.lit(side)).cast("int"), F.floor(F.col("w") / F.lit(side)).cast("int")
 
-    def part(name, cell):
-        r, c = divmod(cell, side)
-        return F.flatten(F.transform(F.sequence(F.lit(r) * ch, F.lit(r + 1) * ch - 1),
-                                     lambda i: F.slice(name, i * F.col("w") + F.lit(c) * cw + 1, cw)))
-
-    values: list[Column] = []
-    for cell in range(used):
-        m = part("_m", cell)
-        values += [_mean(m), _std(m), _mean(part("_x", cell)), _mean(part("_y", cell))]
+    def part(name, k):
+        r, c = F.floor(k / F.lit(side)).cast("int"), k % side
+        return F.flatten(F.transform(F.sequence(r * ch, (r + 1) * ch - 1),
+                                     lambda i: F.slice(name, i * F.col("w") + c * cw + 1, cw)))
+
+    # cells are cut out once, then summarised
+    df = df.withColumn("_cells", F.transform(F.sequence(F.lit(0), F.lit(used - 1)), lambda k: F.struct(
+        part("_m", k).alias("m"), part("_x", k).alias("x"), part("_y", k).alias("y"))))
+    grid = F.flatten(F.transform("_cells", lambda c: F.array(_mean(c["m"]), _std(c["m"]), _mean(c["x"]), _mean(c["y"]))))
     m, s = F.col("_m"), F.array_sort("_m")
     rank = F.lit(0.9) * (F.size(m) - 1)
     lo, hi = F.element_at(s, F.floor(rank).cast("int") + 1), F.element_at(s, F.ceil(rank).cast("int") + 1)
     angle = F.zip_with("_y", "_x", lambda y, x: F.atan2(y, x))
-    values += [_mean(m), _std(m), _mean(F.col("_x")), _mean(F.col("_y")), lo + (hi - lo) * (rank - F.floor(rank)),
-               _mean(angle)]
-    values = values[:n] + [F.lit(0.0)] * max(0, n - len(values))
-    return df.withColumn("f", F.array(*values)).drop("_m", "_x", "_y")
-
+    whole = F.array(_mean(m), _std(m), _mean(F.col("_x")), _mean(F.col("_y")), lo + (hi - lo) * (rank - F.floor(rank)),
+                    _mean(angle))
+    padded = F.concat(grid, whole, F.array_repeat(F.lit(0.0), max(0, n - used * 4 - 6)))
+    return df.withColumn("f", F.slice(padded, 1, n)).drop("_m", "_x", "_y", "_cells")
 
 def field_flip(fields: DataFrame, mode: str = "hflip") -> DataFrame:
     """Mirror a field left-right (negates x), top-bottom (negates y) or both."""

@@ -136,8 +136,9 @@ def systematic_sample(values: DataFrame, maximum: int = 20_000) -> DataFrame:
     ``values`` is long: key, pos (from 0), value.
     """
     sizes = values.groupBy("key").agg((F.max("pos") + 1).alias("_n"))
-    count = sizes.groupBy(F.lit(1).alias("_one")).agg(F.count("*").alias("_keys"))   # one row
-    sizes = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(count), "_one")
+    # the number of keys is one row; copies of it, one per bucket, meet the keys by an equi-join
+    count = sizes.groupBy().agg(F.count("*").alias("_keys")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    sizes = sizes.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(64)).cast("int")).join(F.broadcast(count), "_b")
     cap = F.greatest(F.lit(32), F.floor(F.lit(maximum) / F.col("_keys")))
     sizes = sizes.withColumn("_cap", cap).withColumn(
         "_step", F.when(F.col("_n") <= F.col("_cap"), 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_cap")))))

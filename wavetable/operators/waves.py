@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import kernels
 from .blocks import (BLOCK_FRAMES, Carry, Key, Running, attach, block_window, halo_columns, keys, own_rows,
-                     range_join, scan, with_halo)
+                     range_join, scan, spread, with_halo)
 from .resample import clip01
 
 
@@ -105,10 +105,10 @@ def smooth_gaussian(frames: DataFrame, fps: float, sigma_seconds: float = 0.12,
 
 def gradient(frames: DataFrame, x: str = "pos", *, out: str = "gradient", series: Key = "series_id",
              block: int = BLOCK_FRAMES) -> DataFrame:
-    """Central difference, one-sided at the ends."""
+    """Central difference, one-sided at the ends; 0 for a single frame."""
     w = block_window(series)
     a, b, c = F.lag(x).over(w), F.col(x), F.lead(x).over(w)
-    return halo_columns(frames, [(out, F.coalesce((c - a) / F.lit(2.0), c - b, b - a))], 1, 1,
+    return halo_columns(frames, [(out, F.coalesce((c - a) / F.lit(2.0), c - b, b - a, F.lit(0.0)))], 1, 1,
                         series=series, block=block)
 
 
@@ -263,18 +263,21 @@ def _process_chunks(frames: DataFrame, config: WaveConfig, fps: float, series: K
     data = frames.select(*by, "frame_idx", F.col(x).cast("float").alias("pos"))
     chunks = chunk_table(lengths_of(data, series=series), size, overlap).drop("n")
     chunked = chunk_frames(data, chunks, series=series, block=block)
-    schema = chunked.select(*by, "chunk", "start", "end", "fade_in", "fade_out", "frame_idx", "pos").schema
-    names = schema.fieldNames()
-
-    def clean(pdf):
-        pdf = pdf.sort_values("frame_idx", kind="stable")
-        values, stats = kernels.clean_wave(pdf["pos"].to_numpy(), fps, config)
-        pdf = pdf[[c for c in names]].assign(pos=values)
-        pdf["_stats"] = None
-        pdf.iloc[0, pdf.columns.get_loc("_stats")] = kernels.stats_json(stats, int(pdf["start"].iloc[0]))
-        return pdf
-
-    out = chunked.groupBy(*by, "chunk").applyInPandas(clean, schema.add("_stats", "string"))
+    chunked = chunked.select(*by, "chunk", "start", "end", "fade_in", "fade_out", "frame_idx", "pos")
+
+    def clean(rows):
+        import numpy as np
+        import pyarrow as pa
+        order = np.argsort(rows["frame_idx"].to_numpy(), kind="stable")
+        values, stats = kernels.clean_wave(rows["pos"].to_numpy()[order], fps, config)
+        pos = np.empty_like(values)
+        pos[order] = values
+        told = [kernels.stats_json(stats, rows["start"][0].as_py())] + [None] * (len(pos) - 1)
+        out = rows.set_column(rows.schema.get_field_index("pos"), "pos", pa.array(pos, pa.float32()))
+        return out.append_column("_stats", pa.array(told, pa.string()))
+
+    grouped = spread(chunked, *by, "chunk").groupBy(*by, "chunk")
+    out = grouped.applyInArrow(clean, chunked.schema.add("_stats", "string"))
     return out, overlap
 
 
@@ -334,16 +337,21 @@ def postprocess_sweep(frames: DataFrame, fps: float, configs: list[WaveConfig],
     by = keys(series)
     data = frames.select(*by, "frame_idx", F.col(x).cast("float").alias("pos"))
     chunks = chunk_table(lengths_of(data, series=series), size, overlap).drop("n")
-    chunked = chunk_frames(data, chunks, series=series, block=block).withColumn("config_id", F.lit(0))
-    schema = chunked.select("config_id", *by, "chunk", "start", "end", "fade_in", "fade_out", "frame_idx", "pos").schema
-    names = schema.fieldNames()
-
-    def clean(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("frame_idx", kind="stable")[names]
-        raw = pdf["pos"].to_numpy()
-        return pd.concat([pdf.assign(config_id=i, pos=kernels.clean_wave(raw, fps, c)[0])
-                          for i, c in enumerate(configs)])
-
-    out = chunked.groupBy(*by, "chunk").applyInPandas(clean, schema)
+    chunked = chunk_frames(data, chunks, series=series, block=block)
+    chunked = chunked.select(F.lit(0).alias("config_id"), *by, "chunk", "start", "end", "fade_in", "fade_out", "frame_idx", "pos")
+
+    def clean(rows):
+        import numpy as np
+        import pyarrow as pa
+        order = np.argsort(rows["frame_idx"].to_numpy(), kind="stable")
+        raw = rows["pos"].to_numpy()[order]
+        parts = []
+        for i, c in enumerate(configs):
+            pos = np.empty_like(raw)
+            pos[order] = kernels.clean_wave(raw, fps, c)[0]
+            part = rows.set_column(0, "config_id", pa.array(np.full(len(pos), i, dtype=np.int32)))
+            parts.append(part.set_column(part.schema.get_field_index("pos"), "pos", pa.array(pos, pa.float32())))
+        return pa.concat_tables(parts)
+
+    out = spread(chunked, *by, "chunk").groupBy(*by, "chunk").applyInArrow(clean, chunked.schema)
     return taper_blend(out, overlap, series=["config_id", *by])

@@ -245,7 +245,7 @@ def _(spark, sf):
 
 
 cte("graded", """SELECT series_id, frame_idx, pos, coalesce((lead(pos) OVER w - lag(pos) OVER w)/2.0::DOUBLE,
-    lead(pos) OVER w - pos, pos - lag(pos) OVER w) AS gradient FROM frames WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)""", "frames")
+    lead(pos) OVER w - pos, pos - lag(pos) OVER w, 0) AS gradient FROM frames WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)""", "frames")
 
 
 @query("gradient", "graded", "SELECT series_id, frame_idx, pos, gradient FROM graded")
