@@ -173,9 +173,8 @@ def attach(frames: DataFrame, per_series: DataFrame, *, length: str, series: Key
     ``length`` names the column of ``per_series`` with the number of frames. Each row is copied
     once per block of its series, so a long series spreads over as many tasks as it has blocks.
     """
-    blocks = F.sequence(F.lit(0).cast("bigint"),
-                        F.greatest(F.ceil(F.col(length) / F.lit(block)) - 1, F.lit(0)).cast("bigint"))
-    copies = per_series.withColumn(BLK, F.explode(blocks))
+    last = F.greatest(F.ceil(F.col(length) / F.lit(block)) - 1, F.lit(0))
+    copies = explode_range(per_series, F.lit(0), last, BLK)
     return with_block(frames, order, block).join(copies, [*keys(series), BLK], how).drop(BLK)
 
 
@@ -203,11 +202,18 @@ def range_join(points: DataFrame, ranges: DataFrame, *, at: str, lo: str, hi: st
     return pts.join(ranges, on, how).drop(BLK, *[f"_r_{c}" for c in [*by, BLK]])
 
 
-def explode_range(df: DataFrame, lo: Column, hi: Column, name: str, step: int = 4096) -> DataFrame:
-    """One row per integer in ``[lo, hi]``, in two steps so that no array grows with the range."""
+def explode_range(df: DataFrame, lo: Column, hi: Column, name: str, step: int = 4096,
+                  rebalance: bool = False) -> DataFrame:
+    """One row per integer in ``[lo, hi]``, in two steps so that no array grows with the range.
+
+    ``rebalance`` shuffles the rows of the first step, one per ``step`` results, so that a single
+    long range is expanded by many tasks.
+    """
     lo, hi = lo.cast("bigint"), hi.cast("bigint")
     out = (df.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_hi") >= F.col("_lo"))
              .withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(step).cast("bigint")))))
+    if rebalance:
+        out = spread(out, *out.columns)
     out = out.withColumn(name, F.explode(F.sequence(
         F.col("_from"), F.least(F.col("_from") + F.lit(step - 1), F.col("_hi")))))
     return out.drop("_lo", "_hi", "_from")

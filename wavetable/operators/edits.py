@@ -56,7 +56,8 @@ def edit_labels(lengths: DataFrame, points: DataFrame, base: DataFrame | None =
     last edit. Two or three points give a line or parabola.
     """
     by = keys(series)
-    grid = explode_range(lengths.select(*by, "n").where(F.col("n") > 0), F.lit(0), F.col("n") - 1, "frame_idx")
+    grid = explode_range(lengths.select(*by, "n").where(F.col("n") > 0), F.lit(0), F.col("n") - 1, "frame_idx",
+                         rebalance=True)
     grid = grid.withColumn("frame_idx", F.col("frame_idx").cast("int")).drop("n")
     if base is None:
         out = grid.withColumn("pos", F.lit(0.0))

@@ -8,18 +8,22 @@ from .blocks import Key, keys
 
 
 def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "series_id",
-                   out: str = "threshold", resolution: float = 1024.0) -> DataFrame:
+                   out: str = "threshold", resolution: float = 1024.0, length: str | None = None,
+                   order: str = "frame_idx") -> DataFrame:
     """Linear quantile of ``value`` per series, equal to sorting the series.
 
     Pass 1 counts values in bins of width ``1/resolution``, which combines map-side and leaves
     one row per series and bin. Pass 2 looks only at the one or two bins that hold the wanted
-    ranks. No task ever holds a series.
+    ranks. No task ever holds a series. ``length`` names an extra column with the number of frames,
+    which the first pass sees anyway.
     """
     by = keys(series)
-    v = df.select(*by, value.alias("_v")).where(F.col("_v").isNotNull())
+    v = df.select(*by, value.alias("_v"), *([F.col(order).alias("_i")] if length else [])).where(F.col("_v").isNotNull())
     v = v.withColumn("_bin", F.floor(F.col("_v") * F.lit(resolution)))
     run = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = v.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    bins = v.groupBy(*by, "_bin").agg(F.count("*").alias("_n"), *([F.max("_i").alias("_top")] if length else []))
+    if length:
+        bins = bins.withColumn("_top", F.max("_top").over(W.partitionBy(*by)) + 1)
     bins = (bins.withColumn("_cum", F.sum("_n").over(run))
                 .withColumn("_rank", F.lit(q) * (F.sum("_n").over(W.partitionBy(*by)) - 1)))
     bins = (bins.withColumn("_lo", F.floor("_rank")).withColumn("_hi", F.ceil("_rank"))
@@ -36,8 +40,10 @@ def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "ser
         return F.max(F.when(hit, F.col("_v")))
 
     picked = near.groupBy(*by).agg(at("_lo").alias("_a"), at("_hi").alias("_b"),
-                                   F.max(F.col("_rank") - F.col("_lo")).alias("_f"))
-    return picked.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out))
+                                   F.max(F.col("_rank") - F.col("_lo")).alias("_f"),
+                                   *([F.max("_top").alias(length)] if length else []))
+    return picked.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out),
+                         *([length] if length else []))
 
 
 def seeded_hash(seed: int, *columns: Column | str) -> Column:

@@ -61,7 +61,7 @@ def frame_grid(segments: DataFrame, *, frames: str = "total_frames", fps: str =
                start_sec: str | None = None) -> DataFrame:
     """One row per frame: index and time in milliseconds. Without a valid rate there is no grid."""
     valid = segments.where((F.col(fps) > 0) & (F.col(frames) > 0))
-    out = explode_range(valid, F.lit(0), F.col(frames) - 1, "frame_idx")
+    out = explode_range(valid, F.lit(0), F.col(frames) - 1, "frame_idx", rebalance=True)
     out = out.withColumn("frame_idx", F.col("frame_idx").cast("int"))
     return out.withColumn("t_ms", grid_time(F.col("frame_idx"), F.col(fps),
                                             F.col(start_sec) if start_sec else None))
@@ -205,12 +205,12 @@ def resample(actions: DataFrame, segments: DataFrame, kind: str = "pchip", *, se
     last_i = F.col("_n") - 1
     before = explode_range(
         held, F.lit(0), F.when(F.col("_ka").isNull(), last_i)
-                         .otherwise(F.least(last_i, F.ceil(index_at(F.col("_ka"))) + 1)), "frame_idx")
+                         .otherwise(F.least(last_i, F.ceil(index_at(F.col("_ka"))) + 1)), "frame_idx", rebalance=True)
     before = (before.withColumn("t_ms", t_of(F.col("frame_idx")))
                     .where(F.col("_ka").isNull() | (F.col("t_ms") < F.col("_ka")))
                     .withColumn("pos", F.coalesce("_pa", F.lit(0.0))))
     after = explode_range(held.where(F.col("_kb").isNotNull()),
-                          F.greatest(F.lit(0), F.floor(index_at(F.col("_kb"))) - 1), last_i, "frame_idx")
+                          F.greatest(F.lit(0), F.floor(index_at(F.col("_kb"))) - 1), last_i, "frame_idx", rebalance=True)
     after = (after.withColumn("t_ms", t_of(F.col("frame_idx")))
                   .where(F.col("t_ms") >= F.col("_kb")).withColumn("pos", F.col("_pb")))
 

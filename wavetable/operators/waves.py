@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
-from .blocks import (BLOCK_FRAMES, Carry, Key, Running, attach, block_window, halo_columns, keys, own_rows,
+from .blocks import (BLOCK_FRAMES, Carry, Key, Running, attach, block_window, explode_range, halo_columns, keys, own_rows,
                      range_join, scan, spread, with_halo)
 from .resample import clip01
 
@@ -210,7 +211,7 @@ def chunk_table(lengths: DataFrame, size: int, overlap: int, *, n: str = "n") ->
         raise ValueError("a chunk must be longer than the overlap plus two frames")
     step = max(1, size - overlap)
     last = F.greatest(F.ceil((F.col(n) - size) / F.lit(step)), F.lit(0)).cast("bigint")
-    out = lengths.where(F.col(n) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    out = explode_range(lengths.where(F.col(n) > 0), F.lit(0), last, "chunk", rebalance=True)
     start = F.col("chunk") * step
     end = F.least(F.col(n).cast("bigint"), start + size)
     return (out.withColumn("start", start).withColumn("end", end)
@@ -256,29 +257,57 @@ def _config_fields() -> str:
     return ", ".join(f"{f.name}: {types[f.type]}" for f in fields(WaveConfig))
 
 
-def _process_chunks(frames: DataFrame, config: WaveConfig, fps: float, series: Key, x: str,
-                    block: int) -> tuple[DataFrame, int]:
-    size, overlap = config.chunking(fps)
-    by = keys(series)
-    data = frames.select(*by, "frame_idx", F.col(x).cast("float").alias("pos"))
-    chunks = chunk_table(lengths_of(data, series=series), size, overlap).drop("n")
-    chunked = chunk_frames(data, chunks, series=series, block=block)
-    chunked = chunked.select(*by, "chunk", "start", "end", "fade_in", "fade_out", "frame_idx", "pos")
+def _cut(frames: DataFrame, size: int, overlap: int, series: Key, x: str) -> DataFrame:
+    """Every frame in the chunks it may belong to, from its index alone.
+
+    A chunk also gets the frame after its end, which tells that the series goes on; a chunk that
+    would hold nothing beyond the overlap of the one before does not exist and is dropped later.
+    """
+    step = max(1, size - overlap)
+    i = F.col("frame_idx")
+    first = F.greatest(F.ceil((i - size) / F.lit(step)), F.lit(0)).cast("bigint")
+    last = F.floor(i / F.lit(step)).cast("bigint")
+    out = frames.select(*keys(series), "frame_idx", F.col(x).cast("float").alias("pos"),
+                        F.explode(F.sequence(first, last)).alias("chunk"))
+    return spread(out, *keys(series), "chunk")
+
+
+def _process_chunks(frames: DataFrame, configs: list[WaveConfig], fps: float, series: Key,
+                    x: str) -> tuple[DataFrame, int]:
+    """Cut, and clean each chunk under every configuration: one shuffle before the kernel.
+
+    A chunk has a fixed number of frames, so a task holds a fixed amount whatever the series.
+    """
+    (size, overlap), by = configs[0].chunking(fps), keys(series)
+    step = max(1, size - overlap)
+    cut = _cut(frames, size, overlap, series, x)
+    schema = T.StructType([cut.schema[c] for c in (*by, "frame_idx", "pos", "chunk")])
+    for name, kind in (("start", T.LongType()), ("end", T.LongType()), ("fade_in", T.BooleanType()),
+                       ("fade_out", T.BooleanType()), ("config_id", T.IntegerType()), ("_stats", T.StringType())):
+        schema = schema.add(name, kind)
+    out_schema = to_arrow_schema(schema)
 
     def clean(rows):
         import numpy as np
         import pyarrow as pa
-        order = np.argsort(rows["frame_idx"].to_numpy(), kind="stable")
-        values, stats = kernels.clean_wave(rows["pos"].to_numpy()[order], fps, config)
-        pos = np.empty_like(values)
-        pos[order] = values
-        told = [kernels.stats_json(stats, rows["start"][0].as_py())] + [None] * (len(pos) - 1)
-        out = rows.set_column(rows.schema.get_field_index("pos"), "pos", pa.array(pos, pa.float32()))
-        return out.append_column("_stats", pa.array(told, pa.string()))
+        rows = rows.take(pa.array(np.argsort(rows["frame_idx"].to_numpy(), kind="stable")))
+        chunk, n = rows["chunk"][0].as_py(), min(rows.num_rows, size)
+        if chunk > 0 and n <= overlap:
+            return pa.table({f.name: pa.array([], f.type) for f in out_schema})
+        more, rows, start = rows.num_rows > size, rows.slice(0, n), chunk * step
+        raw, parts = rows["pos"].to_numpy(), []
+        same = lambda v, kind: pa.array(np.full(n, v), kind)
+        for c, config in enumerate(configs):
+            values, stats = kernels.clean_wave(raw, fps, config)
+            columns = [rows[name].combine_chunks() if name != "pos" else pa.array(values, pa.float32())
+                       for name in (*by, "frame_idx", "pos", "chunk")]
+            told = pa.array([kernels.stats_json(stats, start)] + [None] * (n - 1), pa.string())
+            parts.append(pa.Table.from_arrays([
+                *columns, same(start, pa.int64()), same(start + n, pa.int64()), same(chunk > 0, pa.bool_()),
+                same(more, pa.bool_()), same(c, pa.int32()), told], schema=out_schema))
+        return pa.concat_tables(parts)
 
-    grouped = spread(chunked, *by, "chunk").groupBy(*by, "chunk")
-    out = grouped.applyInArrow(clean, chunked.schema.add("_stats", "string"))
-    return out, overlap
+    return cut.groupBy(*by, "chunk").applyInArrow(clean, schema), overlap
 
 
 STATS_SCHEMA = ("num_samples bigint, num_troughs bigint, num_normalized_cycles bigint, "
@@ -290,17 +319,17 @@ COUNTS = ("num_troughs", "num_normalized_cycles", "num_gradient_segments", "num_
 
 
 def postprocess(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig(), x: str = "pos", *,
-                series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
+                series: Key = "series_id") -> DataFrame:
     """Clean every series. The unit of work is one chunk, whatever the length of the series."""
-    out, overlap = _process_chunks(frames, config, fps, series, x, block)
+    out, overlap = _process_chunks(frames, [config], fps, series, x)
     return taper_blend(out, overlap, series=series)
 
 
 def postprocess_stats(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig(), x: str = "pos", *,
-                      series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
+                      series: Key = "series_id") -> DataFrame:
     """What the clean-up did per series. Counts sum over chunks (overlaps count twice), the
     thresholds are the largest of any chunk."""
-    out, _ = _process_chunks(frames, config, fps, series, x, block)
+    out, _ = _process_chunks(frames, [config], fps, series, x)
     rows = out.where(F.col("_stats").isNotNull()).select(
         *keys(series), "chunk", "end", F.from_json("_stats", STATS_SCHEMA).alias("s"))
     return rows.groupBy(*keys(series)).agg(
@@ -311,9 +340,9 @@ def postprocess_stats(frames: DataFrame, fps: float, config: WaveConfig = WaveCo
 
 
 def postprocess_segments(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig(), x: str = "pos", *,
-                         series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
+                         series: Key = "series_id") -> DataFrame:
     """The segments the clean-up changed, one row each: kind, chunk and ``[start, end)``."""
-    out, _ = _process_chunks(frames, config, fps, series, x, block)
+    out, _ = _process_chunks(frames, [config], fps, series, x)
     rows = out.where(F.col("_stats").isNotNull()).select(
         *keys(series), "chunk", F.from_json("_stats", STATS_SCHEMA).alias("s"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s.{k}_segments").alias("list"))
@@ -324,34 +353,12 @@ def postprocess_segments(frames: DataFrame, fps: float, config: WaveConfig = Wav
 
 
 def postprocess_sweep(frames: DataFrame, fps: float, configs: list[WaveConfig], x: str = "pos", *,
-                      series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
+                      series: Key = "series_id") -> DataFrame:
     """Many configurations over the same series in one job, keyed by ``config_id``.
 
-    Every configuration becomes part of the series key. They share the chunk layout, so that the
-    frames are read and cut once.
+    They share the chunk layout, so the frames are read, cut and shuffled once.
     """
-    layouts = {c.chunking(fps) for c in configs}
-    if len(layouts) != 1:
+    if len({c.chunking(fps) for c in configs}) != 1:
         raise ValueError("all configurations of a sweep must share chunk length and overlap")
-    (size, overlap), = layouts
-    by = keys(series)
-    data = frames.select(*by, "frame_idx", F.col(x).cast("float").alias("pos"))
-    chunks = chunk_table(lengths_of(data, series=series), size, overlap).drop("n")
-    chunked = chunk_frames(data, chunks, series=series, block=block)
-    chunked = chunked.select(F.lit(0).alias("config_id"), *by, "chunk", "start", "end", "fade_in", "fade_out", "frame_idx", "pos")
-
-    def clean(rows):
-        import numpy as np
-        import pyarrow as pa
-        order = np.argsort(rows["frame_idx"].to_numpy(), kind="stable")
-        raw = rows["pos"].to_numpy()[order]
-        parts = []
-        for i, c in enumerate(configs):
-            pos = np.empty_like(raw)
-            pos[order] = kernels.clean_wave(raw, fps, c)[0]
-            part = rows.set_column(0, "config_id", pa.array(np.full(len(pos), i, dtype=np.int32)))
-            parts.append(part.set_column(part.schema.get_field_index("pos"), "pos", pa.array(pos, pa.float32())))
-        return pa.concat_tables(parts)
-
-    out = spread(chunked, *by, "chunk").groupBy(*by, "chunk").applyInArrow(clean, chunked.schema)
-    return taper_blend(out, overlap, series=["config_id", *by])
+    out, overlap = _process_chunks(frames, configs, fps, series, x)
+    return taper_blend(out, overlap, series=["config_id", *keys(series)])

@@ -6,14 +6,20 @@ from collections.abc import Callable
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import BLOCK_FRAMES, Key, explode_range, keys, range_join
+from .blocks import BLK, BLOCK_FRAMES, OWN, Key, explode_range, keys, range_join, spread, with_halo
+from ..session import cut_lineage
 from .order_stats import seeded_hash, smallest_by
 
 
+BLOCK_PREDICT = 8192
+
+
 def window_index(lengths: DataFrame, seq: int = 120, stride: int = 60, *, n: str = "n") -> DataFrame:
     """Starts 0, stride, ... of the windows that fit; no tail."""
-    out = explode_range(lengths.where(F.col(n) >= seq), F.lit(0), F.floor((F.col(n) - seq) / F.lit(stride)), "_k")
+    out = explode_range(lengths.where(F.col(n) >= seq), F.lit(0), F.floor((F.col(n) - seq) / F.lit(stride)), "_k",
+                        rebalance=True)
     return out.withColumn("start", (F.col("_k") * stride).cast("int")).drop("_k")
 
 
@@ -125,13 +131,68 @@ def blend_windows(scored: DataFrame, seq: int, *, series: Key = "series_id") ->
 
 
 def sliding_predict(frames: DataFrame, scorer: Callable, column: str = "pos", seq: int = 120, stride: int = 60, *,
-                    zero: Column | None = None, series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
-    """Index, cut, score and blend; every frame of every series gets a prediction."""
-    lengths = frames.groupBy(*keys(series)).agg((F.max("frame_idx") + 1).alias("n"))
-    index = window_index_full(lengths, seq, stride)
-    w = materialize_windows(frames, index, [column], seq, pad={column: F.lit(0.0) if zero is None else zero},
-                            series=series, block=block)
-    return blend_windows(score_windows(w, scorer, column, series=series), seq, series=series)
+                    series: Key = "series_id", block: int = BLOCK_PREDICT) -> DataFrame:
+    """Index, cut, score and blend; every frame of every series gets a prediction per channel.
+
+    Same result as the single steps, in one shuffle: a stretch of ``block`` frames with a window
+    length on each side sees every window that touches its own frames, so windows are neither
+    shuffled nor stored and blending stays inside the task. A series ends where the halo does.
+    """
+    by = keys(series)
+    data = with_halo(frames.select(*by, "frame_idx", F.col(column).alias("_x")), seq, seq, block=block).drop(OWN)
+    kinds = frames.select(*by).schema
+    schema = T.StructType([*kinds.fields, T.StructField("frame_idx", T.IntegerType()),
+                           T.StructField("channel", T.IntegerType()), T.StructField("pos", T.DoubleType())])
+
+    def predict(rows):
+        import numpy as np
+        import pyarrow as pa
+        idx = rows["frame_idx"].to_numpy()
+        order = np.argsort(idx, kind="stable")
+        idx = idx[order]
+        if len(idx) > 1 and (np.diff(idx) != 1).any():
+            raise ValueError("frame indices must be dense")
+        raw = rows["_x"].combine_chunks()
+        x = raw.flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1) if pa.types.is_list(raw.type) \
+            else raw.to_numpy(zero_copy_only=False)
+        x = np.asarray(x, dtype=np.float64)[order]
+        base, top = int(idx[0]), int(idx[-1]) + 1
+        lo = rows[BLK][0].as_py() * block
+        hi = min(lo + block, top)
+        first = max(0, -(-(lo - seq + 1) // stride) * stride)
+        starts = [s for s in range(first, hi, stride) if s + seq <= top]
+        if top < lo + block + seq and top > lo:          # the series ends here
+            if top < seq:
+                starts, x = [0], np.concatenate([x, np.zeros((seq - top, *x.shape[1:]))])
+            elif (top - seq) % stride:
+                starts.append(top - seq)
+        empty = pa.table({f.name: pa.array([], f.type) for f in out_schema})
+        if hi <= lo or not starts:
+            return empty
+        weight = 1.0 - np.abs(2.0 * np.arange(seq) / max(seq - 1, 1) - 1.0) + 0.01 if seq > 1 else np.array([1.01])
+        total, norm = None, np.zeros(top - base + seq)
+        for b in range(0, len(starts), 256):
+            part = starts[b:b + 256]
+            y = np.asarray(scorer(np.stack([x[s - base:s - base + seq] for s in part])), dtype=np.float64)
+            y = y[:, None, :] if y.ndim == 2 else y
+            if y.ndim != 3:
+                raise ValueError(f"unsupported prediction shape {y.shape}")
+            total = np.zeros((y.shape[1], len(norm))) if total is None else total
+            for s, p in zip(part, y):
+                total[:, s - base:s - base + seq] += p * weight
+                norm[s - base:s - base + seq] += weight
+        own = np.arange(lo, hi)
+        hit = own[norm[own - base] > 0]
+        channels = total.shape[0]
+        values = total[:, hit - base] / norm[hit - base]
+        n = len(hit) * channels
+        fixed = [pa.array([rows[c][0].as_py()] * n, out_schema.field(c).type) for c in by]
+        return pa.Table.from_arrays([*fixed, pa.array(np.tile(hit, channels).astype(np.int32)),
+                                     pa.array(np.repeat(np.arange(channels), len(hit)).astype(np.int32)),
+                                     pa.array(values.reshape(-1))], schema=out_schema)
+
+    out_schema = to_arrow_schema(schema)
+    return spread(data, *by, BLK).groupBy(*by, BLK).applyInArrow(predict, schema)
 
 
 # ---------------------------------------------------------------- subsets
@@ -224,7 +285,8 @@ def choose_segments_by_bin(videos: DataFrame, analysis: DataFrame, bins: DataFra
 
     ``count`` rounds each take the first remaining candidate of every video by a map-side minimum
     and drop what overlaps it, so no task gathers the candidates of a video. All videos of a batch
-    see one snapshot of the bin counts.
+    see one snapshot of the bin counts. The candidates and each pick are checkpointed, so the rounds
+    do not repeat one another.
     """
     open_bins = bins.where(~F.col("bin_id").isin(*blacklist)) if blacklist else bins
     target = open_bins.orderBy("count", "bin_id").limit(3)
@@ -236,9 +298,9 @@ def choose_segments_by_bin(videos: DataFrame, analysis: DataFrame, bins: DataFra
     cand = cand.join(videos.select(scene, duration), scene).where(
         F.col("start_time_sec") + F.lit(float(segment_sec)) <= F.col(duration))
     cand = cand.withColumn("_h", seeded_hash(seed, scene, "start_time_sec"))
-    picks = []
+    cand, picks = cut_lineage(cand), []
     for _ in range(count):
-        best = cand.groupBy(scene).agg(F.min_by(F.struct(duration, "start_time_sec"), F.struct("_h", "start_time_sec")).alias("_b"))
+        best = cut_lineage(cand.groupBy(scene).agg(F.min_by(F.struct(duration, "start_time_sec"), F.struct("_h", "start_time_sec")).alias("_b")))
         picks.append(best.select(scene, f"_b.{duration}", F.col("_b.start_time_sec").alias("segment_start_sec")))
         cand = cand.join(best.select(scene, F.col("_b.start_time_sec").alias("_t")), scene)
         cand = cand.where(F.abs(F.col("start_time_sec") - F.col("_t")) >= F.lit(float(segment_sec))).drop("_t")

@@ -253,12 +253,20 @@ def _(spark, sf):
     return V.gradient(frames(spark, sf))
 
 
-@query("gradient_thresholds", "graded", """WITH q AS (SELECT series_id, quantile_cont(abs(gradient), 0.25) AS l, quantile_cont(abs(gradient), 0.9) AS h
-    FROM graded WHERE abs(gradient) > 0 GROUP BY series_id), s AS (SELECT DISTINCT series_id FROM graded)
-SELECT s.series_id, round(coalesce(greatest(0.00075::DOUBLE, l), 0), 10) AS low, round(coalesce(greatest(h, greatest(0.00075::DOUBLE, l)), 0), 10) AS high
-FROM s LEFT JOIN q USING (series_id)""")
+CHUNK = ["series_id", "chunk"]
+
+
+def chunked_gradient(spark, sf):
+    """Gradients with the number of a chunk of 50 frames: thresholds belong to a chunk."""
+    return V.gradient(frames(spark, sf)).withColumn("chunk", F.floor(F.col("frame_idx") / 50))
+
+
+@query("gradient_thresholds", "graded", """WITH chunked AS (SELECT *, frame_idx // 50 AS chunk FROM graded), q AS (SELECT series_id, chunk, quantile_cont(abs(gradient), 0.25) AS l, quantile_cont(abs(gradient), 0.9) AS h
+    FROM chunked WHERE abs(gradient) > 0 GROUP BY ALL), s AS (SELECT DISTINCT series_id, chunk FROM chunked)
+SELECT s.series_id, s.chunk, round(coalesce(greatest(0.00075::DOUBLE, l), 0), 10) AS low, round(coalesce(greatest(h, greatest(0.00075::DOUBLE, l)), 0), 10) AS high
+FROM s LEFT JOIN q USING (series_id, chunk)""")
 def _(spark, sf):
-    return rounded(V.gradient_thresholds(V.gradient(frames(spark, sf)), chunk="series_id"), "low", "high", digits=10)
+    return rounded(V.gradient_thresholds(chunked_gradient(spark, sf), chunk=CHUNK), "low", "high", digits=10)
 
 
 RUNS = """isl AS (SELECT series_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY series_id ORDER BY frame_idx) AS g
@@ -277,8 +285,8 @@ def _(spark, sf):
     return V.merge_runs(V.runs(frames(spark, sf), F.col("pos") >= 0.3, block=16), 2, block=16)
 
 
-GRADSEG = """q AS (SELECT series_id, quantile_cont(abs(gradient), 0.25) AS l, quantile_cont(abs(gradient), 0.9) AS h FROM graded WHERE abs(gradient) > 0 GROUP BY series_id),
-b AS (SELECT g.*, greatest(0.00075::DOUBLE, l) AS low, greatest(h, greatest(0.00075::DOUBLE, l)) AS high FROM graded g JOIN q USING (series_id)),
+GRADSEG = """q AS (SELECT series_id, frame_idx // 50 AS chunk, quantile_cont(abs(gradient), 0.25) AS l, quantile_cont(abs(gradient), 0.9) AS h FROM graded WHERE abs(gradient) > 0 GROUP BY ALL),
+b AS (SELECT g.*, greatest(0.00075::DOUBLE, l) AS low, greatest(h, greatest(0.00075::DOUBLE, l)) AS high FROM graded g JOIN q ON g.series_id = q.series_id AND g.frame_idx // 50 = q.chunk),
 isl AS (SELECT series_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY series_id ORDER BY frame_idx) AS g FROM b WHERE abs(gradient) >= low AND abs(gradient) <= high),
 r AS (SELECT series_id, min(frame_idx) AS start, max(frame_idx)+1 AS "end" FROM isl GROUP BY series_id, g),
 m AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY series_id ORDER BY start) <= 1 THEN 0 ELSE 1 END AS new FROM r),
@@ -291,10 +299,8 @@ SLOW = V.WaveConfig(min_gradient_length_seconds=0.6, merge_gap_seconds=0.15)
 
 
 def slow_segments(spark, sf):
-    g = V.gradient(frames(spark, sf))
-    t = V.gradient_thresholds(g, chunk="series_id")
-    t = t.join(V.lengths_of(g), "series_id")
-    return V.gradient_segments(B.attach(g, t, length="n"), 5.0, SLOW)
+    g = chunked_gradient(spark, sf)
+    return V.gradient_segments(g.join(V.gradient_thresholds(g, chunk=CHUNK), CHUNK), 5.0, SLOW)
 
 
 @query("gradient_segments", "graded", f'WITH {GRADSEG} SELECT series_id, start, "end", round(balance, 6) AS balance, round(range, 6) AS range FROM seg')
