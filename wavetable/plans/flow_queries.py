@@ -87,10 +87,10 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("report_csv", "frames", "SELECT series_id, round(avg(pos), 6) AS mean, count(*) AS frames FROM frames GROUP BY series_id")
+@query("report_csv", "frames", "SELECT series_id, round(avg(pos), 10) AS mean, count(*) AS frames FROM frames GROUP BY series_id")
 def _(spark, sf):
     path = shared_folder(spark, "report")
-    s = frames(spark, sf).groupBy("series_id").agg(r6(F.avg("pos")).alias("mean"), F.count("*").alias("frames"))
+    s = frames(spark, sf).groupBy("series_id").agg(r6(F.avg("pos"), 10).alias("mean"), F.count("*").alias("frames"))
     T.write_report_csv(s, path, first=("series_id",))
     return spark.read.schema("series_id bigint, frames bigint, mean double").option("header", True).csv(path)
 
@@ -153,7 +153,7 @@ def _(spark, sf):
     return rounded(spark.read.parquet(out), "pos")
 
 
-@query("watch", "pairs", """SELECT series_id, count(*) AS frames, round(avg((pred-target)*(pred-target)), 9) AS mse FROM pairs WHERE series_id % 10 <> 3 GROUP BY series_id""")
+@query("watch", "pairs", """SELECT series_id, count(*) AS frames, round(avg((pred-target)*(pred-target)), 10) AS mse FROM pairs WHERE series_id % 10 <> 3 GROUP BY series_id""")
 def _(spark, sf):
     """New series are scored as they arrive; those without a target fail into their own table."""
     src, done, failed, chk = (shared_folder(spark, n) for n in ("items", "done", "failed", "watchchk"))
@@ -167,7 +167,7 @@ def _(spark, sf):
 
     items = L.stream_table(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
     L.watch(items, work, done=done, failed=failed, checkpoint=chk).awaitTermination()
-    return rounded(spark.read.parquet(done).drop("batch"), "mse", digits=9)
+    return rounded(spark.read.parquet(done).drop("batch"), "mse", digits=10)
 
 
 # ---------------------------------------------------------------- flows

@@ -258,7 +258,7 @@ CHUNK = ["series_id", "chunk"]
 
 def chunked_gradient(spark, sf):
     """Gradients with the number of a chunk of 50 frames: thresholds belong to a chunk."""
-    return V.gradient(frames(spark, sf)).withColumn("chunk", F.floor(F.col("frame_idx") / 50))
+    return V.gradient(frames(spark, sf)).withColumn("chunk", F.floor(F.col("frame_idx") / 50).cast("int"))
 
 
 @query("gradient_thresholds", "graded", """WITH chunked AS (SELECT *, frame_idx // 50 AS chunk FROM graded), q AS (SELECT series_id, chunk, quantile_cont(abs(gradient), 0.25) AS l, quantile_cont(abs(gradient), 0.9) AS h
@@ -326,11 +326,11 @@ def _(spark, sf):
 
 
 @query("clip01", "frames", """SELECT series_id, CAST(count(*) FILTER (WHERE pos*1.5-0.2 < 0 OR pos*1.5-0.2 > 1) AS BIGINT) AS num_clipped,
-    round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, pos*1.5::DOUBLE-0.2::DOUBLE))), 6) AS total FROM frames GROUP BY series_id""")
+    round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, pos*1.5::DOUBLE-0.2::DOUBLE))), 10) AS total FROM frames GROUP BY series_id""")
 def _(spark, sf):
     x = F.col("pos") * F.lit(1.5) - F.lit(0.2)
     return frames(spark, sf).groupBy("series_id").agg(F.count_if((x < 0) | (x > 1)).alias("num_clipped"),
-                                                     r6(F.sum(R.clip01(x))).alias("total"))
+                                                     r6(F.sum(R.clip01(x)), 10).alias("total"))
 
 
 CHUNKS = """n AS (SELECT series_id, count(*) AS n FROM long_frames GROUP BY series_id),
@@ -397,10 +397,10 @@ def _(spark, sf):
     return d.select("series_id", "frame_idx", r6("activity").alias("activity"))
 
 
-@query("event_weights", "diffs", """SELECT series_id, frame_idx, round((1+a)/greatest(avg(1+a) OVER (PARTITION BY series_id), 1e-6::DOUBLE), 6) AS weight
+@query("event_weights", "diffs", """SELECT series_id, frame_idx, round((1+a)/greatest(avg(1+a) OVER (PARTITION BY series_id), 1e-6::DOUBLE), 10) AS weight
     FROM (SELECT *, 3.0::DOUBLE*(abs(diff1) + 0.5::DOUBLE*abs(diff2)) AS a FROM diffs)""")
 def _(spark, sf):
-    return M.event_weights(frames(spark, sf)).select("series_id", "frame_idx", r6("weight").alias("weight"))
+    return M.event_weights(frames(spark, sf)).select("series_id", "frame_idx", r6("weight", 10).alias("weight"))
 
 
 @query("active_frames", "diffs", """WITH a AS (SELECT *, 3.0::DOUBLE*(abs(diff1) + 0.5::DOUBLE*abs(diff2)) AS activity FROM diffs),
@@ -436,38 +436,38 @@ def _(spark, sf):
     return rounded(M.regression_metrics(pairs(spark, sf)), *M.REGRESSION_METRICS, digits=10)
 
 
-@query("highfreq_mse", "metrics", "SELECT series_id, round(spec_mse, 6) AS spec_mse FROM metrics")
+@query("highfreq_mse", "metrics", "SELECT series_id, round(spec_mse, 10) AS spec_mse FROM metrics")
 def _(spark, sf):
-    return rounded(M.highfreq_mse(pairs(spark, sf)), "spec_mse")
+    return rounded(M.highfreq_mse(pairs(spark, sf)), "spec_mse", digits=10)
 
 
-@query("composite_error", "metrics", """SELECT series_id, round(pos_mse*(1.0::DOUBLE-0.3::DOUBLE-0.1::DOUBLE) + 0.3::DOUBLE*vel_mse*60 + 0.1::DOUBLE*acc_mse*60, 6) AS composite FROM metrics""")
+@query("composite_error", "metrics", """SELECT series_id, round(pos_mse*(1.0::DOUBLE-0.3::DOUBLE-0.1::DOUBLE) + 0.3::DOUBLE*vel_mse*60 + 0.1::DOUBLE*acc_mse*60, 10) AS composite FROM metrics""")
 def _(spark, sf):
     m = M.composite_error(M.regression_metrics(pairs(spark, sf)), 0.3, 0.1)
-    return m.select("series_id", r6("composite").alias("composite"))
+    return m.select("series_id", r6("composite", 10).alias("composite"))
 
 
-@query("scene_evaluation", "metrics", """SELECT series_id, round(pos_mse, 6) AS mse, round(event_mse, 6) AS event_mse, round(active_mse, 6) AS active_mse,
-    round(vel_mae, 6) AS vel_mae, round(acc_mae, 6) AS acc_mae, round(spec_mse, 6) AS spec_mse FROM metrics""")
+@query("scene_evaluation", "metrics", """SELECT series_id, round(pos_mse, 10) AS mse, round(event_mse, 10) AS event_mse, round(active_mse, 10) AS active_mse,
+    round(vel_mae, 10) AS vel_mae, round(acc_mae, 10) AS acc_mae, round(spec_mse, 10) AS spec_mse FROM metrics""")
 def _(spark, sf):
     p = pairs(spark, sf)
     out = M.scene_evaluation(p.select("series_id", "frame_idx", F.col("target").alias("pos")),
                              p.select("series_id", "frame_idx", F.col("pred").alias("pos")))
-    return rounded(out, *M.SCENE_METRICS)
+    return rounded(out, *M.SCENE_METRICS, digits=10)
 
 
-@query("upsert_metrics", "metrics", """WITH s AS (SELECT series_id, round(pos_mse, 6) AS pos_mse FROM metrics WHERE series_id % 3 <> 0 UNION ALL
+@query("upsert_metrics", "metrics", """WITH s AS (SELECT series_id, round(pos_mse, 10) AS pos_mse FROM metrics WHERE series_id % 3 <> 0 UNION ALL
     SELECT series_id, -1.0::DOUBLE FROM metrics WHERE series_id % 3 = 0) SELECT * FROM s""")
 def _(spark, sf):
-    m = M.regression_metrics(pairs(spark, sf)).select("series_id", r6("pos_mse").alias("pos_mse"))
+    m = M.regression_metrics(pairs(spark, sf)).select("series_id", r6("pos_mse", 10).alias("pos_mse"))
     fresh = frames(spark, sf).select("series_id").distinct().where(F.col("series_id") % 3 == 0).withColumn("pos_mse", F.lit(-1.0))
     return M.upsert_metrics(m, fresh)
 
 
-@query("label_stats", "frames", """SELECT series_id, count(*) AS frames, round(stddev_pop(pos), 6) AS label_std, round(max(pos)-min(pos), 6) AS label_range,
-    round(avg(pos), 6) AS label_mean, min(pos) AS label_min, max(pos) AS label_max FROM frames GROUP BY series_id""")
+@query("label_stats", "frames", """SELECT series_id, count(*) AS frames, round(stddev_pop(pos), 10) AS label_std, round(max(pos)-min(pos), 10) AS label_range,
+    round(avg(pos), 10) AS label_mean, min(pos) AS label_min, max(pos) AS label_max FROM frames GROUP BY series_id""")
 def _(spark, sf):
-    return rounded(M.label_stats(frames(spark, sf)), "label_std", "label_range", "label_mean")
+    return rounded(M.label_stats(frames(spark, sf)), "label_std", "label_range", "label_mean", digits=10)
 
 
 @query("align_series", "frames", """SELECT series_id, count(*) AS n FROM frames WHERE frame_idx < 40 + series_id % 20 GROUP BY series_id""")
@@ -477,15 +477,15 @@ def _(spark, sf):
     return M.align_series(f, short).groupBy("series_id").agg(F.count("*").alias("n"))
 
 
-MISMATCH = """mm AS (SELECT series_id, round(stddev_pop(target), 6) AS stored_std, round(avg((target <= 1e-4 OR target >= 1-1e-4)::INT), 6) AS flat_frac,
-    round(sqrt(avg((target-pred)*(target-pred))), 6) AS rmse, round(max(abs(target-pred)), 6) AS max_abs FROM pairs GROUP BY series_id)"""
+MISMATCH = """mm AS (SELECT series_id, round(stddev_pop(target), 10) AS stored_std, round(avg((target <= 1e-4 OR target >= 1-1e-4)::INT), 10) AS flat_frac,
+    round(sqrt(avg((target-pred)*(target-pred))), 10) AS rmse, round(max(abs(target-pred)), 10) AS max_abs FROM pairs GROUP BY series_id)"""
 
 
 def mismatch(spark, sf):
     p = pairs(spark, sf)
     return rounded(M.label_mismatch(p.select("series_id", "frame_idx", F.col("target").alias("pos")),
                                     p.select("series_id", "frame_idx", F.col("pred").alias("pos"))),
-                   "stored_std", "flat_frac", "rmse", "max_abs")
+                   "stored_std", "flat_frac", "rmse", "max_abs", digits=10)
 
 
 @query("label_mismatch", "pairs", f"WITH {MISMATCH} SELECT * FROM mm")
@@ -502,15 +502,15 @@ def _(spark, sf):
 
 @query("best_offset", "pairs", """WITH l AS (SELECT unnest(range(-4, 5))::INT AS lag), d AS (SELECT a.series_id, lag, avg(abs(a.target - b.pred)) AS score
     FROM pairs a CROSS JOIN l JOIN pairs b ON a.series_id = b.series_id AND b.frame_idx = a.frame_idx + lag GROUP BY a.series_id, lag)
-SELECT series_id, arg_min(lag, (round(score, 9), lag)) AS lag, round(arg_min(lag, (round(score, 9), lag))/25.0::DOUBLE, 6) AS offset_sec, round(min(score), 6) AS score FROM d GROUP BY series_id""")
+SELECT series_id, arg_min(lag, (round(score, 9), lag)) AS lag, round(arg_min(lag, (round(score, 9), lag))/25.0::DOUBLE, 10) AS offset_sec, round(min(score), 10) AS score FROM d GROUP BY series_id""")
 def _(spark, sf):
-    return rounded(M.best_offset(pairs(spark, sf), 4, 25.0, a="target", b="pred"), "offset_sec", "score")
+    return rounded(M.best_offset(pairs(spark, sf), 4, 25.0, a="target", b="pred"), "offset_sec", "score", digits=10)
 
 
-@query("pred_vs_baseline", "pairs", """SELECT series_id, count(*) AS frames, round(avg((pred-target)*(pred-target)), 6) AS mse, round(max(abs(pred-target)), 6) AS max_abs,
+@query("pred_vs_baseline", "pairs", """SELECT series_id, count(*) AS frames, round(avg((pred-target)*(pred-target)), 10) AS mse, round(max(abs(pred-target)), 10) AS max_abs,
     avg((pred-target)*(pred-target)) < 1e-6 AS identical FROM pairs GROUP BY series_id""")
 def _(spark, sf):
-    return rounded(M.pred_vs_baseline(pairs(spark, sf)), "mse", "max_abs")
+    return rounded(M.pred_vs_baseline(pairs(spark, sf)), "mse", "max_abs", digits=10)
 
 
 @query("values_close", "frames", """SELECT series_id, series_id % 4 <> 1 AND NOT (series_id % 6 = 2) AS close FROM frames GROUP BY series_id""")
@@ -523,10 +523,10 @@ def _(spark, sf):
 
 @query("benchmark_summary", "metrics", """WITH l AS (UNPIVOT (SELECT series_id % 4 AS label, pos_mse, event_mse, active_mse, vel_mse, vel_mae, acc_mae, spec_mse FROM metrics)
     ON pos_mse, event_mse, active_mse, vel_mse, vel_mae, acc_mae, spec_mse INTO NAME metric VALUE value)
-SELECT label, metric, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM l GROUP BY label, metric""")
+SELECT label, metric, count(*) AS n, round(avg(value), 10) AS mean, round(stddev_pop(value), 10) AS std FROM l GROUP BY label, metric""")
 def _(spark, sf):
     m = M.regression_metrics(pairs(spark, sf)).withColumn("label", F.col("series_id") % 4)
-    return rounded(M.benchmark_summary(m), "mean", "std")
+    return rounded(M.benchmark_summary(m), "mean", "std", digits=10)
 
 
 @query("exact_quantile", "long_frames", """SELECT series_id, round(quantile_cont(pos, 0.37), 6) AS threshold FROM long_frames GROUP BY series_id""")
@@ -539,7 +539,7 @@ def _(spark, sf):
 @query("flagship", "grid_times actions", f"""WITH {BRACKET},
 g AS (SELECT series_id, frame_idx, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN t0 IS NULL THEN pa WHEN t1 IS NULL THEN p0 ELSE p0 + (p1-p0)*((t_ms-t0)/(t1-t0)) END)) AS target FROM j),
 pr AS (SELECT *, avg(target) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pred FROM g)
-SELECT series_id, count(*) AS frames, round(avg((pred-target)*(pred-target)), 6) AS pos_mse, round(avg(abs(pred-target)), 6) AS pos_mae FROM pr GROUP BY series_id""")
+SELECT series_id, count(*) AS frames, round(avg((pred-target)*(pred-target)), 10) AS pos_mse, round(avg(abs(pred-target)), 10) AS pos_mae FROM pr GROUP BY series_id""")
 def flagship(spark, sf):
     """Dedup, grid, linear interpolation, and error of a smoothed copy, per user."""
     g = R.resample(actions(spark, sf), grids(spark, sf), "linear", start_sec="start_sec", block_ms=DAY)
@@ -548,4 +548,4 @@ def flagship(spark, sf):
                        [("pred", F.avg("target").over(w))], 2, 2)
     out = M.pred_vs_baseline(p).join(
         p.groupBy("series_id").agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("pos_mae")), "series_id")
-    return out.select("series_id", "frames", r6("mse").alias("pos_mse"), r6("pos_mae").alias("pos_mae"))
+    return out.select("series_id", "frames", r6("mse", 10).alias("pos_mse"), r6("pos_mae", 10).alias("pos_mae"))
