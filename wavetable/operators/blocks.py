@@ -124,8 +124,11 @@ def scan(df: DataFrame, specs: Sequence[Carry | Running], *, series: Key = "seri
 
     aggs, carried, local = [], [], []
     before_blocks = W.partitionBy(*by).orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)
-    after_blocks = W.partitionBy(*by).orderBy(BLK).rowsBetween(1, W.unboundedFollowing)
+    # looking ahead runs backwards: a frame that grows from the start is updated row by row, one
+    # that shrinks towards the end would be computed anew for every row
+    after_blocks = W.partitionBy(*by).orderBy(F.desc(BLK)).rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(*by, BLK).orderBy(*ordering)
+    backwards = W.partitionBy(*by, BLK).orderBy(*[F.desc(c) for c in ordering])
     for n, spec in enumerate(specs):
         tmp = f"_s{n}"
         if isinstance(spec, Running):
@@ -139,9 +142,9 @@ def scan(df: DataFrame, specs: Sequence[Carry | Running], *, series: Key = "seri
         key = F.when(when, rank)
         if spec.ahead:
             aggs.append(F.min_by(boxed, key).alias(tmp))
-            carried.append(F.first(tmp, True).over(after_blocks).alias(f"_c{n}"))
-            frame = inside.rowsBetween(0 if spec.inclusive else 1, W.unboundedFollowing)
-            own = F.first(boxed, True).over(frame)
+            carried.append(F.last(tmp, True).over(after_blocks).alias(f"_c{n}"))
+            frame = backwards.rowsBetween(W.unboundedPreceding, 0 if spec.inclusive else -1)
+            own = F.last(boxed, True).over(frame)
         else:
             aggs.append(F.max_by(boxed, key).alias(tmp))
             carried.append(F.last(tmp, True).over(before_blocks).alias(f"_c{n}"))

@@ -37,18 +37,19 @@ def activity(d1: Column, d2: Column, gain: float = 1.0, power: float = 1.0) -> C
     return F.lit(float(gain)) * a if gain != 1.0 else a
 
 
-def moving_average(x: str, k: int, w: W) -> Column:
+def moving_average(x: str, k: int, w: W, order: str = "frame_idx") -> Column:
     """Centred mean of ``k`` values; beyond the ends of the series the end value repeats.
 
-    Valid for own rows of a halo of ``k // 2``: missing neighbours then mean the series ends.
+    Valid for own rows of a halo of ``k // 2`` over a dense index: the rows that are missing then lie
+    before index 0 or after the last one in reach.
     """
     if k % 2 == 0:
         raise ValueError("the window must be odd")
     r = k // 2
     near = F.sum(x).over(w.rowsBetween(-r, r))
-    missing_before = F.lit(r) - F.count(x).over(w.rowsBetween(-r, -1)) if r else F.lit(0)
-    missing_after = F.lit(r) - F.count(x).over(w.rowsBetween(1, r)) if r else F.lit(0)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    missing_before = F.greatest(F.lit(0), F.lit(r) - F.col(order))
+    missing_after = F.greatest(F.lit(0), F.lit(r) + F.col(order) - F.last(order).over(whole))
     first, last = F.first(x).over(whole), F.last(x).over(whole)
     return (near + missing_before * first + missing_after * last) / F.lit(float(k))
 
