@@ -58,7 +58,7 @@ def test_listing_feeds_pairing(spark, tmp_path):
 
 
 def test_report_columns_are_sorted(spark, tmp_path):
-    df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, z double, a double")
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, z double, a double").coalesce(1)
     T.write_report_csv(df, str(tmp_path / "r"), first=("id",))
     text = next((tmp_path / "r").glob("*.csv")).read_text().splitlines()
     assert text == ["id,a,z", "1,3.0,2.0"]

@@ -89,7 +89,7 @@ def _(spark, sf):
     return G.epoch_subset(G.window_index(lengths(spark, sf), SEQ, STRIDE).withColumn("h", h), 300, hash_column="h").drop("h")
 
 
-@query("epoch_subset_seeded", "fit_windows", "SELECT 300::BIGINT AS n, 300::BIGINT AS known FROM fit_windows LIMIT 1")
+@query("epoch_subset_seeded", "fit_windows", "SELECT least(300, count(*)) AS n, least(300, count(*)) AS known FROM fit_windows")
 def _(spark, sf):
     ix = G.window_index(lengths(spark, sf), SEQ, STRIDE)
     e = G.epoch_subset(ix, 300, 42, 3)
