@@ -74,18 +74,23 @@ def block_window(series: Key = "series_id", order: str | Sequence = "frame_idx")
     return W.partitionBy(*keys(series), BLK).orderBy(*by)
 
 
-def own_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(OWN) == F.col(BLK)).drop(OWN, BLK)
+def own_rows(df: DataFrame, keep_block: bool = False) -> DataFrame:
+    own = df.where(F.col(OWN) == F.col(BLK)).drop(OWN)
+    return own if keep_block else own.drop(BLK)
 
 
 def halo_columns(df: DataFrame, columns: dict[str, Column] | list[tuple[str, Column]], before: int,
                  after: int, *, series: Key = "series_id", order: str = "frame_idx",
-                 block: int = BLOCK_FRAMES) -> DataFrame:
-    """Add window columns that look at most ``before`` rows back and ``after`` rows ahead."""
+                 block: int = BLOCK_FRAMES, keep_block: bool = False) -> DataFrame:
+    """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
+
+    ``keep_block`` leaves the block column, by which the rows are then partitioned: ``attach`` joins
+    on it without another shuffle.
+    """
     out = with_halo(df, before, after, order=order, block=block)
     for name, column in (columns.items() if isinstance(columns, dict) else columns):
         out = out.withColumn(name, column)
-    return own_rows(out)
+    return own_rows(out, keep_block)
 
 
 # ---------------------------------------------------------------- unbounded scans
@@ -170,15 +175,17 @@ def dense_index(df: DataFrame, name: str, *, series: Key, order: str, ties: Sequ
 
 
 def attach(frames: DataFrame, per_series: DataFrame, *, length: str, series: Key = "series_id",
-           order: str = "frame_idx", block: int = BLOCK_FRAMES, how: str = "inner") -> DataFrame:
-    """Join one row per series to its frames on ``(series, block)``.
+           order: str = "frame_idx", block: int = BLOCK_FRAMES, how: str = "inner",
+           blocked: bool = False) -> DataFrame:
+    """Join one row per series to its frames on ``(series, block)``; ``blocked`` frames carry the block.
 
     ``length`` names the column of ``per_series`` with the number of frames. Each row is copied
     once per block of its series, so a long series spreads over as many tasks as it has blocks.
     """
     last = F.greatest(F.ceil(F.col(length) / F.lit(block)) - 1, F.lit(0))
     copies = explode_range(per_series, F.lit(0), last, BLK)
-    return with_block(frames, order, block).join(copies, [*keys(series), BLK], how).drop(BLK)
+    frames = frames if blocked else with_block(frames, order, block)
+    return frames.join(copies, [*keys(series), BLK], how).drop(BLK)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, *, at: str, lo: str, hi: str,

@@ -55,20 +55,20 @@ def moving_average(x: str, k: int, w: W, order: str = "frame_idx") -> Column:
 
 
 def with_differences(frames: DataFrame, x: str = "pos", *, gain: float = 1.0, power: float = 1.0,
-                     series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
+                     series: Key = "series_id", block: int = BLOCK_FRAMES, keep_block: bool = False) -> DataFrame:
     """First and second difference and activity of every frame."""
     w = block_window(series)
     return halo_columns(frames, [("diff1", diff1(x, w)), ("diff2", diff2(x, w)),
                                  ("activity", activity(F.col("diff1"), F.col("diff2"), gain, power))],
-                        2, 0, series=series, block=block)
+                        2, 0, series=series, block=block, keep_block=keep_block)
 
 
 def event_weights(frames: DataFrame, x: str = "pos", *, gain: float = 3.0, power: float = 1.0,
                   series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
     """Weights ``1 + activity`` scaled to mean one in each series."""
-    d = with_differences(frames, x, gain=gain, power=power, series=series, block=block)
-    means = d.groupBy(*keys(series)).agg(F.count("*").alias("_n"), F.avg(1.0 + F.col("activity")).alias("_m"))
-    out = attach(d, means, length="_n", series=series, block=block)
+    d = with_differences(frames, x, gain=gain, power=power, series=series, block=block, keep_block=True)
+    means = d.groupBy(*keys(series)).agg((F.max("frame_idx") + 1).alias("_n"), F.avg(1.0 + F.col("activity")).alias("_m"))
+    out = attach(d, means, length="_n", series=series, block=block, blocked=True)
     return (out.withColumn("weight", (1.0 + F.col("activity")) / F.greatest(F.col("_m"), F.lit(1e-6)))
                .drop("_n", "_m"))
 
@@ -100,7 +100,7 @@ def _frame_errors(pairs: DataFrame, k: int, gain: float, power: float, series: K
         ("_h", (F.col("pred") - moving_average("pred", k, w)) - (F.col("target") - moving_average("target", k, w))),
     ]:
         cols = cols.withColumn(name, column)
-    return own_rows(cols.withColumn("_e", F.col("pred") - F.col("target")))
+    return own_rows(cols.withColumn("_e", F.col("pred") - F.col("target")), keep_block=True)
 
 
 def regression_metrics(pairs: DataFrame, *, kernel: int = 15, gain: float = 3.0, power: float = 1.0,
@@ -118,7 +118,7 @@ def regression_metrics(pairs: DataFrame, *, kernel: int = 15, gain: float = 3.0,
                        [("_act", activity(diff1("target", w), diff2("target", w), gain, power))], 2, 0,
                        series=series, block=block)
     cut = exact_quantile(act, F.col("_act"), active_quantile, series=series, out="_cut", length="_len")
-    errors = attach(errors, cut, length="_len", series=series, block=block)
+    errors = attach(errors, cut, length="_len", series=series, block=block, blocked=True)
 
     e, act_, sq = F.col("_e"), F.col("_act"), F.col("_e") * F.col("_e")
     weight = 1.0 + act_
@@ -143,9 +143,9 @@ def highfreq_mse(pairs: DataFrame, kernel: int = 15, *, series: Key = "series_id
 def active_frames(frames: DataFrame, x: str = "pos", *, q: float = 0.8, gain: float = 3.0,
                   series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
     """Frames with the flag ``active``: activity at or above the series' own quantile."""
-    d = with_differences(frames, x, gain=gain, series=series, block=block)
+    d = with_differences(frames, x, gain=gain, series=series, block=block, keep_block=True)
     cut = exact_quantile(d, F.col("activity"), q, series=series, out="threshold", length="_len")
-    out = attach(d, cut, length="_len", series=series, block=block)
+    out = attach(d, cut, length="_len", series=series, block=block, blocked=True)
     return out.withColumn("active", F.col("activity") >= F.col("threshold")).drop("_len")
 
 

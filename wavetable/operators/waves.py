@@ -249,7 +249,7 @@ def lengths_of(frames: DataFrame, *, series: Key = "series_id") -> DataFrame:
     return frames.groupBy(*keys(series)).agg((F.max("frame_idx") + 1).alias("n"))
 
 
-# ---------------------------------------------------------------- the pipeline
+# ---------------------------------------------------------------- the whole clean-up
 
 
 def _config_fields() -> str:

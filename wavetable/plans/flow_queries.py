@@ -9,7 +9,7 @@ from ..operators import blocks as B, edits as E, metrics as M, resample as R, wa
 from ..session import shared_folder
 from ..sources import scripts as SC, tables as T
 from ..streaming import live as L
-from . import pipelines as P
+from . import flows as P
 from .catalog_queries import decisions, files, review_state, scenes
 from .feature_queries import poses, two_channels
 from .roles import actions, cte, frames, pairs, query, r6, rounded, table
