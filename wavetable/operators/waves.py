@@ -15,7 +15,8 @@ from .resample import clip01
 
 @dataclass(frozen=True)
 class WaveConfig:
-    """Knobs of the clean-up. The values are the defaults the results are defined by."""
+    """Knobs of the clean-up."""
+    # Names and defaults under which stored results were made.
     lowpass_cutoff_hz: float = 8.0
     lowpass_order: int = 2
     trough_prominence: float = 0.035

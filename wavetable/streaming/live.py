@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -187,6 +189,13 @@ class _WindowState(StatefulProcessor):
         pass
 
 
+def _travel_by_value(scorer) -> None:
+    """The worker that prepares a stateful stream gets no added files, so what it runs is pickled whole."""
+    for name in {__name__, getattr(scorer, "__module__", None) or type(scorer).__module__}:
+        if name.startswith("wavetable."):
+            cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def stream_windows(frames: DataFrame, scorer: Callable, seq: int = 120, stride: int = 60, *,
                    block: int = BLOCK_FRAMES) -> DataFrame:
     """Blended predictions of live series, append mode; equal to ``sliding_predict`` over the whole.
@@ -201,6 +210,7 @@ def stream_windows(frames: DataFrame, scorer: Callable, seq: int = 120, stride:
     low, high = i - seq, F.when(F.col("is_end"), i - 1 + seq).otherwise(i + seq)
     span = F.sequence(F.greatest(F.floor(low / F.lit(block)), F.lit(0)).cast("bigint"),
                       F.greatest(F.floor(high / F.lit(block)), F.lit(0)).cast("bigint"))
+    _travel_by_value(scorer)
     rows = frames.select("series_id", i.alias("frame_idx"), F.col("pos").cast("double").alias("pos"), "is_end")
     rows = rows.withColumn(BLK, F.explode(span))
     kind = rows.schema["series_id"].dataType.simpleString()
