@@ -31,3 +31,81 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import pack
     out = pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS top FROM p)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + (('0x' || substr(h, 1 + 5 * (k // 4)::INT, 5))::INT // (32 ** (3 - k % 4))::INT % 32)::INT, 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+""")
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    from . import warc
+    records = warc.round_trip(table(spark, sf, "pages"))
+    return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"),
+                          F.regexp_extract(warc.field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"),
+                          warc.field("WARC-Type").alias("record_type"), "refers_to")
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS v1,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))
+                  + length(coalesce(text, '')) - length(translate(coalesce(text, ''), '.,;:!?', '')) AS v2 FROM documents),
+s AS (SELECT d.*, l.doc_id IS NOT NULL AS revised, coalesce(l.quality = 0, false) AS gone
+      FROM d LEFT JOIN labels l USING (doc_id))
+SELECT source, lang, CASE WHEN revised THEN 'words-2' ELSE 'words-1' END AS tokenizer_version,
+       count(*)::BIGINT AS documents, sum(CASE WHEN revised THEN v2 ELSE v1 END)::BIGINT AS tokens
+FROM s WHERE NOT gone GROUP BY ALL
+""")
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is inserted, labelled ones are counted anew by the second version, those of low quality are deleted."""
+    from ..session import shared_folder
+    from . import token_ledger as T
+    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    v1 = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    v2 = v1 + F.length("text") - F.length(F.translate("text", ".,;:!?", ""))
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    labelled = docs.join(labels, "doc_id")
+    ledger = f"{shared_folder(spark, 'ledger')}/batches"
+    T.commit(T.inserts(docs, v1, "words-1"), ledger, "0001-load")
+    revised = T.revisions(labelled, v1, "words-1", v2, "words-2")
+    T.commit(revised, ledger, "0002-recount")
+    T.commit(revised, ledger, "0002-recount")                          # sent twice: no effect
+    T.commit(T.deletes(labelled.where("quality = 0"), v2, "words-2"), ledger, "0003-delete")
+    return T.totals(spark, ledger)
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS n FROM (
+      SELECT doc_id, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+      WHERE w3 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS chars FROM w GROUP BY 1),
+l AS (SELECT doc_id, host, text, line, i, array_to_string(regexp_extract_all(
+             translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS norm
+      FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+lw AS (SELECT *, len(string_split(norm, ' ')) AS words FROM l WHERE norm <> ''),
+u AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lw GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT host, norm FROM lw JOIN (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY 1) USING (host)
+      GROUP BY host, norm HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05::DOUBLE * max(docs)),
+x AS (SELECT doc_id, sum(words) AS n FROM lw JOIN f USING (host, norm) GROUP BY 1),
+a AS (SELECT d.doc_id, coalesce(c.n_words, 0)::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+             coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+             coalesce(x.n, 0)::BIGINT AS n_removed_words
+      FROM d LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= n_words * 0.5::DOUBLE AS kept FROM a
+""")
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality import judge
+    return judge(table(spark, sf, "documents"))[0].drop("host", "digest")
