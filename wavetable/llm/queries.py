@@ -37,7 +37,7 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS top FROM p)
 SELECT page_id, n AS payload_bytes,
-       list_aggregate(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            1 + (('0x' || substr(h, 1 + 5 * (k // 4)::INT, 5))::INT // (32 ** (3 - k % 4))::INT % 32)::INT, 1)),
            'string_agg', '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
@@ -66,9 +66,13 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Every document is inserted, labelled ones are counted anew by the second version, those of low quality are deleted."""
     from ..session import shared_folder
     from . import token_ledger as T
-    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    v1 = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    v2 = v1 + F.length("text") - F.length(F.translate("text", ".,;:!?", ""))
+    from .common import stored
+    texts = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    marks = F.length("text") - F.length(F.translate("text", ".,;:!?", ""))
+    # texts are read once for both versions; joins move counts only
+    docs = stored(texts.select("doc_id", "source", "lang", words.alias("v1"), (words + marks).alias("v2")), "token-counts")
+    v1, v2 = F.col("v1"), F.col("v2")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     labelled = docs.join(labels, "doc_id")
     ledger = f"{shared_folder(spark, 'ledger')}/batches"
@@ -109,3 +113,13 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     from .quality import judge
     return judge(table(spark, sf, "documents"))[0].drop("host", "digest")
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from . import language
+    from .common import crc_mod
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = language.fit(docs, ~held_out)
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
