@@ -20,31 +20,84 @@ from pyspark.sql import functions as F
 
 from .common import ready, stored
 
-_CACHE: dict = {}
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+_ENCODERS: dict = {}
 
 
-def token_ids(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts, each followed by ``end_id``. Pieces between ASCII white space are encoded once and kept.
+class WordEncoder:
+    """Encodes pieces between ASCII white space, each distinct one once, and keeps up to ``limit`` of them.
 
-    Valid for tokenizers that drop white space, as then no id depends on what stands beyond it.
+    Valid for tokenizers that fold case, drop white space and never join letters with the punctuation behind them.
+    Pieces that differ in ASCII case or in the punctuation at their end share one entry.
     """
-    if path not in _CACHE:
+
+    TAIL = b".,;:!?#$%&*"
+
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
-        _CACHE[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _CACHE[path]
-    split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
-                                                          add_special_tokens=False)):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-    end = np.asarray([end_id], "<u4").tobytes()
-    return [np.frombuffer(b"".join([known[w] for w in words]) + end, "<u4") for words in split]
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def fresh(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        """Encode unseen stems, many in one call with a bar between them where no stem holds one."""
+        out = {}
+        plain = [w for w in stems if b"|" not in w] if self.mark is not None else []
+        for at in range(0, len(plain), 4096):
+            part = plain[at:at + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" | ".join(part).decode("utf-8", "replace")],
+                                                              add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(part) - 1:
+                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                out.update(zip(part, map(lambda a, b: raw[a:b], [0, *[e + 4 for e in ends[:-1]]], ends)))
+        rest = [w for w in stems if w not in out]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest],
+                                                               add_special_tokens=False) if rest else []):
+            out[w] = np.asarray(e.ids, "<u4").tobytes()
+        return out
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in word:                            # may hold a special token, which is matched before case is folded
+            return word, b""
+        low = word.lower() if word.isascii() else word
+        stem = low.rstrip(self.TAIL)
+        if len(stem) == len(low):
+            return low, b""
+        if stem and (stem[-1:].isalpha() if stem[-1] < 128 else stem.decode("utf-8", "replace")[-1].isalpha()):
+            return stem, low[len(stem):]
+        return low, b""
+
+    def __call__(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        words = self.words
+        new = list({w for own in split for w in own if w not in words})
+        cut = [self.parts(w) for w in new]
+        stems = self.stems
+        unseen = list({x for pair in cut for x in pair if x and x not in stems})
+        found = self.fresh(unseen)
+        if len(stems) < self.limit:
+            stems.update(found)
+            found = stems
+        else:
+            found = {**{x: stems[x] for pair in cut for x in pair if x in stems}, **found}
+        made = {w: found[a] + found[b] if b else found[a] for w, (a, b) in zip(new, cut)}
+        if len(words) < self.limit:
+            words.update(made)
+        else:
+            made.update({w: words[w] for own in split for w in own if w in words})
+            words = made
+        end = np.asarray([end_id], "<u4").tobytes()
+        return [np.frombuffer(b"".join([words[w] for w in own]) + end, "<u4") for own in split]
+
+
+def token_ids(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
+    """Ids of whole texts, each followed by ``end_id``; the encoder is kept for the life of the worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path](texts, end_id)
 
 
 def combinations(size: int) -> np.ndarray:
@@ -166,14 +219,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tex
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = token_ids(part.column(1).to_pylist(), tokenizer, end_id)
-                small = [v.astype("<u2").tobytes() if int(v.max()) < 1 << 16 else v.tobytes() for v in ids]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(range(row, row + len(ids)), pa.int64()), part.column(0), pa.array(small, pa.binary()),
-                    pa.array([len(v) for v in ids], pa.int64())], names=["row", "doc_id", "ids", "n"])
-                row += len(ids)
+            if not batch.num_rows:
+                continue
+            ids = token_ids(batch.column(1).to_pylist(), tokenizer, end_id)
+            small = [v.astype("<u2").tobytes() if int(v.max()) < 1 << 16 else v.tobytes() for v in ids]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), pa.array(small, pa.binary()),
+                pa.array([len(v) for v in ids], pa.int64())], names=["row", "doc_id", "ids", "n"])
+            row += len(ids)
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
