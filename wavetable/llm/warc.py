@@ -89,4 +89,4 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
 
 def field(name: str) -> Column:
     """A named header field of a record."""
-    return F.regexp_extract(F.col("header").cast("string"), rf"(?m)^{name}: (.*?)\r$", 1)
+    return F.regexp_extract(F.col("header").cast("string"), rf"(?s)(?:^|\n){name}: (.*?)\r\n", 1)
