@@ -123,3 +123,13 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = language.fit(docs, ~held_out)
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from . import toxicity
+    from .common import crc_mod
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels, lambda i: crc_mod(i, 5) != 0)
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
