@@ -133,3 +133,9 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, labels, lambda i: crc_mod(i, 5) != 0)
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    from .minhash import near_duplicates
+    return near_duplicates(table(spark, sf, "documents"))
