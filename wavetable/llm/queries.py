@@ -139,3 +139,9 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
     from .minhash import near_duplicates
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op5_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    from .lattice import link
+    return link(table(spark, sf, "embeddings"))
