@@ -11,10 +11,13 @@ Only the histogram reaches the driver. Documents find their place by their rank
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,77 +30,104 @@ _ENCODERS: dict = {}
 class WordEncoder:
     """Encodes pieces between ASCII white space, each distinct one once, and keeps up to ``limit`` of them.
 
-    Valid for tokenizers that fold case, drop white space and never join letters with the punctuation behind them.
-    Pieces that differ in ASCII case or in the punctuation at their end share one entry.
+    Valid for tokenizers that normalise to NFC, fold case, drop white space and never join letters with the punctuation behind
+    them: pieces that differ in case or in the punctuation at their end share a stem. Stems of lower-case letters skip
+    normalisation; everything else goes through the whole tokenizer as it stands.
     """
 
-    TAIL = b".,;:!?#$%&*"
+    TAIL = ".,;:!?#$%&*"
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def fresh(self, stems: list[bytes]) -> dict[bytes, bytes]:
-        """Encode unseen stems, many in one call with a bar between them where no stem holds one."""
-        out = {}
-        plain = [w for w in stems if b"|" not in w] if self.mark is not None else []
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.full, self.letters, self.limit = Tokenizer.from_file(path), Tokenizer.from_file(path), limit
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
+        bar = self.letters.encode(["|"], is_pretokenized=True, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None                # letters never give its id
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.type = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def fresh(self, stems: list[str]) -> dict[str, bytes]:
+        out, wide = {}, self.type.itemsize
+        plain = [w for w in stems if w.isalpha() and w.islower()] if self.bar is not None else []
         for at in range(0, len(plain), 4096):
             part = plain[at:at + 4096]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" | ".join(part).decode("utf-8", "replace")],
-                                                              add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(part) - 1:
-                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                out.update(zip(part, map(lambda a, b: raw[a:b], [0, *[e + 4 for e in ends[:-1]]], ends)))
+            barred = list(itertools.chain.from_iterable(zip(part, itertools.repeat("|"))))    # a bar behind each stem
+            ids = np.asarray(self.letters.encode_batch_fast([barred], is_pretokenized=True, add_special_tokens=False)[0].ids, self.type)
+            bars = np.flatnonzero(ids == self.bar)
+            raw, ends = ids.tobytes(), (bars * wide).tolist()
+            out.update(zip(part, map(lambda a, b: raw[a:b], [0, *[e + wide for e in ends]], ends)))
         rest = [w for w in stems if w not in out]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest],
-                                                               add_special_tokens=False) if rest else []):
-            out[w] = np.asarray(e.ids, "<u4").tobytes()
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            for w, e in zip(part, self.full.encode_batch_fast(part, add_special_tokens=False)):
+                out[w] = np.asarray(e.ids, self.type).tobytes()
         return out
 
-    def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:                            # may hold a special token, which is matched before case is folded
-            return word, b""
-        low = word.lower() if word.isascii() else word
+    def parts(self, word: str) -> tuple[str, str]:
+        """(stem, punctuation behind it), or the piece as it is."""
+        if not word.isascii() and ("\u03a3" in word or not unicodedata.is_normalized("NFC", word)):
+            return word, ""
+        low = word.lower()
         stem = low.rstrip(self.TAIL)
-        if len(stem) == len(low):
-            return low, b""
-        if stem and (stem[-1:].isalpha() if stem[-1] < 128 else stem.decode("utf-8", "replace")[-1].isalpha()):
-            return stem, low[len(stem):]
-        return low, b""
-
-    def __call__(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        words = self.words
-        new = list({w for own in split for w in own if w not in words})
-        cut = [self.parts(w) for w in new]
-        stems = self.stems
-        unseen = list({x for pair in cut for x in pair if x and x not in stems})
-        found = self.fresh(unseen)
-        if len(stems) < self.limit:
-            stems.update(found)
-            found = stems
-        else:
-            found = {**{x: stems[x] for pair in cut for x in pair if x in stems}, **found}
-        made = {w: found[a] + found[b] if b else found[a] for w, (a, b) in zip(new, cut)}
-        if len(words) < self.limit:
-            words.update(made)
-        else:
-            made.update({w: words[w] for own in split for w in own if w in words})
-            words = made
-        end = np.asarray([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join([words[w] for w in own]) + end, "<u4") for own in split]
-
-
-def token_ids(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts, each followed by ``end_id``; the encoder is kept for the life of the worker."""
+        return (stem, low[len(stem):]) if stem.isalpha() and stem.islower() else (word, "")
+
+    def lookup(self, distinct: list[str]) -> list[bytes]:
+        got = list(map(self.words.get, distinct))
+        missing = [i for i, v in enumerate(got) if v is None]
+        if missing:
+            new = [distinct[i] for i in missing]
+            cut = [self.parts(w) for w in new]
+            found = self.fresh(list({x for pair in cut for x in pair if x and x not in self.stems}))
+            found.update({x: self.stems[x] for pair in cut for x in pair if x in self.stems})
+            made = [found[a] + found[b] if b else found[a] if a else b"" for a, b in cut]
+            for i, v in zip(missing, made):
+                got[i] = v
+            if len(self.stems) < self.limit:
+                self.stems.update(found)
+            if len(self.words) < self.limit:
+                self.words.update(zip(new, made))
+        return got
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        """(ids of each text with ``end_id`` behind as bytes, their numbers). Words are split and numbered by Arrow."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        per_doc = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        known = self.lookup(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.type.itemsize
+        flat = np.frombuffer(b"".join(known), self.type)
+        # a further entry for the end id, put behind the last word of each text
+        start = np.concatenate([np.cumsum(size) - size, [len(flat)]])
+        flat, size = np.concatenate([flat, np.asarray([end_id], self.type)]), np.concatenate([size, [1]])
+        which = np.insert(which, np.cumsum(per_doc), len(known))
+        n = size[which]
+        upto = np.cumsum(n)
+        tokens = flat[np.repeat(start[which] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = upto[np.cumsum(per_doc + 1) - 1] if len(per_doc) else upto
+        offsets = np.concatenate([[0], ends]) * self.type.itemsize
+        ids = pa.Array.from_buffers(pa.large_binary(), len(per_doc), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(tokens)])
+        return ids.cast(pa.binary()), np.diff(np.concatenate([[0], ends]))
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of a tokenizer file, kept for the life of the worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path](texts, end_id)
+    return _ENCODERS[path]
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold about ``limit`` bytes, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def combinations(size: int) -> np.ndarray:
@@ -213,20 +243,17 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tex
     Null and empty texts are the end id alone. Ids may be null or repeat: rows are told apart by position. An empty
     table gives none. Very long texts are cut into whole windows and a rest. Other columns are ignored.
     """
-    spark = ready(docs.sparkSession)
+    spark = ready(docs.sparkSession, 1500)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = token_ids(batch.column(1).to_pylist(), tokenizer, end_id)
-            small = [v.astype("<u2").tobytes() if int(v.max()) < 1 << 16 else v.tobytes() for v in ids]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), pa.array(small, pa.binary()),
-                pa.array([len(v) for v in ids], pa.int64())], names=["row", "doc_id", "ids", "n"])
-            row += len(ids)
+            for part in slices(batch, 1):
+                ids, n = encoder(tokenizer)(part.column(1), end_id)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), part.column(0), ids, pa.array(n, pa.int64())],
+                                                 names=["row", "doc_id", "ids", "n"])
+                row += len(n)
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
