@@ -145,3 +145,9 @@ def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
 def op5_lattice(spark: SparkSession, sf: str) -> DataFrame:
     from .lattice import link
     return link(table(spark, sf, "embeddings"))
+
+
+@query()
+def op10_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    from .suffixes import report
+    return report(table(spark, sf, "documents"))
