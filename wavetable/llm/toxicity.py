@@ -12,6 +12,7 @@ reads every row and the whole text in one pass without a shuffle.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -133,7 +134,7 @@ def train(samples: list[tuple[set[str], int]], groups=IDENTITY_GROUPS, strength:
     return Model({k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-3}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 2500, doc_id: str = "doc_id", text: str = "text",
+def fit(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 1500, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", **options) -> Model:
     """Fit on labelled rows where ``use`` holds (on the id). Null labels are left out, a document labelled twice counts
     as toxic if any label says so. Without both classes the model is the share of the label."""
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 2500,
     for r in sorted(got, key=lambda r: (r["h"], r["s"])):
         if taken[r["y"]] < per_class:
             taken[r["y"]] += 1
-            samples.append((set(r["s"].split()), int(r["y"])))
+            samples.append(({sys.intern(f) for f in r["s"].split()}, int(r["y"])))
     if len(taken) < 2:
         return Model({}, 30.0 if taken and 1 in taken else -30.0)
     return train(samples, **options)
