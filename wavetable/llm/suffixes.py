@@ -11,15 +11,16 @@ puts there. So only suffixes at anchors are sorted, and of these only where the
 4. Each range is merged by a tree of losers that carries the known common prefixes: two suffixes are compared only from
    the first byte that is not known to be equal.
 5. Neighbours with ``gram`` bytes in common form a group, in which strings of ``span`` bytes are held against each
-   other. A group that is large or lies across two ranges is decided by further shuffles instead, cell by cell.
+   other. A group of more than ``group_limit`` classes is cut into several ranges and decided by further shuffles, cell by cell.
 
-Ranges are cut at sampled suffixes, so equal beginnings may be split over tasks; no task gathers the copies of a passage.
+Ranges are cut at sampled suffixes, so no task gathers the copies of a passage.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,26 +176,38 @@ def around(keys: list[bytes], span: int, gram: int) -> np.ndarray:
     return np.concatenate([x[:, span:][:, ::-1], x[:, :span]], 1)
 
 
-def shared_windows(x: np.ndarray, left: np.ndarray, right: np.ndarray, span: int, gram: int) -> np.ndarray:
-    """flags[row, d]: the string that starts ``d`` bytes before the anchor occurs in another row too, at the same distance."""
+def shared_windows(x: np.ndarray, left: np.ndarray, right: np.ndarray, span: int, gram: int, block: int = 43) -> np.ndarray:
+    """flags[row, d]: the string that starts ``d`` bytes before the anchor occurs in another row too, at the same distance.
+
+    Hashes of ``block`` distances are held at a time, so memory is a few hundred bytes a row.
+    """
     side = span - gram
-    total = np.zeros((len(x), x.shape[1] + 1), U)
-    np.cumsum(_BYTE[x] * _powers(_R, x.shape[1])[None, :], 1, out=total[:, 1:])
-    d = np.arange(side + 1)
-    window = total[:, side - d + span] - total[:, side - d]
-    valid = (d[None, :] <= left[:, None]) & (span - d[None, :] <= right[:, None])
-    order = np.argsort(window, 0, kind="stable")
-    ranked = np.take_along_axis(window, order, 0)
-    ok = np.take_along_axis(valid, order, 0)
-    same = (ranked[1:] == ranked[:-1]) & ok[1:] & ok[:-1]
-    flag = np.zeros(window.shape, bool)
-    flag[1:] |= same
-    flag[:-1] |= same
-    out = np.zeros_like(flag)
-    np.put_along_axis(out, order, flag, 0)
+    out = np.zeros((len(x), side + 1), bool)
+    for at in range(0, side + 1, block):
+        d = np.arange(at, min(at + block, side + 1))
+        window = np.concatenate([_windows(x[k:k + 1000], d, span, side) for k in range(0, len(x), 1000)])
+        valid = (d[None, :] <= left[:, None]) & (span - d[None, :] <= right[:, None])      # others hold filling, so never equal one of these
+        order = np.argsort(window, 0, kind="stable")
+        ranked = np.take_along_axis(window, order, 0)
+        ok = np.take_along_axis(valid, order, 0)
+        same = (ranked[1:] == ranked[:-1]) & ok[1:] & ok[:-1]
+        flag = np.zeros(window.shape, bool)
+        flag[1:] |= same
+        flag[:-1] |= same
+        part = np.zeros_like(flag)
+        np.put_along_axis(part, order, flag, 0)
+        out[:, at:at + len(d)] = part
     return out
 
 
+def _windows(x: np.ndarray, d: np.ndarray, span: int, side: int) -> np.ndarray:
+    first = side - int(d[-1])
+    part = x[:, first:side - int(d[0]) + span]
+    total = np.zeros((len(x), part.shape[1] + 1), U)
+    np.cumsum(_BYTE[part] * _powers(_R, part.shape[1])[None, :], 1, out=total[:, 1:])
+    return total[:, side - d + span - first] - total[:, side - d - first]
+
+
 def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
@@ -219,9 +232,8 @@ def judge_group(group: list[tuple[bytes, tuple]], span: int, gram: int) -> list[
     return out
 
 
-def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", group_limit: int = 2000) -> DataFrame:
-    """digest, text, spans (start, end of strings that occur elsewhere, in bytes; they may overlap) of the distinct texts
-    with any. Null and empty texts, and texts shorter than ``span`` bytes, have none."""
+def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", group_limit: int = 20_000) -> DataFrame:
+    """digest, text, spans (see ``intervals``) of the distinct texts with strings that occur elsewhere. Null and empty texts, and texts shorter than ``span`` bytes, have none."""
     spark = ready(docs.sparkSession)
     side = span - gram
     raw = F.col(text).cast("string")
@@ -233,13 +245,23 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "t
             for part in slices(batch, 1, 2 << 20):
                 raws = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 doc, p, kg, xh = anchors(raws, span, gram)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(p.astype(np.int32)), pa.array(kg),
-                                                  pa.array(xh)], names=["digest", "p", "kg", "xh"])
-
-    marks = stored(source.mapInArrow(find, "digest binary, p int, kg long, xh long"), "suffix-anchors")
-    again = marks.groupBy("kg").agg(F.count("*").alias("n")).where("n > 1").select("kg")
-    candidates = stored(marks.join(again, "kg").select("digest", "p", "kg", "xh"), "suffix-candidates")
-    classes = candidates.groupBy("kg", "xh").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("digest", "p")).alias("rep"))
+                # a text that repeats itself has many anchors with equal surroundings; they are one row
+                order = np.lexsort((p, xh, kg, doc))
+                doc, p, kg, xh = doc[order], p[order].astype(np.int32), kg[order], xh[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (kg[1:] != kg[:-1]) | (xh[1:] != xh[:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(doc)))
+                more = [p[a + 1:a + k].tobytes() if k > 1 else None for a, k in zip(first.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[first])), pa.array(p[first]), pa.array(more, pa.binary()),
+                                                  pa.array(kg[first]), pa.array(xh[first])], names=["digest", "p", "more", "kg", "xh"])
+
+    marks = stored(source.mapInArrow(find, "digest binary, p int, more binary, kg long, xh long"), "suffix-anchors")
+    number = F.coalesce(F.length("more") / 4, F.lit(0)).cast("int") + 1
+    # stored, so that the join reads two plain shuffles, which Spark splits where a gram is hot
+    again = stored(marks.groupBy("kg").agg(F.sum(number).alias("n")).where("n > 1").select("kg"), "suffix-grams")
+    candidates = stored(marks.join(again, "kg").select("digest", "p", "more", "kg", "xh"), "suffix-candidates")
+    classes = candidates.groupBy("kg", "xh").agg(F.sum(number).cast("int").alias("n"), F.min(F.struct("digest", "p")).alias("rep"))
     chosen = classes.groupBy(F.col("rep.digest").alias("digest")).agg(
         F.collect_list(F.struct(F.col("rep.p").alias("p"), "kg", "xh", "n")).alias("items"))       # bounded by a text's length
     once = source.groupBy("digest").agg(F.first("text").alias("text"))
@@ -262,9 +284,14 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "t
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = items.count()
     # cuts between ranges: about 40 suffixes a range, drawn by hash; only used to balance the tasks
-    drawn = items.where(F.pmod(F.xxhash64("xh"), F.lit(max(1, total // (40 * parts)))) == 0).select("key").collect()
+    every = max(1, total // (40 * parts))
+    drawn = items.where(F.pmod(F.xxhash64("xh"), F.lit(every)) == 0).select("key").collect()
     sample = sorted(bytes(r["key"]) for r in drawn)
-    cuts = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    often = Counter(k[:gram] for k in sample)
+    cuts = {sample[len(sample) * k // parts] for k in range(1, parts)} if sample else set()
+    # a cut moves to the beginning of its group unless the group is large; only large groups lie in several ranges
+    split = {c[:gram] for c in cuts if often[c[:gram]] * every > group_limit // 2}
+    cuts = sorted({c if c[:gram] in split else c[:gram] for c in cuts})
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_back, count = [], 0
@@ -296,34 +323,35 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "t
 
     def merge_range(pdf):
         import pandas as pd
-        out, rest, group, closed = [], [], [], False
+        out, rest, group, large = [], [], [], False
 
-        def finish(last: bool):
-            nonlocal closed
-            if not group:
-                return
-            if len(group) > group_limit or last or not closed:       # large, or it may go on in the range beside
+        def finish():
+            if group and (large or group[0][0][:gram] in split):
                 rest.extend({m[0] for _, m in group})
-            else:
+            elif group:
                 out.extend(judge_group(group, span, gram))
-            closed = True
 
         for shared, key, numbers in merge([decode_run(bytes(b), 5) for b in pdf["run"]]):
             if shared < gram and group:
-                finish(False)
-                group = []
+                finish()
+                group, large = [], False
+            if len(group) >= group_limit:            # decided by shuffles; a few members name its hashes
+                large = True
+                if any(numbers[0] == m[0] for _, m in group[:4]):
+                    continue
             group.append((key, numbers))
-        finish(True)
+        finish()
         out += [(kg, 0, -1, -1) for kg in set(rest)]                      # left open
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 4), columns=["kg", "xh", "lo", "hi"])
 
     merged = stored(runs.groupBy("part").applyInPandas(merge_range, RESULT), "suffix-merged")
     open_groups = merged.where("lo < 0").select("kg").distinct()
     found = merged.where("lo >= 0").join(open_groups, "kg", "left_anti")
-    found = found.unionByName(_by_cells(items.join(open_groups, "kg"), span, gram))
-    hits = candidates.join(found, ["kg", "xh"]).select(
-        "digest", (F.col("p") - F.col("hi")).alias("start"), (F.col("p") - F.col("lo") + span).alias("end")).distinct()
-    spans = hits.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))      # bounded by a text's length
+    if not open_groups.isEmpty():
+        found = found.unionByName(_by_cells(items.join(open_groups, "kg"), span, gram))
+    found = stored(found.select("kg", "xh", "lo", "hi"), "suffix-found")
+    hits = candidates.join(found, ["kg", "xh"]).select("digest", "p", "more", "lo", "hi").distinct()
+    spans = hits.groupBy("digest").agg(F.collect_list(F.struct("p", "more", "lo", "hi")).alias("spans"))   # bounded by a text's length
     return texts.select("digest", "text").join(spans, "digest")
 
 
@@ -376,6 +404,14 @@ def _by_cells(items: DataFrame, span: int, gram: int) -> DataFrame:
         "kg", "xh", "lo", F.col("lo").alias("hi"))
 
 
+def intervals(spans: list[dict], span: int) -> list[tuple[int, int]]:
+    """(start, end) of the strings that a row of anchors and distances stands for."""
+    out = []
+    for s in spans:
+        out += [(p - s["hi"], p - s["lo"] + span) for p in [s["p"], *np.frombuffer(s["more"] or b"", np.int32).tolist()]]
+    return out
+
+
 def keep_bytes(raw: bytes, spans: list[tuple[int, int]], whole_characters: bool = False) -> tuple[bytes, int, int]:
     """(remaining bytes, removed bytes, maximal removed runs). With ``whole_characters`` a run gives up parts of characters."""
     gone = np.zeros(len(raw) + 1, np.int32)
@@ -396,12 +432,13 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``. A null text is empty. Ids are only
     carried: nulls and repeats are rows of their own. Other columns are ignored."""
     found = repeated(docs, text=text, **options)
+    span = options.get("span", SPAN)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for digest, t, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                kept, removed, runs = keep_bytes(t.encode("utf-8", "surrogatepass"), [(s["start"], s["end"]) for s in spans])
+                kept, removed, runs = keep_bytes(t.encode("utf-8", "surrogatepass"), intervals(spans, span))
                 rows.append((digest, removed, runs, hashlib.sha256(kept).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
@@ -419,12 +456,13 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
 def remove(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """The documents, all columns, without the bytes that are repeated; characters are removed whole or kept whole."""
     found = repeated(docs, text=text, **options)
+    span = options.get("span", SPAN)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for digest, t, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                kept, _, _ = keep_bytes(t.encode("utf-8", "surrogatepass"), [(s["start"], s["end"]) for s in spans], True)
+                kept, _, _ = keep_bytes(t.encode("utf-8", "surrogatepass"), intervals(spans, span), True)
                 rows.append((digest, kept.decode("utf-8", "replace")))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.string()))],
