@@ -1,9 +1,9 @@
 """Near-duplicate documents by minhash signatures and a multi-index Hamming join.
 
-A document is its set of distinct word shingles. Its signature holds ``chunks * 4`` minhash values of 16 bits. Two signatures
-that differ in at most ``2 * chunks - 1`` values have, by the pigeonhole principle, a chunk of four values with at most one
-error; each chunk is therefore filed under its four ways to leave one value out. All pairs under that distance meet
-in a bucket. At 12 chunks a pair of similarity 0.8 is over it with a probability near 1e-6.
+A document is its set of distinct word shingles. Its signature holds ``chunks * 5`` minhash values of 16 bits. Two signatures
+that differ in at most ``2 * chunks - 1`` values have, by the pigeonhole principle, a chunk of five values with at most one
+error; each chunk is therefore filed under its five ways to leave one value out. All pairs under that distance meet
+in a bucket. At 12 chunks a pair of similarity 0.8 is over it with a probability near 1e-4.
 
 Links are confirmed on the full sets. Equal sets are one node from the start. In a bucket every node is first held
 against the smallest; nodes that are connected by then need not be compared with each other, only pairs that
@@ -28,6 +28,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _R = U(0x9E3779B97F4A7C15)
 _RI = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict = {}
+WIDTH = 5                       # values in a chunk
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,13 +91,15 @@ def mix_light(x: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(sig: Column, chunks: int) -> Column:
-    """The bucket keys of a signature (hexadecimal): chunk number, position left out, and the three other values."""
+    """The bucket keys of a signature (array of values): for each chunk and each place left out, a hash of place and other values.
+
+    ``chunk`` goes along, so that two keys of one document can be told to come from different chunks.
+    """
     out = []
     for c in range(chunks):
-        value = [F.conv(F.substring(sig, 1 + 4 * (4 * c + k), 4), 16, 10).cast("long") for k in range(4)]
-        for skip in range(4):
-            kept = [value[k] for k in range(4) if k != skip]
-            out.append(F.lit((4 * c + skip) << 48) + F.shiftleft(kept[0], 32) + F.shiftleft(kept[1], 16) + kept[2])
+        for skip in range(WIDTH):
+            kept = [sig[WIDTH * c + k] for k in range(WIDTH) if k != skip]
+            out.append(F.struct(F.lit(c).alias("chunk"), F.xxhash64(F.lit(WIDTH * c + skip), *kept).alias("key")))
     return F.array(*out)
 
 
@@ -115,12 +118,12 @@ def summaries(docs: DataFrame, width: int, chunks: int, doc_id: str, text: str)
                 n.append(len(h))
                 s1.append(int(mix(h).sum().astype(np.int64)) if len(h) else 0)
                 s2.append(int(mix(h * U(0xC2B2AE3D27D4EB4F) + U(11)).sum().astype(np.int64)) if len(h) else 0)
-                sig.append(signature(h, 4 * chunks).astype(">u2").tobytes() if len(h) else None)
+                sig.append(signature(h, WIDTH * chunks).astype(np.int32).tolist() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()),
-                                              pa.array(s2, pa.int64()), pa.array(sig, pa.binary())],
+                                              pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
                                              names=["doc_id", "n_shingles", "s1", "s2", "sig"])
 
-    return source.mapInArrow(work, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig binary")
+    return source.mapInArrow(work, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig array<int>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
@@ -174,9 +177,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, chunks:
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(
         F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     classes = stored(classes, "minhash-classes")
-    filed = classes.select("node", F.col("n_shingles").alias("n"), F.explode(chunk_keys(F.hex("sig"), chunks)).alias("key"))
+    filed = classes.select("node", F.col("n_shingles").alias("n"), F.inline(chunk_keys(F.col("sig"), chunks)))
     first = filed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("top"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(filed.join(first, "key"), "minhash-buckets")
+    buckets = stored(filed.join(first, "key").select("key", "chunk", "node", "n", "top", "size"), "minhash-buckets")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = buckets.where(near(F.col("n"), F.col("top.n"))).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
     star = stored(star.where("a <> b").distinct(), "minhash-pairs")
@@ -185,14 +188,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, chunks:
     links = stored(_confirmed(star, sets, percent), "minhash-links")
     joined = components(links, name="minhash-graph")
     # what is still apart within a bucket
-    found = buckets.select("key", "node", "n", "size").join(joined, "node", "left").withColumn(
+    found = buckets.select("key", "chunk", "node", "n", "size").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     apart = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = stored(found.join(apart.select("key"), "key"), "minhash-apart")
     small = left.where(F.col("size") <= hot).select("key", "node", "n", "component")
-    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), "node", "n", "component")
-    second = large.join(filed.select("node", F.col("key").alias("other")), "node")
-    second = second.where(F.shiftright("first", 50) != F.shiftright("other", 50)).select(
+    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), F.col("chunk").alias("own"), "node", "n", "component")
+    second = large.join(buckets.select("node", "chunk", F.col("key").alias("other")), "node")
+    second = second.where("own <> chunk").select(
         F.xxhash64("first", "other").alias("key"), "node", "n", "component")
     rest = small.unionByName(second)
     x = rest.toDF("key", "a", "na", "ca")
