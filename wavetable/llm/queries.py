@@ -151,3 +151,12 @@ def op5_lattice(spark: SparkSession, sf: str) -> DataFrame:
 def op10_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     from .suffixes import report
     return report(table(spark, sf, "documents"))
+
+
+@query()
+def op9_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode
+    out = encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
