@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, chunks: int = 12, hot: int = 64,
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks: int = 12, hot: int = 64,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, its own included) and kept, one row per row of ``docs``.
 
@@ -211,3 +211,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, chunks:
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, all columns, with one of each group of near duplicates (the one with the smallest id).
+
+    Rows with null ids and texts without words stay. Of rows with equal id and text one stays; of rows with equal ids and
+    different texts all stay if any is kept.
+    """
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
+    return named.dropDuplicates([doc_id, text]).unionByName(docs.where(F.col(doc_id).isNull()))

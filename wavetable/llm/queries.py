@@ -138,7 +138,7 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
     from .minhash import near_duplicates
-    return near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates(table(spark, sf, "documents"), width=4)
 
 
 @query()
@@ -160,3 +160,9 @@ def op9_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from .pieces import encode
     out = encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
+@query()
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
