@@ -232,7 +232,7 @@ def judge_group(group: list[tuple[bytes, tuple]], span: int, gram: int) -> list[
     return out
 
 
-def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", group_limit: int = 20_000) -> DataFrame:
+def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", group_limit: int = 60_000) -> DataFrame:
     """digest, text, spans (see ``intervals``) of the distinct texts with strings that occur elsewhere. Null and empty texts, and texts shorter than ``span`` bytes, have none."""
     spark = ready(docs.sparkSession)
     side = span - gram
@@ -399,9 +399,22 @@ def _by_cells(items: DataFrame, span: int, gram: int) -> DataFrame:
     d = F.posexplode("windows").alias("k", "w")
     single = kinds.select("kg", "cell", "core", "whole", "n", "lo", "hi", d).withColumn("d", F.col("cell") + F.col("k")).where("d between lo and hi")
     twice = single.groupBy("kg", "d", "w").agg(F.sum("n").alias("m")).where("m > 1").select("kg", "d", "w")
-    good = single.join(twice, ["kg", "d", "w"]).select("kg", "cell", "core", "whole", F.col("d").cast("int").alias("lo"))
-    return cells.select("kg", "xh", "cell", "core", "whole").join(good, ["kg", "cell", "core", "whole"]).select(
-        "kg", "xh", "lo", F.col("lo").alias("hi"))
+    # the strings of a cell as bits, so a class joins one row a cell
+    good = single.join(twice, ["kg", "d", "w"]).groupBy("kg", "cell", "core", "whole").agg(
+        F.sum(F.shiftleft(F.lit(1), F.col("k"))).alias("bits"))
+    marked = cells.select("kg", "xh", "cell", "core", "whole").join(good, ["kg", "cell", "core", "whole"]).select("kg", "xh", "cell", "bits")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kg, xh, cell, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                flags = np.array([bits >> k & 1 for k in range(CELL)])
+                out += [(kg, xh, cell + lo, cell + hi) for lo, hi in ranges(flags)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                                                 names=["kg", "xh", "lo", "hi"])
+
+    return marked.mapInArrow(runs, RESULT)
 
 
 def intervals(spans: list[dict], span: int) -> list[tuple[int, int]]:
