@@ -6,9 +6,10 @@ error; each chunk is therefore filed under its five ways to leave one value out.
 in a bucket. At 12 chunks a pair of similarity 0.8 is over it with a probability near 1e-4.
 
 Links are confirmed on the full sets. Equal sets are one node from the start. In a bucket every node is first held
-against the smallest; nodes that are connected by then need not be compared with each other, only pairs that
-are still apart are. Buckets that stay large are split by a second chunk (which finds all pairs up to a distance of
-``2 * chunks - 3``), so a hot chunk never yields all pairs of its members.
+against the most typical one; nodes that are connected by then need not be compared with each other, only pairs that
+are still apart are. Of these, a node whose own shingles, those that no other node left has, bar it from any link is
+dropped, and pairs whose common part cannot be large enough are not made. Buckets that are large are split by a second
+chunk (which finds all pairs up to a distance of ``2 * chunks - 3``).
 """
 
 from __future__ import annotations
@@ -145,6 +146,23 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, doc_id: str, text: str)
     return source.select("node", "text", "s1").mapInArrow(work, f"node {kind}, set binary")
 
 
+def _alone(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, u: how many shingles of a node none of the other nodes has."""
+    kind = sets.schema["node"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw = batch.column(1).to_pylist()
+                at = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.frombuffer(b"".join(raw), np.int64))],
+                                                 names=["node", "shingle"])
+
+    each = sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(work, f"node {kind}, shingle long")
+    once = each.groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1")
+    return once.groupBy("node").agg(F.count("*").alias("u"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have ``100 * intersection >= percent * union``."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
@@ -178,11 +196,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
         F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     classes = stored(classes, "minhash-classes")
     filed = classes.select("node", F.col("n_shingles").alias("n"), F.inline(chunk_keys(F.col("sig"), chunks)))
-    first = filed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("top"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(filed.join(first, "key").select("key", "chunk", "node", "n", "top", "size"), "minhash-buckets")
+    sizes = filed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = stored(filed.join(sizes, "key").select("key", "chunk", "node", "n", "size"), "minhash-buckets")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = buckets.where(near(F.col("n"), F.col("top.n"))).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-    star = stored(star.where("a <> b").distinct(), "minhash-pairs")
+    # the node that shares most keys with others is the most typical of its bucket, and the same in many buckets
+    score = buckets.groupBy("node").agg(F.sum("size").alias("score"))
+    rated = stored(buckets.join(score, "node"), "minhash-rated")
+    tops = rated.groupBy("key").agg(F.max(F.struct("score", F.struct("node", "n").alias("top"))).alias("m")).select("key", "m.top")
+    star = rated.join(tops, "key").where(near(F.col("n"), F.col("top.n")) & (F.col("node") != F.col("top.node"))).select(
+        F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+    star = stored(star, "minhash-pairs")
     members = buckets.select("node").distinct()
     sets = stored(_sets(docs, classes.select("node", "s1").join(members, "node", "left_semi"), width, doc_id, text), "minhash-sets")
     links = stored(_confirmed(star, sets, percent), "minhash-links")
@@ -192,15 +215,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
         "component", F.coalesce("component", "node"))
     apart = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = stored(found.join(apart.select("key"), "key"), "minhash-apart")
-    small = left.where(F.col("size") <= hot).select("key", "node", "n", "component")
-    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), F.col("chunk").alias("own"), "node", "n", "component")
-    second = large.join(buckets.select("node", "chunk", F.col("key").alias("other")), "node")
-    second = second.where("own <> chunk").select(
-        F.xxhash64("first", "other").alias("key"), "node", "n", "component")
+    for _ in range(2):                               # fewer nodes leave more shingles to one node alone
+        alone = _alone(sets, left.select("node").distinct())
+        rated = left.drop("u").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        left = stored(rated.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent), "minhash-apart")
+    small = left.where(F.col("size") <= hot).select("key", "node", "n", "u", "component")
+    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), F.col("chunk").alias("own"), "node", "n", "u", "component")
+    second = large.join(left.select("node", "chunk", F.col("key").alias("other")), "node")
+    second = second.where("own <> chunk").select(F.xxhash64("first", "other").alias("key"), "node", "n", "u", "component")
     rest = small.unionByName(second)
-    x = rest.toDF("key", "a", "na", "ca")
-    y = rest.toDF("key", "b", "nb", "cb")
-    more = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near(F.col("na"), F.col("nb")))
+    x = rest.toDF("key", "a", "na", "ua", "ca")
+    y = rest.toDF("key", "b", "nb", "ub", "cb")
+    shared = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))      # no two sets share more than this
+    more = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+                                  & (100 * shared >= percent * (F.col("na") + F.col("nb") - shared)))
     more = more.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     extra = stored(_confirmed(stored(more, "minhash-more"), sets, percent), "minhash-extra")
     if not extra.isEmpty():
