@@ -401,7 +401,7 @@ def _by_cells(items: DataFrame, span: int, gram: int) -> DataFrame:
     twice = single.groupBy("kg", "d", "w").agg(F.sum("n").alias("m")).where("m > 1").select("kg", "d", "w")
     # the strings of a cell as bits, so a class joins one row a cell
     good = single.join(twice, ["kg", "d", "w"]).groupBy("kg", "cell", "core", "whole").agg(
-        F.sum(F.shiftleft(F.lit(1), F.col("k"))).alias("bits"))
+        F.sum(F.expr("shiftleft(1L, k)")).alias("bits"))
     marked = cells.select("kg", "xh", "cell", "core", "whole").join(good, ["kg", "cell", "core", "whole"]).select("kg", "xh", "cell", "bits")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
