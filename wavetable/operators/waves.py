@@ -273,6 +273,17 @@ def _cut(frames: DataFrame, size: int, overlap: int, series: Key, x: str) -> Dat
     return spread(out, *keys(series), "chunk")
 
 
+def _chunk_rows(rows, size: int, overlap: int):
+    """The samples of one chunk in order, its number and whether the series goes on; None if the chunk does not exist."""
+    import numpy as np
+    import pyarrow as pa
+    rows = rows.take(pa.array(np.argsort(rows["frame_idx"].to_numpy(), kind="stable")))
+    chunk, n = rows["chunk"][0].as_py(), min(rows.num_rows, size)
+    if chunk > 0 and n <= overlap:
+        return None
+    return rows.slice(0, n), chunk, rows.num_rows > size
+
+
 def _process_chunks(frames: DataFrame, configs: list[WaveConfig], fps: float, series: Key,
                     x: str) -> tuple[DataFrame, int]:
     """Cut, and clean each chunk under every configuration: one shuffle before the kernel.
@@ -284,33 +295,64 @@ def _process_chunks(frames: DataFrame, configs: list[WaveConfig], fps: float, se
     cut = _cut(frames, size, overlap, series, x)
     schema = T.StructType([cut.schema[c] for c in (*by, "frame_idx", "pos", "chunk")])
     for name, kind in (("start", T.LongType()), ("end", T.LongType()), ("fade_in", T.BooleanType()),
-                       ("fade_out", T.BooleanType()), ("config_id", T.IntegerType()), ("_stats", T.StringType())):
+                       ("fade_out", T.BooleanType()), ("config_id", T.IntegerType())):
         schema = schema.add(name, kind)
     out_schema = to_arrow_schema(schema)
 
     def clean(rows):
         import numpy as np
         import pyarrow as pa
-        rows = rows.take(pa.array(np.argsort(rows["frame_idx"].to_numpy(), kind="stable")))
-        chunk, n = rows["chunk"][0].as_py(), min(rows.num_rows, size)
-        if chunk > 0 and n <= overlap:
+        found = _chunk_rows(rows, size, overlap)
+        if found is None:
             return pa.table({f.name: pa.array([], f.type) for f in out_schema})
-        more, rows, start = rows.num_rows > size, rows.slice(0, n), chunk * step
-        raw, parts = rows["pos"].to_numpy(), []
+        rows, chunk, more = found
+        n, start, raw, parts = rows.num_rows, chunk * step, rows["pos"].to_numpy(), []
         same = lambda v, kind: pa.array(np.full(n, v), kind)
         for c, config in enumerate(configs):
-            values, stats = kernels.clean_wave(raw, fps, config)
+            values, _ = kernels.clean_wave(raw, fps, config)
             columns = [rows[name].combine_chunks() if name != "pos" else pa.array(values, pa.float32())
                        for name in (*by, "frame_idx", "pos", "chunk")]
-            told = pa.array([kernels.stats_json(stats, start)] + [None] * (n - 1), pa.string())
             parts.append(pa.Table.from_arrays([
                 *columns, same(start, pa.int64()), same(start + n, pa.int64()), same(chunk > 0, pa.bool_()),
-                same(more, pa.bool_()), same(c, pa.int32()), told], schema=out_schema))
+                same(more, pa.bool_()), same(c, pa.int32())], schema=out_schema))
         return pa.concat_tables(parts)
 
     return cut.groupBy(*by, "chunk").applyInArrow(clean, schema), overlap
 
 
+def _chunk_stats(frames: DataFrame, config: WaveConfig, fps: float, series: Key, x: str) -> DataFrame:
+    """One row per chunk: its end and what the clean-up did there. No frame leaves the kernel."""
+    (size, overlap), by = config.chunking(fps), keys(series)
+    step = max(1, size - overlap)
+    cut = _cut(frames, size, overlap, series, x)
+    schema = T.StructType([cut.schema[c] for c in (*by, "chunk")]).add("end", T.LongType()).add("_stats", T.StringType())
+    out_schema = to_arrow_schema(schema)
+
+    def tell(rows):
+        import pyarrow as pa
+        found = _chunk_rows(rows, size, overlap)
+        if found is None:
+            return pa.table({f.name: pa.array([], f.type) for f in out_schema})
+        rows, chunk, _ = found
+        _, stats = kernels.clean_wave(rows["pos"].to_numpy(), fps, config)
+        first = rows.slice(0, 1)
+        return pa.Table.from_arrays([*[first[c].combine_chunks() for c in (*by, "chunk")],
+                                     pa.array([chunk * step + rows.num_rows], pa.int64()),
+                                     pa.array([kernels.stats_json(stats, chunk * step)])], schema=out_schema)
+
+    return cut.groupBy(*by, "chunk").applyInArrow(tell, schema)
+
+
+def _blend_overlaps(out: DataFrame, size: int, overlap: int, series: Key) -> DataFrame:
+    """One value per frame. A frame that only one chunk holds is final; only overlaps are shuffled and blended."""
+    step = max(1, size - overlap)
+    i = F.col("frame_idx")
+    shared = ((i - F.col("start") < overlap) & F.col("fade_in")) | ((F.col("frame_idx") >= F.col("start") + step) & F.col("fade_out"))
+    alone = out.where(~shared).select(*keys(series), "frame_idx", clip01(F.col("pos").cast("double")).alias("pos"))
+    return alone.unionByName(taper_blend(out.where(shared), overlap, series=series).select(*alone.columns))
+
+
+# names of the statistics: fixed values
 STATS_SCHEMA = ("num_samples bigint, num_troughs bigint, num_normalized_cycles bigint, "
                 "num_gradient_segments bigint, num_cycle_samples bigint, num_gradient_samples bigint, "
                 "num_clipped_samples bigint, gradient_low_threshold double, gradient_high_threshold double, "
@@ -323,15 +365,14 @@ def postprocess(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig()
                 series: Key = "series_id") -> DataFrame:
     """Clean every series. The unit of work is one chunk, whatever the length of the series."""
     out, overlap = _process_chunks(frames, [config], fps, series, x)
-    return taper_blend(out, overlap, series=series)
+    return _blend_overlaps(out, config.chunking(fps)[0], overlap, series)
 
 
 def postprocess_stats(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig(), x: str = "pos", *,
                       series: Key = "series_id") -> DataFrame:
     """What the clean-up did per series. Counts sum over chunks (overlaps count twice), the
     thresholds are the largest of any chunk."""
-    out, _ = _process_chunks(frames, [config], fps, series, x)
-    rows = out.where(F.col("_stats").isNotNull()).select(
+    rows = _chunk_stats(frames, config, fps, series, x).select(
         *keys(series), "chunk", "end", F.from_json("_stats", STATS_SCHEMA).alias("s"))
     return rows.groupBy(*keys(series)).agg(
         F.max("end").cast("bigint").alias("num_samples"), F.count("*").alias("num_chunks"),
@@ -343,8 +384,7 @@ def postprocess_stats(frames: DataFrame, fps: float, config: WaveConfig = WaveCo
 def postprocess_segments(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig(), x: str = "pos", *,
                          series: Key = "series_id") -> DataFrame:
     """The segments the clean-up changed, one row each: kind, chunk and ``[start, end)``."""
-    out, _ = _process_chunks(frames, [config], fps, series, x)
-    rows = out.where(F.col("_stats").isNotNull()).select(
+    rows = _chunk_stats(frames, config, fps, series, x).select(
         *keys(series), "chunk", F.from_json("_stats", STATS_SCHEMA).alias("s"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s.{k}_segments").alias("list"))
                       for k in ("cycle", "gradient")])
@@ -362,4 +402,4 @@ def postprocess_sweep(frames: DataFrame, fps: float, configs: list[WaveConfig],
     if len({c.chunking(fps) for c in configs}) != 1:
         raise ValueError("all configurations of a sweep must share chunk length and overlap")
     out, overlap = _process_chunks(frames, configs, fps, series, x)
-    return taper_blend(out, overlap, series=["config_id", *keys(series)])
+    return _blend_overlaps(out, configs[0].chunking(fps)[0], overlap, ["config_id", *keys(series)])
