@@ -7,9 +7,9 @@ in a bucket. At 12 chunks a pair of similarity 0.8 is over it with a probability
 
 Links are confirmed on the full sets. Equal sets are one node from the start. In a bucket every node is first held
 against the most typical one; nodes that are connected by then need not be compared with each other, only pairs that
-are still apart are. Of these, a node whose own shingles, those that no other node left has, bar it from any link is
-dropped, and pairs whose common part cannot be large enough are not made. Buckets that are large are split by a second
-chunk (which finds all pairs up to a distance of ``2 * chunks - 3``).
+are still apart are, and of these only pairs whose parity bits allow the similarity: each set keeps the parity of its
+number of elements in each of 512 hash classes, and sets differ in at least as many elements as they do in
+parities. Buckets of more than ``hot`` are split by a second chunk (which finds all pairs up to a distance of ``2 * chunks - 3``).
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ _R = U(0x9E3779B97F4A7C15)
 _RI = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict = {}
 WIDTH = 5                       # values in a chunk
+PARITIES = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,6 +88,12 @@ def signature(h: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     return (mix(low) >> U(48)).astype(np.uint16)
 
 
+def parities(h: np.ndarray) -> list[int]:
+    """Whether an odd number of elements falls into each of 512 classes, as 64-bit words."""
+    odd = np.bincount((h >> U(55)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def mix_light(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
 
@@ -113,18 +120,19 @@ def summaries(docs: DataFrame, width: int, chunks: int, doc_id: str, text: str)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, s1, s2, sig = [], [], [], []
+            n, s1, s2, sig, bits = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, width)
                 n.append(len(h))
                 s1.append(int(mix(h).sum().astype(np.int64)) if len(h) else 0)
                 s2.append(int(mix(h * U(0xC2B2AE3D27D4EB4F) + U(11)).sum().astype(np.int64)) if len(h) else 0)
                 sig.append(signature(h, WIDTH * chunks).astype(np.int32).tolist() if len(h) else None)
+                bits.append(parities(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()),
-                                              pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-                                             names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+                                              pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
+                                             names=["doc_id", "n_shingles", "s1", "s2", "sig", "bits"])
 
-    return source.mapInArrow(work, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig array<int>")
+    return source.mapInArrow(work, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig array<int>, bits array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
@@ -146,23 +154,6 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, doc_id: str, text: str)
     return source.select("node", "text", "s1").mapInArrow(work, f"node {kind}, set binary")
 
 
-def _alone(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, u: how many shingles of a node none of the other nodes has."""
-    kind = sets.schema["node"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                raw = batch.column(1).to_pylist()
-                at = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.frombuffer(b"".join(raw), np.int64))],
-                                                 names=["node", "shingle"])
-
-    each = sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(work, f"node {kind}, shingle long")
-    once = each.groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1")
-    return once.groupBy("node").agg(F.count("*").alias("u"))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have ``100 * intersection >= percent * union``."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
@@ -183,7 +174,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks: int = 12, hot: int = 64,
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks: int = 12, hot: int = 2000,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, its own included) and kept, one row per row of ``docs``.
 
@@ -193,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
     ready(docs.sparkSession)
     rows = stored(summaries(docs, width, chunks, doc_id, text), "minhash-rows")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+        F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     classes = stored(classes, "minhash-classes")
     filed = classes.select("node", F.col("n_shingles").alias("n"), F.inline(chunk_keys(F.col("sig"), chunks)))
     sizes = filed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -215,27 +206,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
         "component", F.coalesce("component", "node"))
     apart = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = stored(found.join(apart.select("key"), "key"), "minhash-apart")
-    for _ in range(2):                               # fewer nodes leave more shingles to one node alone
-        alone = _alone(sets, left.select("node").distinct())
-        rated = left.drop("u").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-        left = stored(rated.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent), "minhash-apart")
-    small = left.where(F.col("size") <= hot).select("key", "node", "n", "u", "component")
-    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), F.col("chunk").alias("own"), "node", "n", "u", "component")
+    left = left.join(classes.select("node", "bits"), "node")
+    small = left.where(F.col("size") <= hot).select("key", "node", "n", "bits", "component")
+    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), F.col("chunk").alias("own"), "node", "n", "bits", "component")
     second = large.join(left.select("node", "chunk", F.col("key").alias("other")), "node")
-    second = second.where("own <> chunk").select(F.xxhash64("first", "other").alias("key"), "node", "n", "u", "component")
+    second = second.where("own <> chunk").select(F.xxhash64("first", "other").alias("key"), "node", "n", "bits", "component")
     rest = small.unionByName(second)
-    x = rest.toDF("key", "a", "na", "ua", "ca")
-    y = rest.toDF("key", "b", "nb", "ub", "cb")
-    shared = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))      # no two sets share more than this
+    x = rest.toDF("key", "a", "na", "xa", "ca")
+    y = rest.toDF("key", "b", "nb", "xb", "cb")
+    # sets differ at least in as many elements as their parities do; 80 % leave a ninth of both sizes
+    differ = sum((F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])) for k in range(PARITIES // 64)), F.lit(0))
     more = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-                                  & (100 * shared >= percent * (F.col("na") + F.col("nb") - shared)))
+                                  & (differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))))
     more = more.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     extra = stored(_confirmed(stored(more, "minhash-more"), sets, percent), "minhash-extra")
     if not extra.isEmpty():
         joined = components(links.unionByName(extra), name="minhash-graph")
     classed = classes.join(joined.withColumnRenamed("component", "component_id"), "node", "left").select(
         "n_shingles", "s1", "s2", F.coalesce("component_id", "node").alias("component_id"))
-    out = rows.drop("sig").join(classed, ["n_shingles", "s1", "s2"], "left")
+    out = rows.drop("sig", "bits").join(classed, ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
