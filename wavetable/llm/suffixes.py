@@ -172,11 +172,14 @@ def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int,
 
 def around(keys: list[bytes], span: int, gram: int) -> np.ndarray:
     """The surroundings in reading order, one row each; the anchor is at column ``span - gram``."""
-    x = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), 2 * span - gram)
-    return np.concatenate([x[:, span:][:, ::-1], x[:, :span]], 1)
+    out = np.empty((len(keys), 2 * span - gram), np.uint8)
+    for at in range(0, len(keys), 1000):
+        x = np.frombuffer(b"".join(keys[at:at + 1000]), np.uint8).reshape(-1, out.shape[1])
+        out[at:at + 1000, :span - gram], out[at:at + 1000, span - gram:] = x[:, span:][:, ::-1], x[:, :span]
+    return out
 
 
-def shared_windows(x: np.ndarray, left: np.ndarray, right: np.ndarray, span: int, gram: int, block: int = 43) -> np.ndarray:
+def shared_windows(x: np.ndarray, left: np.ndarray, right: np.ndarray, span: int, gram: int, block: int = 22) -> np.ndarray:
     """flags[row, d]: the string that starts ``d`` bytes before the anchor occurs in another row too, at the same distance.
 
     Hashes of ``block`` distances are held at a time, so memory is a few hundred bytes a row.
@@ -232,7 +235,7 @@ def judge_group(group: list[tuple[bytes, tuple]], span: int, gram: int) -> list[
     return out
 
 
-def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", group_limit: int = 60_000) -> DataFrame:
+def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", group_limit: int = 40_000) -> DataFrame:
     """digest, text, spans (see ``intervals``) of the distinct texts with strings that occur elsewhere. Null and empty texts, and texts shorter than ``span`` bytes, have none."""
     spark = ready(docs.sparkSession)
     side = span - gram
@@ -242,7 +245,7 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "t
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 raws = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 doc, p, kg, xh = anchors(raws, span, gram)
                 # a text that repeats itself has many anchors with equal surroundings; they are one row
@@ -313,7 +316,7 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "t
             if batch.num_rows:
                 held_back.append(batch)
                 count += batch.num_rows
-            if count >= 40_000:                      # a run holds about 30 MB
+            if count >= 12_000:                      # a run holds about 8 MB
                 yield flush()
                 held_back, count = [], 0
         if held_back:
