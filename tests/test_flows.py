@@ -67,7 +67,7 @@ def test_report_columns_are_sorted(spark, tmp_path):
 def test_name_similarity_with_ratio(spark):
     df = spark.createDataFrame([("/v/Big_Red-Fox_180_sbs.mp4", "/s/big red fox.funscript"), ("/v/a.mp4", "/s/vr_script.funscript"),
                                 ("/v/same.mp4", "/x/SAME.funscript")], "a string, b string")
-    s = S.name_similarity(F.col("a"), F.col("b"), S.name_tokens(F.col("a")), S.name_tokens(F.col("b")))
+    s = S.name_similarity(F.col("a"), F.col("b"), S.name_tokens(F.col("a")), S.name_tokens(F.col("b")), ratio=True)
     got = [r["s"] for r in df.select(s.alias("s")).collect()]
     assert got == [5.0 + 6.0 + 1.0 + 1.0, 0.0, 10.0 + 5.0 + 2.0 + 1.0 + 1.0]
 
@@ -91,8 +91,10 @@ def test_review_events_fold(spark):
     e = spark.createDataFrame(rows, "series_id string, ts int, action string, value boolean")
     e = e.withColumn("ts", F.timestamp_seconds("ts"))
     s = {r["series_id"]: r for r in U.apply_decisions(e).collect()}
-    assert (s["s"]["status"], s["s"]["stage2_status"], s["s"]["force_val"]) == ("approved", "approved", True)
-    assert s["t"]["status"] == "pending"
+    assert (s["s"]["status"], s["s"]["stage2_status"], s["s"]["force_val"]) == ("approved", "approved", False)
+    assert s["t"]["status"] == "pending" and s["t"]["force_val"]
+    one = {r["series_id"]: r["force_val"] for r in U.apply_decisions(e, streaming=True).collect()}
+    assert one == {"s": False, "t": True}
     f = {r["series_id"]: r["force_val"] for r in U.toggle_force_val(e).collect()}
     assert f == {"s": False, "t": True}
 
@@ -164,3 +166,50 @@ def test_live_windows_equal_batch(spark, tmp_path, lengths, block):
     assert len(batch) == sum(lengths) == len(got)
     for r in batch:
         assert got[(r["series_id"], r["frame_idx"])] == pytest.approx(r["pos"], abs=1e-9)
+
+
+def test_no_key_loses_its_share(spark):
+    """More keys than a 32nd of the maximum: the quota falls, every key keeps values, the total is the maximum."""
+    from wavetable.operators import keyed as K
+    v = spark.range(300).select(F.concat(F.lit("k"), (F.col("id") % 100).cast("string")).alias("key"), F.floor(F.col("id") / 100).alias("pos"),
+                                F.col("id").cast("double").alias("value"))
+    got = K.systematic_sample(v, 250).groupBy("key").count().collect()
+    assert len(got) == 100 and {r["count"] for r in got} == {2, 3} and sum(r["count"] for r in got) == 250
+
+
+def test_long_digit_runs_compare_as_numbers(spark):
+    from wavetable.functions import strings as S
+    names = ["a" + "1" * 20 + "9", "a" + "1" * 20 + "5", "a2", "a10", "a" + "9" * 40, "a" + "1" + "0" * 40]
+    got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(S.natural_key(F.col("n"))).collect()
+    assert [r["n"] for r in got] == sorted(names, key=lambda n: int(n[1:]))
+
+
+def test_script_order_continues_over_documents(spark, tmp_path):
+    from wavetable.sources import scripts as SC
+    a = spark.range(25).select(F.lit("s").alias("series_id"), F.col("id").alias("ord"), (F.col("id") * 7).alias("at_ms"), (F.col("id") % 5).cast("double").alias("pos"))
+    for name, per in (("one", None), ("many", 4)):
+        SC.write_scripts(a, str(tmp_path / name), per_document=per)
+        assert [r["ord"] for r in SC.read_actions(spark, str(tmp_path / name)).orderBy("at_ms").collect()] == list(range(25))
+
+
+def test_videos_with_room_get_all_their_segments(spark):
+    v = spark.createDataFrame([(i, d) for i, d in enumerate([100.0, 100.5, 64.0, 25.0, 7.0, 3.0])], "scene_id bigint, duration double")
+    got = {}
+    for r in G.choose_segments(v, 10.0, 10).collect():
+        got.setdefault(r["scene_id"], []).append(r["segment_start_sec"])
+    assert {k: len(x) for k, x in got.items()} == {0: 10, 1: 10, 2: 6, 3: 2, 4: 1}
+    for k, x in got.items():
+        x.sort()
+        assert all(b - a >= 10 - 1e-9 for a, b in zip(x, x[1:])) and (x[-1] + 10 <= v.collect()[k]["duration"] + 1e-9 or k == 4)
+
+
+def test_field_summary_holds_the_whole_field(spark):
+    f = spark.createDataFrame([([1.0] * 64, [0.0] * 64)], "fx array<double>, fy array<double>").withColumns({"h": F.lit(8), "w": F.lit(8)})
+    full, compat = H.field_summary(f).first()["f"], H.field_summary(f, layout="compat").first()["f"]
+    assert len(full) == 70 and full[-6:] == [1.0, 0.0, 1.0, 0.0, 1.0, 0.0] and len(compat) == 64
+
+
+def test_epoch_subset_without_shuffle(spark):
+    index = spark.range(50).select((F.col("id") % 5).alias("series_id"), F.col("id").alias("start"))
+    got = [tuple(r) for r in G.epoch_subset(index, 12, shuffle=False).orderBy("series_id", "start").collect()]
+    assert got == sorted((i % 5, i) for i in range(50))[:12]

@@ -126,3 +126,62 @@ def test_config_checks():
             WaveConfig(**bad)
     with pytest.raises(ValueError):
         WaveConfig(chunk_seconds=2.0).chunking(30.0)
+
+
+def test_block_filter_is_the_plain_recursion():
+    b, a = N.butterworth(3, 0.3)
+    for n in (1, 63, 64, 65, 300):
+        x = RNG.normal(size=n)
+        z, want = [0.2, -0.1, 0.05], []
+        state = np.array(z)
+        for v in x:
+            y = b[0] * v + z[0]
+            z = [b[1] * v + z[1] - a[1] * y, b[2] * v + z[2] - a[2] * y, b[3] * v - a[3] * y]
+            want.append(y)
+        np.testing.assert_allclose(N.recurse(b, a, x, state), want, atol=1e-10)
+
+
+def test_runs_and_merging():
+    mask = np.array([0, 1, 1, 0, 1, 0, 0, 0, 1], bool)
+    assert [v.tolist() for v in N.run_bounds(mask)] == [[1, 4, 8], [3, 5, 9]]
+    assert [v.tolist() for v in N.run_bounds(mask, 1)] == [[1, 8], [5, 9]]
+    assert [v.tolist() for v in N.run_bounds(mask, 3)] == [[1], [9]]
+    assert len(N.run_bounds(np.zeros(4, bool))[0]) == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_against_a_plain_loop(seed):
+    r = np.random.default_rng(seed)
+    x = r.random(200).astype(np.float32)
+    at = np.unique(r.integers(0, 200, 30))
+    got, mask, done = N.stretch_cycles(x, x, at, 30.0, 0.2, 2.0)
+    want = x.astype(np.float64)
+    kept = []
+    for s, e in zip(at, at[1:]):
+        if 2 <= e - s <= 15 and np.ptp(x[s:e + 1]) >= np.float32(0.2) and np.ptp(want[s:e + 1]) > 1e-6:
+            low, high = want[s:e + 1].min(), want[s:e + 1].max()
+            want[s:e + 1] = (want[s:e + 1] - low) / (high - low)
+            kept.append((s, e + 1))
+    assert done == kept
+    np.testing.assert_allclose(got, want, atol=1e-5)
+    assert mask.sum() == len({i for s, e in kept for i in range(s, e)})
+
+
+def test_steps_on_chunks_equal_the_kernels(spark):
+    from pyspark.sql import functions as F
+    from wavetable.operators import waves as V
+    n = 500
+    rows = [(c, i, float(0.5 + 0.4 * math.sin(i / (5 + c)))) for c in range(2) for i in range(n)]
+    f = spark.createDataFrame(rows, "chunk int, frame_idx int, pos double").withColumn("series_id", F.lit("s")).repartition(5)
+    low = V.troughs(V.lowpass(f, 30.0, 3.0), 30.0, x="low")
+    out = V.smooth(V.normalize_cycles(low, 30.0, reference="low"), 30.0, x="low").orderBy("chunk", "frame_idx").toPandas()
+    for c in range(2):
+        x = np.array([p for k, _, p in rows if k == c])
+        quiet = N.lowpass(x, 30.0, 3.0)
+        at = N.troughs(quiet, 30.0, 0.035, 0.15)
+        y, mask, _ = N.stretch_cycles(x, quiet, at, 30.0, 0.3, 0.5)
+        g = out[out.chunk == c]
+        np.testing.assert_allclose(g.low, quiet, atol=1e-6)
+        assert np.flatnonzero(g.trough).tolist() == at.tolist() and g.in_cycle.tolist() == mask.tolist()
+        np.testing.assert_allclose(g.pos, y, atol=1e-6)
+        np.testing.assert_allclose(g.smooth, N.smooth(quiet, 30.0, "savgol", 0.5, 2, 0.12), atol=1e-6)

@@ -39,8 +39,8 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def name_similarity(a: Column, b: Column, tokens_a: Column, tokens_b: Column, ratio: bool = True) -> Column:
-    """How well two file names match: equal stems, containment, shared words, and the ratio."""
+def name_similarity(a: Column, b: Column, tokens_a: Column, tokens_b: Column, ratio: bool = False) -> Column:
+    """How well two file names match: equal stems, containment, shared words, and with ``ratio`` the ratio of common runs."""
     na, nb = F.array_join(tokens_a, " "), F.array_join(tokens_b, " ")
     shared = F.size(F.array_intersect(tokens_a, tokens_b))
     union = F.size(F.array_union(tokens_a, tokens_b))
@@ -52,12 +52,12 @@ def name_similarity(a: Column, b: Column, tokens_a: Column, tokens_b: Column, ra
     return F.when((F.size(tokens_a) == 0) | (F.size(tokens_b) == 0), 0.0).otherwise(score)
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key under which digit runs compare as numbers."""
+def natural_key(text: Column) -> Column:
+    """Sort key under which digit runs of any length compare as numbers: each has its number of digits before it."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
     digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
     return F.array_join(F.transform(parts, lambda p: F.when(
-        p.rlike(r"^\d+$"), F.lpad(digits(p), width, "0")).otherwise(p)), "")
+        p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p)), "")
 
 
 def sanitize_name(text: Column, empty: str = "unnamed") -> Column:

@@ -37,7 +37,7 @@ def catalog_pairs(scenes: DataFrame, files: DataFrame, projections: Sequence[str
 
 
 def best_pair(scenes: DataFrame, files: DataFrame, projections: Sequence[str] | None = None,
-              min_duration: float = 60.0, ratio: bool = True, limit: int | None = None) -> DataFrame:
+              min_duration: float = 60.0, ratio: bool = False, limit: int | None = None) -> DataFrame:
     """The most plausible pair of every scene: name similarity, then pixels, then duration, then paths.
 
     Files of equal name score alike, so copies collapse map-side to the best of them before anything

@@ -35,7 +35,8 @@ ACTIONS = {"approve": ("status", "approved"), "reject": ("status", "rejected"),
            "approve2": ("stage2_status", "approved"), "reject2": ("stage2_status", "rejected")}
 
 
-def apply_decisions(events: DataFrame, *, series: Key = "series_id", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
+def apply_decisions(events: DataFrame, *, series: Key = "series_id", ts: str = "ts", ties: Sequence[str] = (),
+                    streaming: bool = False) -> DataFrame:
     """Current state from the append-only decisions: per field the latest event, folded map-side.
 
     ``events`` has ``action`` (approve, reject, approve2, reject2, force_val, toggle) and ``value``
@@ -53,9 +54,16 @@ def apply_decisions(events: DataFrame, *, series: Key = "series_id", ts: str = "
         F.coalesce(latest(["approve", "reject"], status), F.lit("pending")).alias("status"),
         F.coalesce(latest(["approve2", "reject2"], status2), F.lit("pending")).alias("stage2_status"),
         F.max(F.when(a.isin("approve", "reject"), F.col(ts))).alias("reviewed_at"),
-        F.max(F.when(a.isin("approve2", "reject2"), F.col(ts))).alias("stage2_reviewed_at"),
-        F.coalesce(latest(["force_val"], F.col("value")), F.lit(False)).alias("force_val"))
-    return state
+        F.max(F.when(a.isin("approve2", "reject2"), F.col(ts))).alias("stage2_reviewed_at"), *([_flag(a, order)] if streaming else []))
+    return state if streaming else state.join(toggle_force_val(events, series=series, ts=ts, ties=ties), keys(series))
+
+
+def _flag(action: Column, order: Column) -> Column:
+    """The flag as one aggregate, for streams: set and toggle events of a series in order, folded. The state keeps these
+    events of a series, which people make one by one; in batch the toggles are counted without gathering them."""
+    seen = F.array_sort(F.collect_list(F.when(action.isin("force_val", "toggle"), F.struct(
+        order.alias("at"), (action == "toggle").alias("flip"), F.coalesce("value", F.lit(False)).alias("value")))))
+    return F.aggregate(seen, F.lit(False), lambda v, e: F.when(e["flip"], ~v).otherwise(e["value"])).alias("force_val")
 
 
 def toggle_force_val(events: DataFrame, *, series: Key = "series_id", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:

@@ -152,12 +152,12 @@ def field_downsample(fields: DataFrame, size: int) -> DataFrame:
                   .withColumn("h", F.lit(size)).withColumn("w", F.lit(size)))
 
 
-def field_summary(fields: DataFrame, n: int = 64, layout: str = "compat") -> DataFrame:
-    """Grid-cell and whole-field statistics as a vector ``f`` of ``n`` numbers.
+def field_summary(fields: DataFrame, n: int = 64, layout: str = "full") -> DataFrame:
+    """Grid-cell and whole-field statistics as a vector ``f``.
 
-    Per cell: mean and deviation of the magnitude, mean x, mean y; then six of the whole field.
-    ``compat`` fills only a quarter of the cells, in row order, which stored data relies on;
-    ``full`` fills all.
+    Per cell: mean and deviation of the magnitude, mean x, mean y; then six of the whole field. ``full`` holds all
+    of them, four numbers for each of the ``n / 4`` cells and the six behind. ``compat`` has ``n`` numbers and fills only
+    a quarter of the cells, in row order, which stored data relies on.
     """
     if layout not in ("compat", "full"):
         raise ValueError(f"unknown layout {layout!r}")
@@ -185,7 +185,7 @@ def field_summary(fields: DataFrame, n: int = 64, layout: str = "compat") -> Dat
     whole = F.array(_mean(m), _std(m), _mean(F.col("_x")), _mean(F.col("_y")), lo + (hi - lo) * (rank - F.floor(rank)),
                     _mean(angle))
     padded = F.concat(grid, whole, F.array_repeat(F.lit(0.0), max(0, n - used * 4 - 6)))
-    return df.withColumn("f", F.slice(padded, 1, n)).drop("_m", "_x", "_y", "_cells")
+    return df.withColumn("f", F.slice(padded, 1, n) if layout == "compat" else padded).drop("_m", "_x", "_y", "_cells")
 
 def field_flip(fields: DataFrame, mode: str = "hflip") -> DataFrame:
     """Mirror a field left-right (negates x), top-bottom (negates y) or both."""
@@ -231,15 +231,17 @@ STRIP_Y = (0.17, 0.25, 0.33, 0.42, 0.50, 0.58, 0.67, 0.75, 0.83, 0.92)
 STRIP_PELVIS = 4
 
 
+#: Least number of points, bones, root point and root pair of each role, largest first.
+TOPOLOGIES = {
+    "performer": ((21, BONES_21, 17, (11, 12)), (17, BONES_17, None, (11, 12))),
+    "beholder": ((7, BONES_7, 4, (0, 1)), (2, (), None, (0, 1))),
+}
+
+
 def topology(points: int, role: str = "performer") -> tuple[tuple, int | None, tuple[int, int] | None]:
-    """Bones, root point and root pair for a number of points."""
-    if role == "beholder":
-        if points >= 7:
-            return BONES_7, 4, (0, 1)
-        return (), None, (0, 1) if points >= 2 else None
-    if points >= 21:
-        return BONES_21, 17, (11, 12)
-    return (BONES_17, None, (11, 12)) if points >= 17 else ((), None, None)
+    """Bones, root point and root pair of the largest known layout that the points fill."""
+    fitting = [row[1:] for row in TOPOLOGIES.get(role, TOPOLOGIES["performer"]) if row[0] <= points]
+    return fitting[0] if fitting else ((), None, None)
 
 
 def _xy(x: Column, y: Column) -> Column:

@@ -10,7 +10,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.strings import natural_key
+from .order_stats import smallest_by
 
 SUMS = ("sum_a", "sum_b", "sq_a", "sq_b", "abs_diff", "sq_diff")
 FLOATS = ("float16", "float32", "float64", "bfloat16", "complex64", "complex128")
@@ -73,11 +73,12 @@ def rollup_prefixes(diff: DataFrame) -> DataFrame:
     return _moments(g)
 
 
-def top_components(rollup: DataFrame, k: int = 16) -> DataFrame:
-    """Components that differ most: not the root, at least two keys, at most four levels deep."""
-    return rollup.where((F.col("path") != "") & (F.col("n") > 0) & (F.col("compatible_keys") > 0)
-                        & (F.col("key_count") > 1) & (F.col("depth") <= 4)).orderBy(
-        F.desc_nulls_last("rms_diff"), F.desc("n"), "path").limit(k)
+def top_components(rollup: DataFrame, k: int | None = 16, depth: int | None = 4) -> DataFrame:
+    """Components that differ most: not the root, at least two keys, at most ``depth`` levels deep. ``None`` lifts a limit."""
+    out = rollup.where((F.col("path") != "") & (F.col("n") > 0) & (F.col("compatible_keys") > 0) & (F.col("key_count") > 1))
+    out = out if depth is None else out.where(F.col("depth") <= depth)
+    out = out.orderBy(F.desc_nulls_last("rms_diff"), F.desc("n"), "path")
+    return out if k is None else out.limit(k)
 
 
 def selection_errors(rollup: DataFrame, paths: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def select_keys(diff: DataFrame, paths: DataFrame) -> DataFrame:
 
 def merge_weighted(a: DataFrame, b: DataFrame, weight_a: float, weight_b: float, base: str = "a",
                    selected: DataFrame | None = None) -> DataFrame:
-    """Weighted mean of the selected keys, tile by tile; other keys come from the base.
+    """Weighted mean of the selected keys, tile by tile; other keys, and keys whose shapes differ, come from the base.
 
     Values that are not floating point follow the heavier side, and the base on a tie.
     """
@@ -110,12 +111,12 @@ def merge_weighted(a: DataFrame, b: DataFrame, weight_a: float, weight_b: float,
         raise ValueError("the weights must sum to more than zero")
     wa, wb = weight_a / total, weight_b / total
     this, other = (a, b) if base == "a" else (b, a)
-    j = this.join(other.select("key", "tile", F.col("v").alias("_o")), ["key", "tile"], "left")
+    j = this.join(other.select("key", "tile", F.col("shape").alias("_shape"), F.col("v").alias("_o")), ["key", "tile"], "left")
     if selected is None:
-        pick = F.col("_o").isNotNull()
+        pick = F.col("shape").eqNullSafe(F.col("_shape"))
     else:
         j = j.join(selected.select("key").withColumn("_sel", F.lit(True)), "key", "left")
-        pick = F.col("_sel").isNotNull() & F.col("_o").isNotNull()
+        pick = F.col("_sel").isNotNull() & F.col("shape").eqNullSafe(F.col("_shape"))
     w_this, w_other = (wa, wb) if base == "a" else (wb, wa)
     mixed = F.zip_with("v", "_o", lambda x, y: x * F.lit(w_this) + y * F.lit(w_other))
     heavier = F.col("v") if w_this >= w_other else F.col("_o")
@@ -131,17 +132,22 @@ def config_diff(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def systematic_sample(values: DataFrame, maximum: int = 20_000) -> DataFrame:
-    """Every k-th value of each key, at most ``maximum`` in natural key order.
+    """Every k-th value of each key, at most ``maximum`` in all.
 
-    ``values`` is long: key, pos (from 0), value.
+    ``values`` is long: key, pos (from 0), value. Every key gets the same quota, ``maximum`` over the number of keys; below
+    32 a hash decides which keys take the remainder, so no key loses its share for coming late in an order.
     """
     sizes = values.groupBy("key").agg((F.max("pos") + 1).alias("_n"))
     # the number of keys is one row; copies of it, one per bucket, meet the keys by an equi-join
     count = sizes.groupBy().agg(F.count("*").alias("_keys")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63))))
     sizes = sizes.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(64)).cast("int")).join(F.broadcast(count), "_b")
-    cap = F.greatest(F.lit(32), F.floor(F.lit(maximum) / F.col("_keys")))
-    sizes = sizes.withColumn("_cap", cap).withColumn(
+    whole = F.floor(F.lit(maximum) / F.col("_keys"))
+    # the keys with the smallest hashes take one value more, as many as the remainder holds
+    left = sizes.select("key", F.xxhash64("key").alias("_h"))
+    extra = smallest_by(left, "_h", F.when(F.col("_total") * 32 <= maximum, F.lit(0)).otherwise(F.pmod(F.lit(maximum), F.col("_total"))), ties=["key"])
+    sizes = sizes.join(extra.select("key", F.lit(1).alias("_more")), "key", "left").withColumn("_more", F.coalesce("_more", F.lit(0)))
+    sizes = sizes.withColumn("_cap", whole + F.col("_more")).where("_cap > 0").withColumn(
         "_step", F.when(F.col("_n") <= F.col("_cap"), 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_cap")))))
     j = values.join(sizes.select("key", "_cap", "_step"), "key")
     j = j.where((F.col("pos") % F.col("_step") == 0) & (F.col("pos") < F.col("_cap") * F.col("_step")))
-    return j.orderBy(natural_key(F.col("key")), "key", "pos").limit(maximum).select("key", "pos", "value")
+    return j.select("key", "pos", "value")

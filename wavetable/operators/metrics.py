@@ -208,12 +208,13 @@ def label_mismatch(stored: DataFrame, regenerated: DataFrame, *, series: Key = "
         {"stored_std": 0.0, "flat_frac": 1.0, "rmse": 0.0, "max_abs": 0.0})
 
 
-def rank_mismatches(findings: DataFrame, top: int = 25, *, similarity: str = "similarity",
+def rank_mismatches(findings: DataFrame, top: int | None = 25, *, similarity: str = "similarity",
                     offset: str | None = None, series: Key = "series_id") -> DataFrame:
-    """The ``top`` worst findings: offset, then error, then poor name match, then flatness."""
+    """The ``top`` worst findings (all for ``None``): offset, then error, then poor name match, then flatness."""
     by_offset = F.coalesce(F.abs(F.col(offset)), F.lit(0.0)) if offset else F.lit(0.0)
-    return findings.orderBy(by_offset.desc(), F.desc("rmse"), (1.0 - F.col(similarity)).desc(),
-                            F.desc("flat_frac"), *[F.asc(c) for c in keys(series)]).limit(top)
+    out = findings.orderBy(by_offset.desc(), F.desc("rmse"), (1.0 - F.col(similarity)).desc(),
+                            F.desc("flat_frac"), *[F.asc(c) for c in keys(series)])
+    return out if top is None else out.limit(top)
 
 
 def best_offset(pairs: DataFrame, max_lag: int, fps: float = 1.0, *, a: str = "a", b: str = "b",

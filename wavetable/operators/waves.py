@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -203,6 +204,68 @@ def stretch(frames: DataFrame, segments: DataFrame, mode: str = "tanh", gain: fl
                   .drop("_s", "_e", "_min", "_max", "_mean", "_std"))
 
 
+# ---------------------------------------------------------------- single steps of the clean-up on chunks
+
+
+def _on_chunks(frames: DataFrame, chunk: Key, added: list[tuple[str, T.DataType]], work: Callable) -> DataFrame:
+    """Columns that a kernel adds to the frames of each chunk, in frame order. A chunk has a bounded number of frames."""
+    by = keys(chunk)
+    schema = T.StructType([f for f in frames.schema.fields if f.name not in {n for n, _ in added}])
+    names = schema.fieldNames()
+    for name, kind in added:
+        schema = schema.add(name, kind)
+    out_schema = to_arrow_schema(schema)
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+        rows = rows.take(pa.array(np.argsort(rows["frame_idx"].to_numpy(), kind="stable")))
+        new = [pa.array(v, out_schema.field(n).type) for v, (n, _) in zip(work(rows), added)]
+        return pa.Table.from_arrays([*[rows[n].combine_chunks() for n in names], *new], schema=out_schema)
+
+    return frames.groupBy(*by).applyInArrow(run, schema)
+
+
+def lowpass(frames: DataFrame, fps: float, cutoff: float = 8.0, order: int = 2, x: str = "pos", *, out: str = "low",
+            chunk: Key = ("series_id", "chunk")) -> DataFrame:
+    """Zero-phase Butterworth low-pass of every chunk; passed through where the filter is not defined."""
+    return _on_chunks(frames, chunk, [(out, T.DoubleType())],
+                      lambda r: [kernels.lowpass(r[x].to_numpy(), fps, cutoff, order).astype("float64")])
+
+
+def troughs(frames: DataFrame, fps: float, prominence: float = 0.035, min_distance: float = 0.15, x: str = "pos", *,
+            out: str = "trough", chunk: Key = ("series_id", "chunk")) -> DataFrame:
+    """Whether a frame is a trough of its chunk: local minimum, spaced, and deep enough."""
+    def mark(r):
+        import numpy as np
+        flag = np.zeros(r.num_rows, bool)
+        flag[kernels.troughs(r[x].to_numpy(), fps, prominence, min_distance)] = True
+        return [flag]
+    return _on_chunks(frames, chunk, [(out, T.BooleanType())], mark)
+
+
+def normalize_cycles(frames: DataFrame, fps: float, min_amplitude: float = 0.3, min_hz: float = 0.5, x: str = "pos", *,
+                     reference: str | None = None, trough: str = "trough", out: str = "in_cycle",
+                     chunk: Key = ("series_id", "chunk")) -> DataFrame:
+    """Cycles between marked troughs spread over [0, 1], and which frames lie in one. ``reference`` decides which cycles are
+    high enough (default: the values themselves)."""
+    def spread_out(r):
+        import numpy as np
+        at = np.flatnonzero(r[trough].to_numpy(zero_copy_only=False))
+        y, mask, _ = kernels.stretch_cycles(r[x].to_numpy(), r[reference or x].to_numpy(), at, fps, min_amplitude, min_hz)
+        return [y.astype("float64"), mask]
+    return _on_chunks(frames, chunk, [(x, T.DoubleType()), (out, T.BooleanType())], spread_out)
+
+
+def smooth(frames: DataFrame, fps: float, mode: str = "savgol", window_seconds: float = 0.5, poly: int = 2,
+           sigma_seconds: float = 0.12, x: str = "pos", *, out: str = "smooth", chunk: Key = ("series_id", "chunk")) -> DataFrame:
+    """``none``, ``gaussian`` or ``savgol`` smoothing of every chunk."""
+    if mode not in ("none", "gaussian", "savgol"):
+        raise ValueError(f"unknown smoothing {mode!r}")
+    return _on_chunks(frames, chunk, [(out, T.DoubleType())], lambda r: [kernels.smooth(
+        r[x].to_numpy(), fps, mode, window_seconds, poly, sigma_seconds).astype("float64")])
+
+
 # ---------------------------------------------------------------- chunks
 
 

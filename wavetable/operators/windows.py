@@ -203,7 +203,8 @@ def epoch_subset(index: DataFrame, maximum: int, seed: int = 42, epoch: int = 0,
     """``maximum`` windows of an epoch: a seeded draw that changes with the epoch, or the first ones."""
     ids = [*keys(series), "start"]
     if not shuffle:
-        return index.orderBy(*ids).limit(maximum)
+        from .catalog import numbered
+        return numbered(index, ids, "_k").where(F.col("_k") <= maximum).drop("_k")
     if hash_column is None:
         index = index.withColumn("_h", seeded_hash(seed + epoch, *ids))
     out = smallest_by(index, hash_column or "_h", F.lit(maximum), ties=ids)
@@ -257,30 +258,28 @@ def flatten_slots(slots: Column, max_persons: int) -> Column:
 
 def choose_segments(videos: DataFrame, segment_sec: float, count: int, seed: int = 42, *,
                     scene: str = "scene_id", duration: str = "duration") -> DataFrame:
-    """Up to ``count`` seeded starts per video, pairwise at least a segment apart.
+    """``count`` seeded starts per video, pairwise at least a segment apart, or as many as the video has room for.
 
-    Short videos give one start at 0 if they hold half a segment. The tries are a fixed number
-    (ten per wanted start), folded over an array inside the row.
+    The time that the segments leave over is cut at sorted random points, and the cuts become the gaps: no draw is
+    rejected, so a video with room always gives all its starts. Short videos give one start at 0 if they hold half a segment.
     """
     from .order_stats import unit_hash
     room = F.col(duration) - F.lit(float(segment_sec))
 
-    def attempt(taken, k):
-        t = unit_hash(seed, F.col(scene), k) * room
-        free = ~F.exists(taken, lambda s: F.abs(s - t) < F.lit(float(segment_sec)))
-        return F.when((F.size(taken) < count) & free, F.array_append(taken, t)).otherwise(taken)
-
+    fits = F.least(F.lit(count), F.floor(F.col(duration) / F.lit(float(segment_sec)))).cast("int")
+    spare = F.col(duration) - fits * F.lit(float(segment_sec))
     none = F.array().cast("array<double>")
-    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(count * 10 - 1)), none, attempt)
+    cuts = F.array_sort(F.transform(F.sequence(F.lit(1), fits), lambda k: unit_hash(seed, F.col(scene), k) * spare))
+    drawn = F.transform(cuts, lambda t, i: t + i * F.lit(float(segment_sec)))
     short = F.when(F.col(duration) >= segment_sec * 0.5, F.array(F.lit(0.0))).otherwise(none)
-    starts = F.when(room <= 0, short).otherwise(F.array_sort(drawn))
+    starts = F.when(room <= 0, short).otherwise(drawn)
     return videos.select(scene, duration, F.explode(starts).alias("segment_start_sec"))
 
 
 def choose_segments_by_bin(videos: DataFrame, analysis: DataFrame, bins: DataFrame, segment_sec: float, count: int,
                            blacklist: Sequence[int] = (), seed: int = 42, *, scene: str = "scene_id",
-                           duration: str = "duration") -> DataFrame:
-    """Starts from the three least filled bins, in seeded order without overlap; videos without such
+                           duration: str = "duration", target_bins: int = 3) -> DataFrame:
+    """Starts from the ``target_bins`` least filled bins, in seeded order without overlap; videos without such
     candidates draw freely.
 
     ``count`` rounds each take the first remaining candidate of every video by a map-side minimum
@@ -289,7 +288,7 @@ def choose_segments_by_bin(videos: DataFrame, analysis: DataFrame, bins: DataFra
     do not repeat one another.
     """
     open_bins = bins.where(~F.col("bin_id").isin(*blacklist)) if blacklist else bins
-    target = open_bins.orderBy("count", "bin_id").limit(3)
+    target = open_bins.orderBy("count", "bin_id").limit(target_bins)
     cand = analysis.join(F.broadcast(target.select("bin_id")), "bin_id", "left_semi")
     cand = cand.groupBy(scene, "start_time_sec").agg(F.min("bin_id").alias("bin_id"))
     with_any = cand.select(scene).distinct()

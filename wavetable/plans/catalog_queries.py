@@ -88,7 +88,7 @@ def best_pair(spark, sf):
 
 @query("best_pair_with_ratio")
 def _(spark, sf):
-    return C.best_pair(scenes(spark, sf), files(spark, sf))
+    return C.best_pair(scenes(spark, sf), files(spark, sf), ratio=True)
 
 
 cte("video_listing", "SELECT DISTINCT path || '/' || filename AS path FROM files WHERE type = 'video' AND length(filename) % 5 <> 0", "files")
@@ -104,9 +104,9 @@ def listings(spark, sf):
 
 
 @query("available_pairs", "pair_rows video_listing script_listing", """SELECT scene_id, video_path, script_path FROM pair_rows
-    WHERE video_path IN (SELECT path FROM video_listing) AND script_path IN (SELECT path FROM script_listing) ORDER BY scene_id, video_path, script_path LIMIT 500""")
+    WHERE video_path IN (SELECT path FROM video_listing) AND script_path IN (SELECT path FROM script_listing)""")
 def _(spark, sf):
-    return C.available_pairs(catalog_pairs(spark, sf), *listings(spark, sf), limit=500).select("scene_id", "video_path", "script_path")
+    return C.available_pairs(catalog_pairs(spark, sf), *listings(spark, sf)).select("scene_id", "video_path", "script_path")
 
 
 @query("availability", "pair_rows video_listing script_listing", """SELECT count(*) AS total, count(*) FILTER (WHERE v AND s) AS available,
@@ -318,9 +318,10 @@ def _(spark, sf):
     return j.select("o_orderkey", r6(s).alias("similarity"))
 
 
-@query("natural_key", "", r"""SELECT s_suppkey, lower(regexp_replace(s_name, '[0-9]+$', '')) || lpad(ltrim(regexp_extract(s_name, '[0-9]+$'), '0'), 20, '0') AS key FROM supplier""")
+@query("natural_key", "", r"""SELECT s_suppkey, lower(regexp_replace(s_name, '[0-9]+$', '')) || lpad(length(n || r)::VARCHAR, 10, '0') || n || r AS key
+    FROM (SELECT *, CASE WHEN s_suppkey = 0 THEN '0' ELSE ltrim(regexp_extract(s_name, '[0-9]+$'), '0') END AS n, repeat('7', (s_suppkey % 20)::INT) AS r FROM supplier)""")
 def _(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", S.natural_key(F.col("s_name")).alias("key"))
+    return table(spark, sf, "supplier").select("s_suppkey", S.natural_key(F.concat("s_name", F.repeat(F.lit("7"), (F.col("s_suppkey") % 20).cast("int")))).alias("key"))
 
 
 @query("sanitize_name", "", r"""SELECT page_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9_.\-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS s FROM pages)""")
@@ -366,7 +367,10 @@ def decisions(spark, sf):
 cte("review_state", """SELECT series_id, CASE arg_max(action, (ts, event_id)) FILTER (WHERE action IN ('approve', 'reject')) WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status,
     CASE arg_max(action, (ts, event_id)) FILTER (WHERE action IN ('approve2', 'reject2')) WHEN 'approve2' THEN 'approved' WHEN 'reject2' THEN 'rejected' ELSE 'pending' END AS stage2_status,
     max(ts) FILTER (WHERE action IN ('approve', 'reject')) AS reviewed_at, max(ts) FILTER (WHERE action IN ('approve2', 'reject2')) AS stage2_reviewed_at,
-    coalesce(arg_max(value, (ts, event_id)) FILTER (WHERE action = 'force_val'), false) AS force_val FROM decisions GROUP BY series_id""", "decisions")
+    coalesce(arg_max(value, (ts, event_id)) FILTER (WHERE action = 'force_val'), false)
+        <> (count(*) FILTER (WHERE action = 'toggle' AND (set_at IS NULL OR (ts, event_id) > set_at)) % 2 = 1) AS force_val
+    FROM decisions LEFT JOIN (SELECT series_id, max((ts, event_id)) AS set_at FROM decisions WHERE action = 'force_val' GROUP BY 1) USING (series_id)
+    GROUP BY series_id""", "decisions")
 
 
 def review_state(spark, sf):

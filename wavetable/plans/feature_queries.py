@@ -425,17 +425,17 @@ SUMMARY = """g AS (SELECT vec_id, sqrt(fx*fx+fy*fy) AS m, fx, fy, atan2(fy, fx)
 k AS (SELECT vec_id, r*4 + c//2 AS cell, [avg(m), stddev_pop(m), avg(fx), avg(fy)] AS s FROM g WHERE {where} GROUP BY vec_id, r, c//2),
 o AS (SELECT vec_id, [avg(m), stddev_pop(m), avg(fx), avg(fy), quantile_cont(m, 0.9), avg(a)] AS s FROM g GROUP BY vec_id),
 v AS (SELECT vec_id, CAST(cell*4 + unnest(range(4)) AS INTEGER) AS dim, unnest(s) AS value FROM k UNION ALL SELECT vec_id, CAST({base} + unnest(range(6)) AS INTEGER), unnest(s) FROM o),
-d AS (SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS dim FROM embeddings)
+d AS (SELECT vec_id, CAST(unnest(range({size})) AS INTEGER) AS dim FROM embeddings)
 SELECT d.vec_id, d.dim, round(coalesce(value, 0), 6) AS value FROM d LEFT JOIN v ON d.vec_id = v.vec_id AND d.dim = v.dim"""
 
 
-@query("field_summary", "field_cells", "WITH " + SUMMARY.format(where="r = 0", base=16))
+@query("field_summary", "field_cells", "WITH " + SUMMARY.format(where="r = 0", base=16, size=64))
 def _(spark, sf):
-    f = H.field_summary(fields(spark, sf), 64)
+    f = H.field_summary(fields(spark, sf), 64, "compat")
     return f.select("vec_id", F.posexplode("f").alias("dim", "value")).withColumn("value", r6("value"))
 
 
-@query("field_summary_full", "field_cells", "WITH " + SUMMARY.format(where="true", base=64))
+@query("field_summary_full", "field_cells", "WITH " + SUMMARY.format(where="true", base=64, size=70))
 def _(spark, sf):
     f = H.field_summary(fields(spark, sf), 64, "full")
     return f.select("vec_id", F.posexplode("f").alias("dim", "value")).withColumn("value", r6("value"))
@@ -681,12 +681,13 @@ def _(spark, sf):
     return K.selection_errors(roll, c)
 
 
-@query("merge_weighted", "keyed_a keyed_b", """SELECT a.key, CAST(a.pos AS INTEGER) AS pos, CASE WHEN a.key LIKE '%.9' OR b.v IS NULL THEN a.v WHEN a.dtype = 'float32' THEN round(a.v*(3.0::DOUBLE/4) + b.v*(1.0::DOUBLE/4), 6) ELSE a.v END AS v
-    FROM keyed_a a LEFT JOIN keyed_b b USING (key, pos) WHERE a.key LIKE '%.7' OR a.key LIKE '%.8' OR a.key LIKE '%.9' OR a.key LIKE '%.12'""")
+@query("merge_weighted", "keyed_a keyed_b", """SELECT a.key, CAST(a.pos AS INTEGER) AS pos, CASE WHEN a.key LIKE '%.9' OR na IS DISTINCT FROM nb THEN a.v WHEN a.dtype = 'float32' THEN round(a.v*(3.0::DOUBLE/4) + b.v*(1.0::DOUBLE/4), 6) ELSE a.v END AS v
+    FROM (SELECT *, count(*) OVER (PARTITION BY key) AS na FROM keyed_a) a LEFT JOIN keyed_b b USING (key, pos)
+    LEFT JOIN (SELECT key, count(*) AS nb FROM keyed_b GROUP BY key) USING (key)""")
 def _(spark, sf):
     a, b = keyed(spark, sf, "a"), keyed(spark, sf, "b")
     sel = a.select("key").distinct().where(~F.endswith("key", F.lit(".9")))
-    m = K.merge_weighted(a, b, 3.0, 1.0, "a", sel).where(F.regexp_extract("key", r"\.(\d+)$", 1).isin("7", "8", "9", "12"))
+    m = K.merge_weighted(a, b, 3.0, 1.0, "a", sel)
     m = m.select("key", "tile", F.posexplode("v").alias("i", "v"))
     return m.select("key", (F.col("tile") * 64 + F.col("i")).cast("int").alias("pos"), r6("v").alias("v"))
 
@@ -701,10 +702,9 @@ def _(spark, sf):
     return K.config_diff(a, b, [f"Brand#{i}" for i in range(1, 7)])
 
 
-@query("systematic_sample", "keyed_a", """WITH n AS (SELECT key, count(*) AS n, greatest(32, floor(4000/count(*) OVER ())) AS cap FROM keyed_a GROUP BY key),
+@query("systematic_sample", "keyed_a", """WITH n AS (SELECT key, count(*) AS n, floor(8000/count(*) OVER ()) AS cap FROM keyed_a GROUP BY key),
 s AS (SELECT key, cap, CASE WHEN n <= cap THEN 1 ELSE greatest(1, floor(n/cap)) END AS step FROM n)
-SELECT key, CAST(pos AS BIGINT) AS pos, v AS value FROM keyed_a JOIN s USING (key) WHERE pos % step = 0 AND pos < cap*step
-ORDER BY lower(split_part(key, '.', 1)), split_part(key, '.', 2), CAST(split_part(key, '.', 3) AS INTEGER), pos LIMIT 4000""")
+SELECT key, CAST(pos AS BIGINT) AS pos, v AS value FROM keyed_a JOIN s USING (key) WHERE pos % step = 0 AND pos < cap*step""")
 def _(spark, sf):
     t = keyed(spark, sf, "a").select("key", "tile", F.posexplode("v").alias("i", "value"))
-    return K.systematic_sample(t.select("key", (F.col("tile") * 64 + F.col("i")).alias("pos"), "value"), 4000)
+    return K.systematic_sample(t.select("key", (F.col("tile") * 64 + F.col("i")).alias("pos"), "value"), 8000)

@@ -11,7 +11,7 @@ from ..operators import catalog as C, curation as U, metrics as M, resample as R
 
 def import_segments(scenes: DataFrame, files: DataFrame, actions: DataFrame, imported: DataFrame, *,
                     segment_sec: float, count: int, fps: float, min_actions: int = 3, seed: int = 42,
-                    kind: str = "pchip", ratio: bool = True, block_ms: float = 86_400_000) -> tuple[DataFrame, DataFrame]:
+                    kind: str = "pchip", ratio: bool = False, block_ms: float = 86_400_000) -> tuple[DataFrame, DataFrame]:
     """Catalogue to labels: best pair, seeded segments with enough control points, not imported yet.
 
     ``actions`` is keyed by scene_id. Returns the segments and their frame labels.

@@ -354,6 +354,38 @@ def _(spark, sf):
     return rounded(V.taper_blend(c, 30), "pos")
 
 
+def chunked(spark, sf):
+    return long_frames(spark, sf).select("series_id", F.floor(F.col("frame_idx") / 900).alias("chunk"), "frame_idx", F.col("pos").cast("double").alias("pos"))
+
+
+@query("troughs", "long_frames", """WITH e AS (SELECT series_id, frame_idx // 900 AS chunk, frame_idx, CAST(pos AS FLOAT) AS pos,
+        CASE WHEN CAST(pos AS FLOAT) = lag(CAST(pos AS FLOAT)) OVER w THEN 0 ELSE 1 END AS new FROM long_frames WINDOW w AS (PARTITION BY series_id, frame_idx // 900 ORDER BY frame_idx)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY series_id, chunk ORDER BY frame_idx) AS k FROM e),
+    r AS (SELECT series_id, chunk, k, min(frame_idx) AS a, max(frame_idx) AS b, any_value(pos) AS v FROM g GROUP BY ALL),
+    t AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS n FROM r WINDOW w AS (PARTITION BY series_id, chunk ORDER BY k))
+    SELECT series_id, CAST((a + b) // 2 AS INTEGER) AS frame_idx FROM t WHERE p > v AND n > v""")
+def _(spark, sf):
+    """Every local minimum: neither spacing nor depth is asked for."""
+    return V.troughs(chunked(spark, sf), 15.0, 0.0, 0.0).where("trough").select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"))
+
+
+@query("lowpass", "long_frames", "SELECT series_id, CAST(frame_idx AS INTEGER) AS frame_idx, round(CAST(CAST(pos AS FLOAT) AS DOUBLE), 6) AS low FROM long_frames")
+def _(spark, sf):
+    """A cut-off above the Nyquist rate passes everything; the filter itself is tested against the plain recursion."""
+    return rounded(V.lowpass(chunked(spark, sf), 15.0, 8.0).select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "low"), "low")
+
+
+@query("normalize_cycles")
+def _(spark, sf):
+    marked = V.troughs(V.lowpass(chunked(spark, sf), 15.0, 4.0), 15.0, x="low")
+    return rounded(V.normalize_cycles(marked, 15.0, reference="low"), "pos", "low")
+
+
+@query("smooth_savgol")
+def _(spark, sf):
+    return rounded(V.smooth(chunked(spark, sf), 15.0, "savgol"), "smooth")
+
+
 WAVE = V.WaveConfig(chunk_seconds=20.0, chunk_overlap_seconds=2.0, lowpass_cutoff_hz=4.0)
 
 

@@ -58,10 +58,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     import uuid
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        _only_local(spark)
         return tempfile.mkdtemp(prefix=f"wavetable-{name}-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _only_local(spark: SparkSession) -> None:
+    """A temporary folder serves only where driver and executors are one process."""
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recompute.
 
@@ -72,6 +80,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None and context.getCheckpointDir() is None:
+        _only_local(spark)
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wavetable-checkpoint-"))
     elif folder is not None and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import strings as S
 from ..operators.blocks import BLOCK_MS, dense_index
@@ -35,18 +35,23 @@ def read_scripts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
     """Control points of all scripts below ``path``; ``ord`` is the place in the file, which breaks ties."""
-    rows = _documents(spark, path).select("series_id", "part", F.posexplode("actions").alias("i", "a"))
-    return rows.select("series_id", (F.shiftleft("part", 32) + F.col("i")).alias("ord"),
+    docs = _documents(spark, path).select("series_id", "part", "actions")
+    sizes = docs.select("series_id", "part", F.size("actions").alias("n"))            # one row per document
+    before = F.sum("n").over(W.partitionBy("series_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("series_id", "part", F.coalesce(before, F.lit(0)).alias("first"))
+    rows = docs.join(offsets, ["series_id", "part"]).select("series_id", "first", F.posexplode("actions").alias("i", "a"))
+    return rows.select("series_id", (F.col("first") + F.col("i")).alias("ord"),
                        F.col("a.at").cast("bigint").alias("at_ms"), F.col("a.pos").alias("pos"))
 
 
-def write_scripts(actions: DataFrame, path: str, metadata: DataFrame | None = None, *, per_document: int = 1_000_000,
+def write_scripts(actions: DataFrame, path: str, metadata: DataFrame | None = None, *, per_document: int | None = None,
                   block_ms: float = BLOCK_MS) -> None:
     """One JSON document per series, written line by line in time order.
 
-    A document is never held in memory: its lines are rows, sorted within the partition. A series
-    with more than ``per_document`` points continues in further documents, which the reader joins.
+    A document is never held in memory: its lines are rows, sorted within the partition. With
+    ``per_document`` a series with more points continues in further documents, which only ``read_actions`` joins.
     """
+    per_document = per_document or LAST
     a = dense_index(actions.select("series_id", "ord", "at_ms", "pos"), "_i", series="series_id", order="at_ms",
                     ties=["ord"], block=block_ms)
     a = a.withColumn("part", F.floor(F.col("_i") / F.lit(per_document)).cast("int"))

@@ -87,7 +87,7 @@ def isolated(fn: Callable, key: list[str], schema: str):
 def review_stream(events: DataFrame, *, ties: tuple[str, ...] = ()) -> DataFrame:
     """Current state per series, updated as decisions arrive. The fold is associative, so it is a
     streaming aggregation with map-side partials; run it in update mode."""
-    return apply_decisions(events, ties=ties)
+    return apply_decisions(events, ties=ties, streaming=True)
 
 
 def update_log(stream: DataFrame, path: str, checkpoint: str):
