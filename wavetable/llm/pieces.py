@@ -62,6 +62,15 @@ class Sampler:
         # every beginning of a piece, with (weight, id) where it is one
         self.begin = {piece[:k]: None for piece in self.id for k in range(1, len(piece))}
         self.begin.update({piece: (self.weight[piece], i) for piece, i in self.id.items()})
+        self.single = {piece for piece in self.id if len(piece) == 1}
+        nodes = {"": 0, **{piece: k for k, piece in enumerate(sorted(self.begin), 1)}}
+        self.node_piece = np.full(len(nodes), -1, np.int64)
+        self.piece_weight = np.zeros(size)
+        for piece, i in self.id.items():
+            self.node_piece[nodes[piece]], self.piece_weight[i] = i, self.weight[piece]
+        steps = sorted((nodes[piece[:-1]] << 21 | ord(piece[-1]), k) for piece, k in nodes.items() if piece)
+        self.tree, self.tree_node = (np.array(v, np.int64) for v in zip(*steps))
+        self.spans = {pair for piece in self.id for pair in zip(piece, piece[1:])}
         self.low = (2.0 + size) ** -alpha
         self.spelt = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.spelt_size = np.fromiter(map(len, self.bytes), np.int64, size)
@@ -69,16 +78,90 @@ class Sampler:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict = {}              # word -> its last state
+        self.known: dict = {}              # part of a word -> (its last state, sizes of the tables before it)
         self.first = array("q", [0])       # per state: where its choices begin
         self.back, self.cum, self.piece = array("q"), array("d"), array("i")
+        self.forget_words()
+
+    def forget_words(self) -> None:
+        self.word: dict = {}               # word -> number; its parts with their last states and ends within the word
+        self.part_at, self.part_state, self.part_end = array("q", [0]), array("q"), array("q")
 
     def forget(self) -> None:
-        """Drop the latest third of the words; frequent ones came early."""
+        """Drop the latest third of the lattices; frequent ones came early."""
         while len(self.known) > self.limit * 2 // 3:
             _, (_, before) = self.known.popitem()
         for name, n in zip(("first", "back", "cum", "piece"), (before[0], *[before[1]] * 3)):
             del getattr(self, name)[n:]
+        self.forget_words()
+
+    def learn(self, words: list) -> None:
+        """Number new words. Where no piece spans two neighbouring characters, the lattices on both sides are independent."""
+        known, spans, cut = self.known, self.spans, []
+        for word in words:
+            ends = [] if isinstance(word, bytes) else [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in spans]
+            ends.append(len(word))
+            cut.append((ends, [word] if len(ends) == 1 else [word[a:b] for a, b in zip([0, *ends], ends)]))
+        self.add_all(list(dict.fromkeys(p for _, parts in cut for p in parts if p not in known)))
+        for word, (ends, parts) in zip(words, cut):
+            self.part_state.extend([known[p][0] for p in parts])
+            self.part_end.extend(ends)
+            self.part_at.append(len(self.part_state))
+            self.word[word] = len(self.word)
+
+    def add_all(self, parts: list) -> None:
+        """Build the lattices of many short parts together; long ones and those with byte pieces one by one."""
+        plain = [p for p in parts if isinstance(p, str) and len(p) <= 40 and not (set(p) - self.single)]
+        some = set(plain)
+        for p in parts:
+            if p not in some:
+                self.add(p)
+        if not plain:
+            return
+        size = np.fromiter(map(len, plain), np.int64, len(plain))
+        code = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word_at = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(plain)), size)
+        stop = (word_at + size)[owner]
+        # all pieces at all places: walk down the tree of beginnings from every character at once
+        at = np.arange(len(code))
+        node, depth, found = np.zeros(len(code), np.int64), 0, []
+        while len(at):
+            key = node << 21 | code[at + depth]
+            child = np.searchsorted(self.tree, key)
+            hit = (child < len(self.tree)) & (self.tree[np.minimum(child, len(self.tree) - 1)] == key)
+            at, node, depth = at[hit], self.tree_node[child[hit]], depth + 1
+            whole = self.node_piece[node] >= 0
+            found.append((at[whole], np.full(int(whole.sum()), depth), self.node_piece[node[whole]]))
+            more = at + depth < stop[at]
+            at, node = at[more], node[more]
+        begin, span, piece = (np.concatenate(v) for v in zip(*found))
+        last = begin + span - 1                                     # a state stands behind each character
+        order = np.lexsort((begin, last))
+        begin, last, piece = begin[order], last[order], piece[order]
+        weight = self.piece_weight[piece]
+        new = np.concatenate([[True], last[1:] != last[:-1]])
+        first = np.flatnonzero(new)                                 # every character ends a piece, itself
+        level = (np.arange(len(code)) - word_at[owner])[last]
+        reach, ways = np.zeros(len(code)), np.zeros(len(last))
+        inside = begin > word_at[owner[begin]]
+        by_level = np.argsort(level, kind="stable")
+        for part in np.split(by_level, np.flatnonzero(np.diff(level[by_level])) + 1):
+            ways[part] = weight[part] * np.where(inside[part], reach[begin[part] - 1], 1.0)
+            edge = np.flatnonzero(np.concatenate([[True], last[part][1:] != last[part][:-1]]))
+            reach[last[part][edge]] = np.add.reduceat(ways[part], edge)
+        total = np.cumsum(ways / reach[last])
+        group = np.cumsum(new) - 1
+        before_group = np.concatenate([[0.0], total])[first]
+        cum = total - before_group[group]
+        cum[np.append(first[1:], len(cum)) - 1] = 1.0
+        states, choices = len(self.first), len(self.cum)
+        self.first.frombytes((first + choices).astype(np.int64).tobytes())
+        self.cum.frombytes(cum.tobytes())
+        self.piece.frombytes(piece.astype(np.int32).tobytes())
+        self.back.frombytes(np.where(inside, begin - 1 + states, 0).astype(np.int64).tobytes())
+        for p, s, n in zip(plain, (word_at + states).tolist(), size.tolist()):
+            self.known[p] = (s + n - 1, (s, choices + int(first[s - states])))
 
     def add(self, word: str | bytes) -> int:
         """Build the lattice of a word; returns its last state. State 0 ends every walk."""
@@ -153,33 +236,36 @@ class Sampler:
         """(ids of all texts in a row, their number in each text). ``keys``: 64-bit hashes of the row keys."""
         if len(self.known) > self.limit:
             self.forget()
+        if len(self.word) > self.limit * 3 // 2:
+            self.forget_words()
         split = [self.words(t) for t in texts]
         flat = [w for own in split for w in own]
-        known = self.known
-        found = list(map(known.get, flat))
-        last = [v[0] if v is not None else -1 for v in found]
-        if None in found:
-            for i, v in enumerate(found):
-                if v is None:
-                    w = flat[i]
-                    last[i] = known[w][0] if w in known else self.add(w)
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        first, back, cum, piece = (np.frombuffer(v, t) for v, t in (
-            (self.first, np.int64), (self.back, np.int64), (self.cum, np.float64), (self.piece, np.int32)))
+        numbers = list(map(self.word.get, flat))
+        if None in numbers:
+            self.learn(list(dict.fromkeys(w for w, v in zip(flat, numbers) if v is None)))
+            numbers = list(map(self.word.get, flat))
+        first, back, cum, piece, part_at, part_state, part_end = (np.frombuffer(v, t) for v, t in (
+            (self.first, np.int64), (self.back, np.int64), (self.cum, np.float64), (self.piece, np.int32),
+            (self.part_at, np.int64), (self.part_state, np.int64), (self.part_end, np.int64)))
+        which = np.array(numbers, np.int64)
         per = np.fromiter(map(len, split), np.int64, len(split))
-        row = np.repeat(np.arange(len(split)), per)
+        word_row = np.repeat(np.arange(len(split)), per)
         length = np.fromiter(map(len, flat), np.int64, len(flat))
         upto = np.cumsum(length)
-        start = np.concatenate([[0], upto])[np.cumsum(per) - per] if len(per) else upto
-        end = upto - start[row] if len(flat) else upto         # the word's end within its text
-        state = np.array(last, np.int64)
+        start = (upto - length) - np.concatenate([[0], upto])[np.cumsum(per) - per][word_row]     # of the word within its text
+        parts = part_at[which + 1] - part_at[which]
+        at = np.repeat(part_at[which] - (np.cumsum(parts) - parts), parts) + np.arange(parts.sum())
+        row = np.repeat(word_row, parts)
+        end = np.repeat(start, parts) + part_end[at]
+        state = part_state[at]
         base = _mix(keys.astype(np.int64).view(U) ^ U(self.seed * 0x9E3779B97F4A7C15 % (1 << 64)))[row]
-        steps = np.zeros(len(flat), np.int64)
-        who, drawn, k = np.arange(len(flat)), [], 0
+        steps = np.zeros(len(row), np.int64)
+        who, drawn, k = np.arange(len(row)), [], 0
         while len(who):
             s = state[who]
-            u = (_mix(base[who] + (end[who] * 64 + k).astype(U) * U(0xD6E8FEB86659FD93)) >> U(11)).astype(np.float64) * 2.0 ** -53
+            u = (_mix(base[who] + ((end[who] << 20) + k).astype(U) * U(0xD6E8FEB86659FD93)) >> U(11)).astype(np.float64) * 2.0 ** -53
             at = first[s]
             late = np.flatnonzero(cum[at] <= u)
             while len(late):
@@ -194,7 +280,7 @@ class Sampler:
         ids = np.zeros(int(finish[-1]) if len(finish) else 0, np.int32)
         for k, (who, p) in enumerate(drawn):
             ids[finish[who] - 1 - k] = p
-        counts = np.bincount(row, steps, len(split)).astype(np.int64) if len(flat) else np.zeros(len(split), np.int64)
+        counts = np.bincount(row, steps, len(split)).astype(np.int64)
         return ids, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
