@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import ready, stored
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _ENCODERS: dict = {}
 
 
@@ -84,7 +84,7 @@ class WordEncoder:
             made = [found[a] + found[b] if b else found[a] if a else b"" for a, b in cut]
             for i, v in zip(missing, made):
                 got[i] = v
-            if len(self.stems) < self.limit:
+            if len(self.stems) < self.limit * 2 // 3:
                 self.stems.update(found)
             if len(self.words) < self.limit:
                 self.words.update(zip(new, made))
