@@ -1,6 +1,7 @@
 """Sources, sinks, streams and curation steps on small made-up inputs."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,7 +145,45 @@ def test_watch_skips_finished_items(spark, tmp_path):
         L.watch(read(), work, done=done, failed=failed, checkpoint=chk).awaitTermination()
     assert sorted((r["series_id"], r["v"]) for r in spark.read.parquet(done).collect()) == [("a", 1), ("b", 2)]
     counts = {r["batch"]: (r["ok"], r["failed"]) for r in L.watch_counts(spark, done, failed).collect()}
-    assert counts == {0: (1, 1), 1: (1, 0)}
+    assert counts == {0: (1, 1), 1: (1, 1)}                             # the failed item was tried again
+
+
+def test_watch_retries_and_survives_exceptions(spark, tmp_path):
+    src, done, failed, chk = (str(tmp_path / n) for n in ("in", "done", "failed", "chk"))
+    calls = []
+
+    def work(b):
+        calls.append(1)
+        if len(calls) == 1:
+            raise ValueError("no connection")
+        return b.withColumn("error", F.when((F.col("series_id") == "slow") & F.lit(len(calls) == 2), "not yet"))
+
+    for batch in ([("a", 1), ("slow", 1)], [("b", 2)], [("c", 3)]):
+        spark.createDataFrame(batch, "series_id string, v int").coalesce(1).write.mode("append").parquet(src)
+        L.watch(L.stream_table(spark, src, "series_id string, v int"), work, done=done, failed=failed, checkpoint=chk).awaitTermination()
+    assert sorted((r["series_id"], r["v"], r["batch"]) for r in spark.read.parquet(done).collect()) == [
+        ("a", 1, 1), ("b", 2, 1), ("c", 3, 2), ("slow", 1, 2)]
+    assert "no connection" in spark.read.parquet(failed).where("batch = 0").first()["error"]
+
+
+def test_live_series_without_end_marker_ends_by_timer(spark, tmp_path):
+    import time
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    schema = "series_id string, frame_idx int, pos double, is_end boolean"
+    wave = lambda x: __import__("numpy").stack([x + x[:, :1], 1 - x], 1)
+    spark.createDataFrame([("s", i, i / 100.0, False) for i in range(47)], schema).coalesce(1).write.parquet(src)
+    s = L.stream_windows(L.stream_table(spark, src, schema), wave, 20, 5, block=40, idle_seconds=0.5)
+    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).trigger(processingTime="1 second").start()
+    found = "series_id string, frame_idx bigint, channel int, pos double"
+    for _ in range(60):
+        time.sleep(0.5)
+        if os.path.isdir(out + "/_spark_metadata") and spark.read.schema(found).parquet(out).count() >= 94:
+            break
+    q.stop()
+    got = {(r["frame_idx"], r["channel"]): r["pos"] for r in spark.read.schema(found).parquet(out).collect()}
+    data = spark.createDataFrame([("s", i, i / 100.0) for i in range(47)], "series_id string, frame_idx int, pos double")
+    want = {(r["frame_idx"], r["channel"]): r["pos"] for r in G.sliding_predict(data, wave, seq=20, stride=5, block=25).collect()}
+    assert len(want) == 94 and got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
 @pytest.mark.parametrize("lengths,block", [((130, 64, 40, 41, 5), 40), ((97,), 20)])

@@ -475,11 +475,13 @@ def _(spark, sf):
     return split(spark, sf).groupBy("split").agg(F.count("*").alias("scenes"))
 
 
-@query("split_totals", "", f"""WITH {CANDIDATES} SELECT count(*) AS scenes, CAST(sum(n_chars) AS BIGINT) AS frames FROM cand WHERE reason IS NULL""")
+@query("split_totals", "", """SELECT CASE quality WHEN 1 THEN 'train' ELSE 'val' END AS split, count(*) AS scenes, CAST(sum(n_chars) AS BIGINT) AS frames
+    FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
-    s = split(spark, sf)
-    t = M.split_totals(s.select("doc_id", "split"), s.select("doc_id", F.col("n_chars").alias("frames")), series="doc_id")
-    return t.agg(F.sum("scenes").alias("scenes"), F.sum("frames").alias("frames"))
+    """Totals of each split, here the two labels of quality."""
+    s = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").otherwise("val").alias("split"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("frames"))
+    return M.split_totals(s, d, series="doc_id").select("split", "scenes", "frames")
 
 
 @query("train_val_split")

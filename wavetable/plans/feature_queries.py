@@ -78,9 +78,23 @@ def _(spark, sf):
     return rounded(G.blend_windows(s, SEQ), "pos")
 
 
-@query("sliding_predict", "frames", """SELECT series_id, frame_idx, c AS channel, round(CASE c WHEN 0 THEN pos*2.0::DOUBLE ELSE 1.0::DOUBLE - pos END, 6) AS pos FROM frames, (SELECT unnest(range(2))::INTEGER AS c)""")
+#: Blend of a model of two channels whose answer depends on the first frame of the window.
+BLENDED = """WITH n AS (SELECT series_id, max(frame_idx) + 1 AS n FROM frames GROUP BY 1),
+    w AS (SELECT series_id, unnest(CASE WHEN n < {seq} THEN [0] ELSE list_distinct(list_concat(range(0, n - {seq} + 1, {stride}), [n - {seq}])) END) AS s FROM n),
+    x AS (SELECT f.series_id, f.frame_idx, f.pos, g.pos AS p0, 1 - abs(2 * (f.frame_idx - s) / ({seq} - 1)::DOUBLE - 1) + 0.01::DOUBLE AS t FROM w
+        JOIN frames f ON f.series_id = w.series_id AND f.frame_idx >= s AND f.frame_idx < s + {seq} JOIN frames g ON g.series_id = w.series_id AND g.frame_idx = s)
+    SELECT series_id, CAST(frame_idx AS {kind}) AS frame_idx, c AS channel, round(sum(t * CASE c WHEN 0 THEN 2 * pos + p0 ELSE 1 - pos + 3 * p0 END) / sum(t), 6) AS pos
+    FROM x, (SELECT unnest(range(2))::INTEGER AS c) GROUP BY series_id, frame_idx, c"""
+
+
+def window_model(x):
+    import numpy as np
+    return np.stack([2.0 * x + x[:, :1], 1.0 - x + 3.0 * x[:, :1]], axis=1)
+
+
+@query("sliding_predict", "frames", BLENDED.format(seq=60, stride=25, kind="INTEGER"))
 def _(spark, sf):
-    return rounded(G.sliding_predict(frames(spark, sf), two_channels, seq=60, stride=25), "pos")
+    return rounded(G.sliding_predict(frames(spark, sf), window_model, seq=60, stride=25), "pos")
 
 
 @query("epoch_subset", "fit_windows", """SELECT series_id, n, start FROM (SELECT *, row_number() OVER (ORDER BY (series_id*7919 + start*104729) % 1000003, series_id, start) AS rn FROM fit_windows) WHERE rn <= 300""")

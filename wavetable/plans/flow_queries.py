@@ -11,7 +11,7 @@ from ..sources import scripts as SC, tables as T
 from ..streaming import live as L
 from . import flows as P
 from .catalog_queries import decisions, files, review_state, scenes
-from .feature_queries import poses, two_channels
+from .feature_queries import BLENDED, poses, two_channels, window_model
 from .roles import actions, cte, frames, pairs, query, r6, rounded, table
 from .series_queries import WAVE, DAY
 
@@ -136,7 +136,7 @@ def _(spark, sf):
     return L.latest(spark.read.parquet(log))
 
 
-@query("stream_windows", "frames", "SELECT series_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(pos*2.0::DOUBLE + 0.25::DOUBLE, 6) AS pos FROM frames")
+@query("stream_windows", "frames", BLENDED.format(seq=12, stride=5, kind="BIGINT"))
 def _(spark, sf):
     """Frames in time order through stateful windows; equal to scoring each series as a whole."""
     src, out, chk = (shared_folder(spark, n) for n in ("frames", "predictions", "windowchk"))
@@ -146,7 +146,7 @@ def _(spark, sf):
     s = L.stream_table(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = L.stream_windows(s, G.LinearScorer((2.0,), 0.25), 12, 5, block=40)
+    q = L.stream_windows(s, window_model, 12, 5, block=40)
     (q.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).trigger(availableNow=True)
       .start().awaitTermination())
     return rounded(spark.read.parquet(out), "pos")
@@ -160,7 +160,8 @@ def _(spark, sf):
     p.select("series_id").distinct().repartitionByRange(3, "series_id").write.mode("overwrite").parquet(src)
 
     def work(batch):
-        m = M.pred_vs_baseline(p.where(F.col("series_id") % 10 != 3)).select("series_id", "frames", "mse")
+        mine = p.where(F.col("series_id") % 10 != 3).join(batch.select("series_id"), "series_id", "left_semi")
+        m = M.pred_vs_baseline(mine).select("series_id", "frames", "mse")
         j = batch.join(m, "series_id", "left")
         return j.withColumn("error", F.when(F.col("mse").isNull(), "missing target"))
 

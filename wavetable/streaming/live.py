@@ -25,34 +25,44 @@ def stream_table(spark: SparkSession, path: str, schema, *, pattern: str = "*.pa
 
 def watch(items: DataFrame, work: Callable[[DataFrame], DataFrame], *, done: str, failed: str, checkpoint: str,
           key: str = "series_id", poll: str | None = None):
-    """Process new items once. ``work`` returns one row per item with a nullable ``error``.
+    """Process every new item. ``work`` returns one row per item with a nullable ``error``.
 
-    Finished rows go below ``done``, failed ones below ``failed``, in a folder per batch that a
-    replayed batch overwrites. Items finished before are skipped. ``poll`` sets the interval; without
-    it the query takes what is there and stops. Returns the running query.
+    Finished rows go below ``done``, failed ones below ``failed``, in a folder per batch that a replayed batch overwrites.
+    A failed item stays pending: its row is kept below ``failed``-items and tried again with the next batch. If ``work``
+    itself raises, all items of the batch count as failed and the stream goes on. A key that came before is not
+    taken again; the stream keeps the keys it has seen in its state, so no earlier batch is read. ``poll`` sets the
+    interval; without it the query takes what is there and stops. Returns the running query.
     """
     spark = items.sparkSession
+    waiting = f"{failed.rstrip('/')}-items"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = _earlier(spark, done, batch_id, key)
-        pending = batch if earlier is None else batch.join(earlier, key, "left_anti")
-        out = work(pending).persist()
+        left = _left_over(spark, waiting, batch_id)
+        pending = (batch if left is None else batch.unionByName(left)).persist()
         try:
-            out.where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-            out.where(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
-        finally:
+            try:
+                out = work(pending).persist()
+                out.where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+            except Exception as exc:  # noqa: BLE001  the items stay pending
+                out = pending.select(key, F.lit(f"{type(exc).__name__}: {exc}"[:2000]).alias("error")).persist()
+            bad = out.where(F.col("error").isNotNull())
+            bad.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
+            pending.join(bad.select(key).distinct(), key, "left_semi").select(*batch.columns).write.mode("overwrite").parquet(
+                f"{waiting}/batch={batch_id}")
             out.unpersist()
+        finally:
+            pending.unpersist()
 
-    w = items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    w = items.dropDuplicates([key]).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=poll) if poll else w.trigger(availableNow=True)).start()
 
 
-def _earlier(spark: SparkSession, done: str, batch_id: int, key: str) -> DataFrame | None:
-    """Keys of earlier batches (not of this one, in case it is replayed)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(done)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+def _left_over(spark: SparkSession, waiting: str, batch_id: int) -> DataFrame | None:
+    """Items that the batch before left failed; each batch takes over what the one before could not do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{waiting}/batch={batch_id - 1}")
+    if batch_id == 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.parquet(done).where(F.col("batch") != batch_id).select(key).distinct()
+    return spark.read.parquet(f"{waiting}/batch={batch_id - 1}")
 
 
 def watch_counts(spark: SparkSession, done: str, failed: str) -> DataFrame:
@@ -110,80 +120,110 @@ def latest(log: DataFrame, key: str = "series_id") -> DataFrame:
 class _WindowState(StatefulProcessor):
     """Sliding windows over one stretch of one series.
 
-    Kept per key: frames that a coming window may need, and blend sums of frames that are not final.
-    A frame is final once the head is ``seq`` frames past it: no regular window and no tail window
-    can reach it any more.
+    Kept per key: frames that a coming window may need, and blend sums of frames that are not final. A frame is
+    final once the head is ``seq`` frames past it: no regular window and no tail window can reach it any more. With
+    ``idle_ms`` a key that gets nothing for so long ends where its frames end.
     """
 
     SCHEMA = ("head bigint, next bigint, length bigint, idx array<bigint>, val array<double>, "
-              "out array<bigint>, total array<double>, weight array<double>")
+              "given bigint, channels int, total array<double>, weight array<double>")
 
-    def __init__(self, scorer, seq: int, stride: int, block: int):
-        self.scorer, self.seq, self.stride, self.block = scorer, seq, stride, block
+    def __init__(self, scorer, seq: int, stride: int, block: int, idle_ms: int | None = None):
+        self.scorer, self.seq, self.stride, self.block, self.idle_ms = scorer, seq, stride, block, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("window", self.SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
+        if self.idle_ms is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        idx, val, length = [], [], -1
+        for pdf in rows:
+            ends = pdf["is_end"].to_numpy(dtype=bool)
+            at = pdf["frame_idx"].to_numpy(dtype=np.int64)
+            if ends.any():
+                length = int(at[ends].max())
+            idx.append(at[~ends])
+            val.append(pdf["pos"].to_numpy(dtype=np.float64)[~ends])
+        yield from self._advance(key, np.concatenate(idx), np.concatenate(val), length, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import numpy as np
+        if self.state.exists():
+            yield from self._advance(key, np.zeros(0, np.int64), np.zeros(0), -1, True)
+
+    def _advance(self, key, idx, val, length: int, over: bool) -> Iterator:
         import numpy as np
         import pandas as pd
         series, blk = key
+        seq, stride = self.seq, self.stride
         lo, hi = blk * self.block, (blk + 1) * self.block
-        first = max(0, lo - self.seq)
+        total, weight, given = None, np.zeros(self.block), lo
         if self.state.exists():
-            head, nxt, length, idx, val, out, total, weight = self.state.get()
-            frames = dict(zip(idx, val))
-            sums = {f: [t, w] for f, t, w in zip(out, total, weight)}
+            head, start, known, old, old_val, given, channels, kept_total, kept_weight = self.state.get()
+            idx, val = np.concatenate([np.asarray(old, np.int64), idx]), np.concatenate([np.asarray(old_val, float), val])
+            length = max(length, known)
+            if channels:
+                n = len(kept_weight)
+                total = np.zeros((channels, self.block))
+                total[:, given - lo:given - lo + n] = np.asarray(kept_total, float).reshape(channels, n)
+                weight[given - lo:given - lo + n] = kept_weight
         else:
-            head, length, frames, sums = first, -1, {}, {}
-            nxt = max(0, -(-(lo - self.seq + 1) // self.stride) * self.stride)
-        for pdf in rows:
-            ends = pdf.loc[pdf["is_end"], "frame_idx"]
-            if len(ends):
-                length = int(ends.max())
-            data = pdf[~pdf["is_end"]]
-            frames.update(zip(data["frame_idx"].tolist(), data["pos"].tolist()))
-        while head in frames:                        # all frames before the head have arrived
-            head += 1
-
-        tri = 1.0 - np.abs(2.0 * np.arange(self.seq) / max(self.seq - 1, 1) - 1.0) + 0.01
-
-        def add(start: int, real: int) -> None:
-            x = np.zeros(self.seq)
-            x[:real] = [frames[start + i] for i in range(real)]
-            p = np.asarray(self.scorer(x[None, :]), dtype=float).reshape(1, -1, self.seq)[0, 0]
-            for i in range(real):
-                f = start + i
-                if lo <= f < hi:
-                    s = sums.setdefault(f, [0.0, 0.0])
-                    s[0] += float(p[i] * tri[i])
-                    s[1] += float(tri[i])
-
-        while nxt < hi and nxt + self.seq <= head:
-            add(nxt, self.seq)
-            nxt += self.stride
+            head = max(0, lo - seq)
+            start = max(0, -(-(lo - seq + 1) // stride) * stride)
+        # a frame that came twice counts as it came last
+        idx, last = np.unique(idx[::-1], return_index=True)
+        val = val[::-1][last]
+        from_head = idx[np.searchsorted(idx, head):]
+        gap = np.flatnonzero(from_head != head + np.arange(len(from_head)))
+        head += int(gap[0]) if len(gap) else len(from_head)             # all frames before the head have arrived
+        length = head if over and length < 0 else length
         finished = 0 <= length <= head
-        if finished:
-            if length <= lo:                         # only the halo of this stretch was used
-                pass
-            elif length < self.seq:
-                add(0, length)
-            elif (length - self.seq) % self.stride:
-                add(length - self.seq, self.seq)
-            final = length
-        else:
-            final = min(nxt, head - self.seq)
-        ready = sorted(f for f in sums if f < final)
-        if ready:
-            yield pd.DataFrame({"series_id": [series] * len(ready), "frame_idx": ready,
-                                "pos": [sums[f][0] / sums[f][1] for f in ready]})
+        starts = list(range(start, min(hi, head - seq + 1), stride))
+        start = starts[-1] + stride if starts else start
+        windows = [(s, seq) for s in starts]
+        if finished and length > lo:
+            if length < seq:
+                windows.append((0, length))
+            elif (length - seq) % stride:
+                windows.append((length - seq, seq))
+        tri = 1.0 - np.abs(2.0 * np.arange(seq) / max(seq - 1, 1) - 1.0) + 0.01
+        for at in range(0, len(windows), 256):
+            part = windows[at:at + 256]
+            x = np.zeros((len(part), seq))
+            for row, (s, n) in zip(x, part):
+                k = np.searchsorted(idx, s)
+                row[:n] = val[k:k + n]
+            y = np.asarray(self.scorer(x), dtype=float)
+            y = y[:, None, :] if y.ndim == 2 else y
+            total = np.zeros((y.shape[1], self.block)) if total is None else total
+            for p, (s, n) in zip(y, part):
+                a, b = max(s, lo), min(s + n, hi)
+                if a < b:
+                    total[:, a - lo:b - lo] += p[:, a - s:b - s] * tri[a - s:b - s]
+                    weight[a - lo:b - lo] += tri[a - s:b - s]
+        final = min(length if finished else min(start, head - seq), hi)
+        if total is not None and final > given:
+            ready = np.arange(given, final)
+            ready = ready[weight[ready - lo] > 0]
+            for c in range(len(total)):
+                if len(ready):
+                    yield pd.DataFrame({"series_id": [series] * len(ready), "frame_idx": ready, "channel": np.full(len(ready), c, np.int32),
+                                        "pos": total[c, ready - lo] / weight[ready - lo]})
         if finished or final >= hi:
             self.state.clear()
             return
-        keep = sorted(f for f in frames if f >= min(nxt, head - self.seq))
-        left = sorted(f for f in sums if f >= final)
-        self.state.update((head, nxt, length, keep, [frames[f] for f in keep], left, [sums[f][0] for f in left],
-                           [sums[f][1] for f in left]))
+        given = max(given, final)
+        keep = idx >= min(start, head - seq)
+        size = int(np.flatnonzero(weight)[-1]) + 1 - (given - lo) if weight.any() else 0
+        size = max(size, 0) if total is not None else 0
+        held = slice(given - lo, given - lo + size)
+        self.state.update((head, start, length, idx[keep].tolist(), val[keep].tolist(), given, 0 if total is None else len(total),
+                           [] if total is None else total[:, held].ravel().tolist(), weight[held].tolist()))
 
     def close(self) -> None:
         pass
@@ -197,11 +237,12 @@ def _travel_by_value(scorer) -> None:
 
 
 def stream_windows(frames: DataFrame, scorer: Callable, seq: int = 120, stride: int = 60, *,
-                   block: int = BLOCK_FRAMES) -> DataFrame:
-    """Blended predictions of live series, append mode; equal to ``sliding_predict`` over the whole.
+                   block: int = BLOCK_FRAMES, idle_seconds: float | None = None) -> DataFrame:
+    """Blended predictions of live series per channel, append mode; equal to ``sliding_predict`` over the whole.
 
     ``frames`` is a stream of series_id, frame_idx, pos and is_end; the end row carries the number of
-    frames as its index. State is kept per series and stretch of ``block`` frames, so that even a
+    frames as its index. A series without one ends after ``idle_seconds`` without frames, if
+    that is set; timers need a trigger that keeps running, not one that takes what is there and stops. State is kept per series and stretch of ``block`` frames, so that even a
     backlog of one long series spreads over many tasks.
     """
     if block % stride or block < seq:
@@ -215,4 +256,5 @@ def stream_windows(frames: DataFrame, scorer: Callable, seq: int = 120, stride:
     rows = rows.withColumn(BLK, F.explode(span))
     kind = rows.schema["series_id"].dataType.simpleString()
     return rows.groupBy("series_id", BLK).transformWithStateInPandas(
-        _WindowState(scorer, seq, stride, block), f"series_id {kind}, frame_idx bigint, pos double", "Append", "None")
+        _WindowState(scorer, seq, stride, block, None if idle_seconds is None else int(idle_seconds * 1000)),
+        f"series_id {kind}, frame_idx bigint, channel int, pos double", "Append", "None" if idle_seconds is None else "ProcessingTime")
