@@ -217,6 +217,34 @@ def rank_mismatches(findings: DataFrame, top: int | None = 25, *, similarity: st
     return out if top is None else out.limit(top)
 
 
+def label_audit(segments: DataFrame, actions: DataFrame, stored: DataFrame, regenerated: DataFrame, reviews: DataFrame | None = None, *,
+                offsets: DataFrame | None = None, status: str | None = None, ratio: bool = False, scene: Key = "scene_id",
+                series: Key = "series_id") -> DataFrame:
+    """Stored labels of every segment held against their script: one finding per segment.
+
+    ``segments`` has video_path and script_path, ``actions`` the control points by scene, ``regenerated`` the labels made again
+    (``resample.extract_labels``), ``reviews`` the status (``pending`` where there is none), ``offsets`` the offset_sec and
+    score of ``best_offset``. ``status`` keeps one status only. Adds to ``label_mismatch``: status, action_count,
+    similarity of the two names, offset_sec and score (null without ``offsets``). Rank with ``rank_mismatches``.
+    """
+    from ..functions import strings as S
+    by = keys(series)
+    seg = segments.select(*by, *keys(scene), "video_path", "script_path")
+    if reviews is not None:
+        seg = seg.join(reviews.select(*by, "status"), by, "left")
+    seg = seg.withColumn("status", F.coalesce("status", F.lit("pending")) if reviews is not None else F.lit("pending"))
+    seg = seg if status is None else seg.where(F.col("status") == status)
+    counts = actions.groupBy(*keys(scene)).agg(F.count("*").alias("action_count"))
+    tokens = [S.name_tokens(F.col(c)) for c in ("video_path", "script_path")]
+    named = F.when(F.col("video_path").isNull(), 0.0).otherwise(
+        S.name_similarity(F.col("video_path"), F.col("script_path"), *tokens, ratio=ratio))
+    out = seg.join(counts, keys(scene), "left").withColumn("action_count", F.coalesce("action_count", F.lit(0)))
+    out = out.join(label_mismatch(stored, regenerated, series=series), by).withColumn("similarity", named)
+    if offsets is None:
+        return out.withColumns({"offset_sec": F.lit(None).cast("double"), "score": F.lit(None).cast("double")})
+    return out.join(offsets.select(*by, "offset_sec", "score"), by, "left")
+
+
 def best_offset(pairs: DataFrame, max_lag: int, fps: float = 1.0, *, a: str = "a", b: str = "b",
                 series: Key = "series_id", block: int = BLOCK_FRAMES) -> DataFrame:
     """Lag of ``b`` against ``a`` with the least mean absolute difference; ties to the smallest lag.

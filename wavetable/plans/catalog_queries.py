@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import catalog as C, curation as U, metrics as M, waves as V
-from .roles import actions, cte, frames, query, r6, rounded, segments, table
+from .roles import actions, cte, frames, pairs, query, r6, rounded, segments, table
+from .series_queries import MISMATCH
 
 DAY = 86_400_000 * 30
 
@@ -493,3 +494,25 @@ def _(spark, sf):
 def _(spark, sf):
     ids = candidates(spark, sf).where(F.col("reason").isNull()).select("doc_id")
     return U.missing_requested(ids, table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), series="doc_id")
+
+
+# ---------------------------------------------------------------- label audit
+
+
+@query("label_audit", "pairs review_state frames", f"""WITH {MISMATCH},
+    s AS (SELECT user_id AS series_id, CAST(count(*) AS BIGINT) AS action_count, '/v/User ' || (user_id % 7) || ' take_' || user_id || '.mp4' AS v, '/s/user-' || (user_id % 5) || ' take.funscript' AS f
+        FROM events GROUP BY user_id),
+    t AS (SELECT *, {tok('v')} AS ta, {tok('f')} AS tb FROM s)
+    SELECT mm.*, status, action_count, round({SCORE.format(a=stem('v'), b=stem('f'))}, 6) AS similarity FROM mm JOIN t USING (series_id) JOIN review_state USING (series_id)
+    WHERE status = 'approved'""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    u = F.col("user_id")
+    seg = e.groupBy("user_id").agg(F.count("*").alias("n")).select(u.alias("series_id"), u.alias("scene_id"),
+        F.concat(F.lit("/v/User "), (u % 7).cast("string"), F.lit(" take_"), u.cast("string"), F.lit(".mp4")).alias("video_path"),
+        F.concat(F.lit("/s/user-"), (u % 5).cast("string"), F.lit(" take.funscript")).alias("script_path"))
+    p = pairs(spark, sf)
+    stored, again = (p.select("series_id", "frame_idx", F.col(c).alias("pos")) for c in ("target", "pred"))
+    found = M.label_audit(seg, e.select(u.alias("scene_id")), stored, again, review_state(spark, sf), status="approved")
+    found = found.drop("scene_id", "video_path", "script_path", "offset_sec", "score")
+    return rounded(rounded(found, "similarity"), "stored_std", "flat_frac", "rmse", "max_abs", digits=10)

@@ -136,20 +136,9 @@ def _(spark, sf):
 @query("benchmark_suite")
 def _(spark, sf):
     """The same sampled windows for two models: score, metrics per window, summary per model."""
-    f = frames(spark, sf)
-    ix = G.sample_windows(G.window_index(V.lengths_of(f), 30, 30), 40, 42)
-    w = G.materialize_windows(f, ix, ["pos"], 30)
+    from .flows import benchmark_suite
     models = {"identity": G.LinearScorer((1.0,)), "damped": G.LinearScorer((0.8,), 0.1)}
-    rows = None
-    for label, model in models.items():
-        s = G.score_windows(w, model).select("series_id", "start", F.lit(label).alias("label"), F.element_at("pred", 1).alias("pred"))
-        rows = s if rows is None else rows.unionByName(s)
-    z = rows.join(w.select("series_id", "start", F.col("pos").alias("target")), ["series_id", "start"])
-    z = z.select("label", "series_id", "start", F.posexplode(F.arrays_zip("pred", "target")).alias("frame_idx", "z"))
-    p = z.select("label", "series_id", "start", "frame_idx", "z.pred", "z.target")
-    by = ["label", "series_id", "start"]
-    m = M.regression_metrics(p, series=by).join(p.groupBy(*by).agg(F.avg("pred").alias("pred_mean"), F.stddev_pop("pred").alias("pred_std")), by)
-    return rounded(M.benchmark_summary(m), "mean", "std")
+    return rounded(benchmark_suite(frames(spark, sf), models, seq=30, stride=30, count=40, seed=42), "mean", "std")
 
 
 @query("choose_segments")

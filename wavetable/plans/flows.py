@@ -52,3 +52,20 @@ def evaluate_and_split(labels: DataFrame, predictions: DataFrame, reviews: DataF
     metrics = M.scene_evaluation(labels, predictions)
     return (tagged.select("series_id", "frames", "label_std", "status", "reason")
             .join(split, "series_id", "left").join(metrics, "series_id", "left"))
+
+
+def benchmark_suite(frames: DataFrame, models: dict[str, Callable], *, seq: int = 120, stride: int = 60, count: int = 40,
+                    seed: int = 42, explicit: DataFrame | None = None, x: str = "pos", series: str = "series_id") -> DataFrame:
+    """Several models on the same windows, drawn by seed or named: score, metrics per window, summary per model."""
+    index = G.sample_windows(G.window_index(V.lengths_of(frames), seq, stride), count, seed, explicit)
+    cut = G.materialize_windows(frames, index, [x], seq)
+    scored = [G.score_windows(cut, model).select(series, "start", F.lit(label).alias("label"), F.element_at("pred", 1).alias("pred"))
+              for label, model in models.items()]
+    rows = scored[0]
+    for more in scored[1:]:
+        rows = rows.unionByName(more)
+    by = ["label", series, "start"]
+    both = rows.join(cut.select(series, "start", F.col(x).alias("target")), [series, "start"])
+    both = both.select(*by, F.posexplode(F.arrays_zip("pred", "target")).alias("frame_idx", "z")).select(*by, "frame_idx", "z.pred", "z.target")
+    spread = both.groupBy(*by).agg(F.avg("pred").alias("pred_mean"), F.stddev_pop("pred").alias("pred_std"))
+    return M.benchmark_summary(M.regression_metrics(both, series=by).join(spread, by))
