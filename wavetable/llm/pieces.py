@@ -40,7 +40,7 @@ class Sampler:
     """Lattices of distinct words as flat tables. State = (word, position); each state lists the pieces that may end there with
     running probabilities, the state before, and the piece."""
 
-    def __init__(self, path: str, alpha: float = 0.5, seed: int = 1, limit: int = 600_000):
+    def __init__(self, path: str, alpha: float = 0.5, seed: int = 1, limit: int = 850_000):
         import sentencepiece
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.get_piece_size()
@@ -78,7 +78,7 @@ class Sampler:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict = {}              # part of a word -> (its last state, sizes of the tables before it)
+        self.known: dict = {}              # part of a word -> its last state
         self.first = array("q", [0])       # per state: where its choices begin
         self.back, self.cum, self.piece = array("q"), array("d"), array("i")
         self.forget_words()
@@ -88,23 +88,27 @@ class Sampler:
         self.part_at, self.part_state, self.part_end = array("q", [0]), array("q"), array("q")
 
     def forget(self) -> None:
-        """Drop the latest third of the lattices; frequent ones came early."""
+        """Drop the latest third of the lattices; frequent ones came early, and states are numbered as they come."""
         while len(self.known) > self.limit * 2 // 3:
-            _, (_, before) = self.known.popitem()
-        for name, n in zip(("first", "back", "cum", "piece"), (before[0], *[before[1]] * 3)):
-            del getattr(self, name)[n:]
+            self.known.popitem()
+        states = next(reversed(self.known.values())) + 1
+        choices = self.first[states] if states < len(self.first) else len(self.cum)
+        del self.first[states:], self.cum[choices:], self.back[choices:], self.piece[choices:]
         self.forget_words()
 
     def learn(self, words: list) -> None:
         """Number new words. Where no piece spans two neighbouring characters, the lattices on both sides are independent."""
         known, spans, cut = self.known, self.spans, []
         for word in words:
-            ends = [] if isinstance(word, bytes) else [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in spans]
-            ends.append(len(word))
+            inner = word[1:]
+            if isinstance(word, bytes) or inner.isascii() and inner.isalpha():      # letters are mostly spanned
+                ends = [len(word)]
+            else:
+                ends = [*[i for i, pair in enumerate(zip(word, inner), 1) if pair not in spans], len(word)]
             cut.append((ends, [word] if len(ends) == 1 else [word[a:b] for a, b in zip([0, *ends], ends)]))
         self.add_all(list(dict.fromkeys(p for _, parts in cut for p in parts if p not in known)))
         for word, (ends, parts) in zip(words, cut):
-            self.part_state.extend([known[p][0] for p in parts])
+            self.part_state.extend([known[p] for p in parts])
             self.part_end.extend(ends)
             self.part_at.append(len(self.part_state))
             self.word[word] = len(self.word)
@@ -161,16 +165,15 @@ class Sampler:
         self.piece.frombytes(piece.astype(np.int32).tobytes())
         self.back.frombytes(np.where(inside, begin - 1 + states, 0).astype(np.int64).tobytes())
         for p, s, n in zip(plain, (word_at + states).tolist(), size.tolist()):
-            self.known[p] = (s + n - 1, (s, choices + int(first[s - states])))
+            self.known[p] = s + n - 1
 
     def add(self, word: str | bytes) -> int:
         """Build the lattice of a word; returns its last state. State 0 ends every walk."""
-        before = (len(self.first), len(self.cum))
         if isinstance(word, bytes):        # fixed bytes
             state = 0
             for b in word:
                 state = self._state(state, self.byte[b])
-            self.known[word] = (state, before)
+            self.known[word] = state
             return state
         n, get = len(word), self.begin.get
         ends: list[list] = [[] for _ in range(n + 1)]
@@ -209,7 +212,7 @@ class Sampler:
                 reach *= 1e200
                 for later in ends[i + 2:i + 1 + self.longest]:
                     later[:] = [(c * 1e200, s, p) for c, s, p in later]
-        self.known[word] = (state, before)
+        self.known[word] = state
         return state
 
     def _state(self, before: int, piece: int) -> int:
@@ -243,9 +246,12 @@ class Sampler:
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         numbers = list(map(self.word.get, flat))
-        if None in numbers:
-            self.learn(list(dict.fromkeys(w for w, v in zip(flat, numbers) if v is None)))
-            numbers = list(map(self.word.get, flat))
+        missing = [i for i, v in enumerate(numbers) if v is None]
+        if missing:
+            new = [flat[i] for i in missing]
+            self.learn(list(dict.fromkeys(new)))
+            for i, v in zip(missing, map(self.word.get, new)):
+                numbers[i] = v
         first, back, cum, piece, part_at, part_state, part_end = (np.frombuffer(v, t) for v, t in (
             (self.first, np.int64), (self.back, np.int64), (self.cum, np.float64), (self.piece, np.int32),
             (self.part_at, np.int64), (self.part_state, np.int64), (self.part_end, np.int64)))
@@ -305,7 +311,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 0.5, seed: int = 1, doc_i
     Null and empty texts have no pieces. Rows with equal ids draw alike; null ids share a key. One pass, no shuffle, whole
     texts. Other columns are ignored.
     """
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, 1200)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(doc_id).alias("key"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
