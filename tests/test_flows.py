@@ -252,3 +252,14 @@ def test_epoch_subset_without_shuffle(spark):
     index = spark.range(50).select((F.col("id") % 5).alias("series_id"), F.col("id").alias("start"))
     got = [tuple(r) for r in G.epoch_subset(index, 12, shuffle=False).orderBy("series_id", "start").collect()]
     assert got == sorted((i % 5, i) for i in range(50))[:12]
+
+
+def test_segments_without_a_rate_give_zeros(spark):
+    from wavetable.operators import resample as R
+    seg = spark.createDataFrame([("a", 10.0, 3), ("a", 0.0, 2), ("a", None, 1), ("a", 10.0, 0)], "series_id string, fps double, total_frames int")
+    seg = seg.withColumn("id", F.monotonically_increasing_id())
+    knots = spark.createDataFrame([("a", 0, 0, 50.0), ("a", 1, 1000, 50.0)], "series_id string, ord int, at_ms bigint, pos double")
+    assert sorted(r["reason"] for r in R.invalid_segments(seg).collect()) == ["no frame rate", "no frame rate", "no frames"]
+    assert [(r["frame_idx"], r["t_ms"]) for r in R.frame_grid(seg.where("fps = 0")).orderBy("frame_idx").collect()] == [(0, 0.0), (1, 0.0)]
+    got = R.resample(knots, seg, "linear", segment="id").groupBy("id").agg(F.count("*").alias("n"), F.max("pos").alias("top")).collect()
+    assert sorted((r["n"], r["top"]) for r in got) == [(1, 0.0), (2, 0.0), (3, 0.5)]

@@ -59,12 +59,19 @@ def script_fps(metadata: Column, estimated: Column) -> Column:
 
 def frame_grid(segments: DataFrame, *, frames: str = "total_frames", fps: str = "fps",
                start_sec: str | None = None) -> DataFrame:
-    """One row per frame: index and time in milliseconds. Without a valid rate there is no grid."""
-    valid = segments.where((F.col(fps) > 0) & (F.col(frames) > 0))
-    out = explode_range(valid, F.lit(0), F.col(frames) - 1, "frame_idx", rebalance=True)
+    """One row per frame: index and time in milliseconds. Without a valid rate every frame has time 0; a segment without
+    frames has no rows. ``invalid_segments`` names both."""
+    out = explode_range(segments.where(F.col(frames) > 0), F.lit(0), F.col(frames) - 1, "frame_idx", rebalance=True)
     out = out.withColumn("frame_idx", F.col("frame_idx").cast("int"))
-    return out.withColumn("t_ms", grid_time(F.col("frame_idx"), F.col(fps),
-                                            F.col(start_sec) if start_sec else None))
+    time = grid_time(F.col("frame_idx"), F.col(fps), F.col(start_sec) if start_sec else None)
+    return out.withColumn("t_ms", F.when(F.col(fps) > 0, time).otherwise(0.0))
+
+
+def invalid_segments(segments: DataFrame, *, frames: str = "total_frames", fps: str = "fps") -> DataFrame:
+    """Segments that cannot be sampled, with the ``reason``; fail on these where a segment must not be empty."""
+    reason = (F.when(F.col(frames).isNull() | (F.col(frames) <= 0), "no frames")
+               .when(F.col(fps).isNull() | F.isnan(F.col(fps).cast("double")) | (F.col(fps) <= 0), "no frame rate"))
+    return segments.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def grid_time(i: Column, fps: Column, start_sec: Column | None = None) -> Column:
@@ -80,7 +87,7 @@ def effective_fps(fps: Column, half: Column) -> Column:
 def sampling_plan(fps: Column, n: Column, start_time: Column, duration: Column, half: Column) -> dict[str, Column]:
     """First frame, end frame, step and number of frames a clip request reads."""
     start = F.when(start_time > 0, F.greatest(F.lit(0), F.floor(start_time * fps))).otherwise(F.lit(0))
-    # int() of the reference truncates; durations are not negative, so floor is the same
+    # the end is cut down to a whole frame; durations are not negative, so floor does that
     end = F.when(duration.isNull(), n).otherwise(start + F.floor(duration * fps))
     end = F.when(n.isNotNull(), F.least(end, n)).otherwise(end)
     first = F.when(n.isNotNull(), F.least(start, n)).otherwise(start)
@@ -181,7 +188,8 @@ def resample(actions: DataFrame, segments: DataFrame, kind: str = "pchip", *, se
     """Sample control points on the frame grid of every segment.
 
     Each interval between two knots emits the frames it covers, so nothing is looked up per
-    frame. Outside the knots the end values hold; a series without knots gives 0.
+    frame. Outside the knots the end values hold; a series without knots gives 0, and so does a segment whose
+    rate is not valid (see ``invalid_segments``).
     """
     kind = kind.lower()
     if kind not in KINDS:
@@ -222,7 +230,11 @@ def resample(actions: DataFrame, segments: DataFrame, kind: str = "pchip", *, se
              .withColumn("t_ms", t_of(F.col("frame_idx")))
              .where((F.col("t_ms") >= F.col("t0")) & (F.col("t_ms") < F.col("t1")))
              .withColumn("pos", interpolate(kind, F.col("t_ms"))))
-    out = before.select(out_cols).unionByName(inner.select(out_cols)).unionByName(after.select(out_cols))
+    unrated = segments.where((F.col(frames) > 0) & ~F.coalesce(F.col(fps) > 0, F.lit(False)))
+    flat = explode_range(unrated, F.lit(0), F.col(frames) - 1, "frame_idx", rebalance=True).withColumns(
+        {"t_ms": F.lit(0.0), "pos": F.lit(0.0)})
+    out = before.select(out_cols).unionByName(inner.select(out_cols)).unionByName(after.select(out_cols)).unionByName(
+        flat.select(out_cols))
     return out.withColumn("frame_idx", F.col("frame_idx").cast("int")).withColumn("pos", clip01(F.col("pos")))
 
 

@@ -211,11 +211,6 @@ def epoch_subset(index: DataFrame, maximum: int, seed: int = 42, epoch: int = 0,
     return out if hash_column else out.drop("_h")
 
 
-def validation_cap(train_cap: int | None) -> int | None:
-    """A capped training set caps validation at a tenth, rounded up."""
-    return None if train_cap is None else -(-train_cap // 10)
-
-
 def sample_windows(index: DataFrame, count: int = 10, seed: int = 42, explicit: DataFrame | None = None, *,
                    series: Key = "series_id") -> DataFrame:
     """The same seeded sample for every model, or the windows named in ``explicit``."""
