@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
-from .blocks import (BLOCK_FRAMES, Carry, Key, Running, attach, block_window, explode_range, halo_columns, keys, own_rows,
-                     range_join, scan, spread, with_halo)
+from .blocks import (BLK, BLOCK_FRAMES, Carry, Key, attach, block_window, explode_range, halo_columns, keys, own_rows, range_join,
+                     scan, spread, with_block, with_halo)
 from .resample import clip01
 
 
@@ -151,12 +151,22 @@ def merge_runs(segments: DataFrame, gap: int = 0, *, series: Key = "series_id",
                block: int = BLOCK_FRAMES) -> DataFrame:
     """Join runs whose distance is at most ``gap`` frames. Input runs must not overlap."""
     by = keys(series)
-    prev = scan(segments.select(*by, "start", "end"), [Carry("_prev", F.col("end"), inclusive=False)],
-                series=series, order="start", block=block)
-    new = F.col("_prev").isNull() | (F.col("start") - F.col("_prev") > gap)
-    numbered = scan(prev, [Running("_g", new.cast("int"))], series=series, order="start", block=block)
-    return numbered.groupBy(*by, "_g").agg(F.min("start").cast("int").alias("start"),
-                                           F.max("end").cast("int").alias("end")).drop("_g")
+    rows = with_block(segments.select(*by, "start", "end"), "start", block)
+    inside = W.partitionBy(*by, BLK).orderBy("start")
+    rows = rows.withColumn("_prev", F.lag("end").over(inside))
+    opens = F.col("start") - F.col("_prev") > gap                     # null for the first run of a block
+    # only the first run of a block depends on other blocks: whether it opens a group, and which group is open before it
+    edge = rows.groupBy(*by, BLK).agg(F.min("start").alias("_first"), F.max("end").alias("_last"),
+                                      F.max(F.when(opens, F.col("start"))).alias("_opened"))
+    before = W.partitionBy(*by).orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)
+    edge = edge.withColumn("_before", F.last("_last").over(before))
+    fresh = F.col("_before").isNull() | (F.col("_first") - F.col("_before") > gap)
+    edge = edge.withColumn("_fresh", fresh).withColumn(
+        "_open", F.last(F.coalesce("_opened", F.when(F.col("_fresh"), F.col("_first"))), True).over(before))
+    joined = rows.join(edge.select(*by, BLK, "_fresh", "_open"), [*by, BLK])
+    own = F.max(F.when(F.coalesce(opens, F.col("_fresh")), F.col("start"))).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    grouped = joined.withColumn("_group", F.coalesce(own, F.col("_open")))
+    return grouped.groupBy(*by, "_group").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end")).drop("_group")
 
 
 def gradient_segments(frames: DataFrame, fps: float, config: WaveConfig = WaveConfig(), *,
