@@ -118,11 +118,12 @@ def fit(docs: DataFrame, train: Column, per_language: int = 600, families: dict[
     families = FAMILIES if families is None else families
     rows = docs.where(train).where(F.col(lang).isNotNull() & (F.length(F.col(text)) > 0)).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
-    # the hash below which a language has about twice the rows wanted, from counts per language and hash prefix
-    prefix = F.shiftright("h", 48)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")) * 65536
-    near = rows.join(counts, "lang").where((prefix + 32768) <= share).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # the hash below which a language has about 1.5 times the rows wanted; one count for each language comes to the driver
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return Model({}, {}, {}, dim)
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, 65536 * min(1.0, 1.5 * per_language / n))])
+    near = rows.where(F.shiftright("h", 48) + 32768 <= share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
