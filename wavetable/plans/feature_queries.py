@@ -555,13 +555,27 @@ def with_field(spark, sf):
     return j.join(f, ["series_id", "frame_idx"])
 
 
-@query("pair_features")
+#: Bilinear value of the field at the points of ``p`` (x, y): the second half of the even vectors as 4 x 8 cells.
+SAMPLED = """f AS (SELECT series_id, CAST(frame_idx // 2 AS INTEGER) AS frame_idx, v AS fv FROM vectors WHERE frame_idx % 2 = 0),
+    u AS (SELECT p.*, fv, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x))*7 AS px, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y))*3 AS py FROM p JOIN f USING (series_id, frame_idx)),
+    c AS (SELECT *, floor(px) AS x0, floor(py) AS y0, least(floor(px) + 1, 7) AS x1, least(floor(py) + 1, 3) AS y1 FROM u),
+    s AS (SELECT *, (fv[CAST(33 + y0*8 + x0 AS INTEGER)]::DOUBLE*(1 - (px - x0)) + fv[CAST(33 + y0*8 + x1 AS INTEGER)]::DOUBLE*(px - x0))*(1 - (py - y0))
+        + (fv[CAST(33 + y1*8 + x0 AS INTEGER)]::DOUBLE*(1 - (px - x0)) + fv[CAST(33 + y1*8 + x1 AS INTEGER)]::DOUBLE*(px - x0))*(py - y0) AS flow FROM c)"""
+POSE_ROOTS = """SELECT series_id, frame_idx, slot, sum(x*conf)/greatest(sum(conf), 1e-6) AS x, sum(y*conf)/greatest(sum(conf), 1e-6) AS y,
+    avg(conf) AS mean, count(*) FILTER (WHERE conf > 0)/count(*)::DOUBLE AS visible FROM pose_points WHERE slot = 1 OR k < 7 GROUP BY series_id, frame_idx, slot"""
+
+
+@query("pair_features", "pose_points vectors", f"""WITH p AS ({POSE_ROOTS}), {SAMPLED}
+SELECT a.series_id, a.frame_idx, round(a.x - b.x, 6) AS dx, round(a.y - b.y, 6) AS dy, round(a.flow - b.flow, 6) AS dflow, round(a.mean, 6) AS conf_a, round(b.mean, 6) AS conf_b,
+    round(a.visible, 6) AS visible_a, round(b.visible, 6) AS visible_b FROM s a JOIN s b ON a.series_id = b.series_id AND a.frame_idx = b.frame_idx WHERE a.slot = 1 AND b.slot = 0""")
 def _(spark, sf):
     return rounded(H.pair_features(with_field(spark, sf)).select("series_id", "frame_idx", "pair.*"),
                    "dx", "dy", "dflow", "conf_a", "conf_b", "visible_a", "visible_b")
 
 
-@query("point_features")
+@query("point_features", "pose_points vectors", f"""WITH r AS ({POSE_ROOTS}), p AS (SELECT q.series_id, q.frame_idx, q.k, q.x, q.y, q.conf, r.x AS cx, r.y AS cy FROM pose_points q
+    JOIN r ON q.series_id = r.series_id AND q.frame_idx = r.frame_idx AND q.slot = r.slot WHERE q.slot = 1), {SAMPLED}
+SELECT series_id, frame_idx, k, round(x, 6) AS x, round(y, 6) AS y, round(x - cx, 6) AS rx, round(y - cy, 6) AS ry, round(conf, 6) AS conf, round(flow, 6) AS flow FROM s""")
 def _(spark, sf):
     p = with_field(spark, sf).select("series_id", "frame_idx", F.posexplode(H.point_features(F.col("kp_a"))).alias("k", "p"))
     return p.select("series_id", "frame_idx", "k", *[r6(f"p.{c}").alias(c) for c in ("x", "y", "rx", "ry", "conf", "flow")])
