@@ -40,7 +40,7 @@ class Sampler:
     """Lattices of distinct words as flat tables. State = (word, position); each state lists the pieces that may end there with
     running probabilities, the state before, and the piece."""
 
-    def __init__(self, path: str, alpha: float = 0.5, seed: int = 1, limit: int = 850_000):
+    def __init__(self, path: str, alpha: float = 0.5, seed: int = 1, limit: int = 600_000):
         import sentencepiece
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.get_piece_size()
@@ -239,7 +239,7 @@ class Sampler:
         """(ids of all texts in a row, their number in each text). ``keys``: 64-bit hashes of the row keys."""
         if len(self.known) > self.limit:
             self.forget()
-        if len(self.word) > self.limit * 3 // 2:
+        if len(self.word) > self.limit:
             self.forget_words()
         split = [self.words(t) for t in texts]
         flat = [w for own in split for w in own]
