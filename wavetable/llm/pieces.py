@@ -40,7 +40,7 @@ class Sampler:
     """Lattices of distinct words as flat tables. State = (word, position); each state lists the pieces that may end there with
     running probabilities, the state before, and the piece."""
 
-    def __init__(self, path: str, alpha: float = 0.5, seed: int = 1, limit: int = 600_000):
+    def __init__(self, path: str, alpha: float = 0.5, seed: int = 1, limit: int = 500_000):
         import sentencepiece
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.get_piece_size()
@@ -79,13 +79,13 @@ class Sampler:
 
     def clear(self) -> None:
         self.known: dict = {}              # part of a word -> its last state
-        self.first = array("q", [0])       # per state: where its choices begin
-        self.back, self.cum, self.piece = array("q"), array("d"), array("i")
+        self.first = array("i", [0])       # per state: where its choices begin
+        self.back, self.cum, self.piece = array("i"), array("d"), array("i")
         self.forget_words()
 
     def forget_words(self) -> None:
         self.word: dict = {}               # word -> number; its parts with their last states and ends within the word
-        self.part_at, self.part_state, self.part_end = array("q", [0]), array("q"), array("q")
+        self.part_at, self.part_state, self.part_end = array("i", [0]), array("i"), array("i")
 
     def forget(self) -> None:
         """Drop the latest third of the lattices; frequent ones came early, and states are numbered as they come."""
@@ -160,10 +160,10 @@ class Sampler:
         cum = total - before_group[group]
         cum[np.append(first[1:], len(cum)) - 1] = 1.0
         states, choices = len(self.first), len(self.cum)
-        self.first.frombytes((first + choices).astype(np.int64).tobytes())
+        self.first.frombytes((first + choices).astype(np.int32).tobytes())
         self.cum.frombytes(cum.tobytes())
         self.piece.frombytes(piece.astype(np.int32).tobytes())
-        self.back.frombytes(np.where(inside, begin - 1 + states, 0).astype(np.int64).tobytes())
+        self.back.frombytes(np.where(inside, begin - 1 + states, 0).astype(np.int32).tobytes())
         for p, s, n in zip(plain, (word_at + states).tolist(), size.tolist()):
             self.known[p] = s + n - 1
 
@@ -253,8 +253,8 @@ class Sampler:
             for i, v in zip(missing, map(self.word.get, new)):
                 numbers[i] = v
         first, back, cum, piece, part_at, part_state, part_end = (np.frombuffer(v, t) for v, t in (
-            (self.first, np.int64), (self.back, np.int64), (self.cum, np.float64), (self.piece, np.int32),
-            (self.part_at, np.int64), (self.part_state, np.int64), (self.part_end, np.int64)))
+            (self.first, np.int32), (self.back, np.int32), (self.cum, np.float64), (self.piece, np.int32),
+            (self.part_at, np.int32), (self.part_state, np.int32), (self.part_end, np.int32)))
         which = np.array(numbers, np.int64)
         per = np.fromiter(map(len, split), np.int64, len(split))
         word_row = np.repeat(np.arange(len(split)), per)
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 0.5, seed: int = 1, doc_i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(model, alpha, seed)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 texts = part.column(1).to_pylist()
                 ids, counts = s.encode(texts, part.column(2).to_numpy())
                 same = [a == (b or "").encode() for a, b in zip(s.decode(ids, counts), texts)]
