@@ -62,7 +62,8 @@ def test_resample_edge_cases(spark):
     grid = spark.createDataFrame([("s", 2.0, 4), ("none", 2.0, 3), ("bad", 0.0, 3)], "series_id string, fps double, total_frames int")
     one = actions(spark, [("s", 0, 700, 40.0)])
     got = R.resample(one, grid, "pchip").orderBy("series_id", "frame_idx").collect()
-    assert [(r["series_id"], r["pos"]) for r in got] == [("none", 0.0)] * 3 + [("s", 0.4)] * 4
+    # a segment without a valid rate is not lost: it gives zeros
+    assert [(r["series_id"], r["pos"]) for r in got] == [("bad", 0.0)] * 3 + [("none", 0.0)] * 3 + [("s", 0.4)] * 4
     with pytest.raises(ValueError):
         R.resample(one, grid, "spline")
 
