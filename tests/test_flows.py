@@ -263,3 +263,71 @@ def test_segments_without_a_rate_give_zeros(spark):
     assert [(r["frame_idx"], r["t_ms"]) for r in R.frame_grid(seg.where("fps = 0")).orderBy("frame_idx").collect()] == [(0, 0.0), (1, 0.0)]
     got = R.resample(knots, seg, "linear", segment="id").groupBy("id").agg(F.count("*").alias("n"), F.max("pos").alias("top")).collect()
     assert sorted((r["n"], r["top"]) for r in got) == [(1, 0.0), (2, 0.0), (3, 0.5)]
+
+
+def plain_filter(x, fps=15.0, cutoff=4.0):
+    """Second-order Butterworth low-pass, sample by sample, forwards and backwards over an odd extension of nine samples."""
+    import math
+    c = math.tan(math.pi * cutoff / fps)
+    d = 1 + math.sqrt(2) * c + c * c
+    b, a = (c * c / d, 2 * c * c / d, c * c / d), (1.0, 2 * (c * c - 1) / d, (1 - math.sqrt(2) * c + c * c) / d)
+    pad = 9
+
+    def once(v):
+        z2 = (b[2] - a[2]) * v[0]                       # state in which a constant input stays as it is
+        z1 = (b[1] - a[1]) * v[0] + z2
+        out = []
+        for s in v:
+            y = b[0] * s + z1
+            z1, z2 = b[1] * s - a[1] * y + z2, b[2] * s - a[2] * y
+            out.append(y)
+        return out
+    ext = [2 * x[0] - v for v in x[pad:0:-1]] + x + [2 * x[-1] - v for v in x[-2:-pad - 2:-1]]
+    return once(once(ext)[::-1])[::-1][pad:-pad]
+
+
+def plain_troughs(x, depth=0.035, distance=4):
+    runs, i = [], 0
+    while i < len(x):
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if i > 0 and j < len(x) - 1 and x[i - 1] > x[i] < x[j + 1]:
+            runs.append((i + j) // 2)
+        i = j + 1
+    kept = []
+    for p in sorted(runs, key=lambda p: (x[p], -p)):    # the deepest first, of equal ones the later
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+
+    def wall(p, step):
+        most, q = x[p], p
+        while 0 <= q < len(x) and x[q] >= x[p]:
+            most, q = max(most, x[q]), q + step
+        return most
+    return sorted(p for p in kept if min(wall(p, -1), wall(p, 1)) - x[p] >= depth)
+
+
+def test_filter_and_trough_queries_do_work(spark):
+    """Registered with parameters under which both operators act, over all rows."""
+    import __spark_entry__ as entry
+    from collections import defaultdict
+    from wavetable.plans import series_queries as Q
+    sf, chunks = "/root/testdata/sf0.001", defaultdict(list)
+    for r in Q.chunked(spark, sf).orderBy("frame_idx").collect():
+        chunks[r["series_id"], r["chunk"]].append((r["frame_idx"], r["pos"]))
+    low = {(r["series_id"], r["frame_idx"]): r["low"] for r in entry.queries()["lowpass_4hz"](spark, sf).collect()}
+    found = {(r["series_id"], r["frame_idx"]) for r in entry.queries()["troughs_spaced"](spark, sf).collect()}
+    exact = {(r["series_id"], r["frame_idx"]): r["low"] for r in V.lowpass(Q.chunked(spark, sf), 15.0, 4.0).collect()}
+    far, deep = set(), set()                            # minima by spacing alone and by depth alone
+    want_low, want = {}, set()
+    for (series, _), rows in chunks.items():
+        at, x = [i for i, _ in rows], [v for _, v in rows]
+        want_low |= {(series, i): v for i, v in zip(at, plain_filter(x) if len(x) > 9 else x)}
+        quiet = [exact[series, i] for i in at]
+        for to, depth, distance in ((want, 0.035, 4), (far, 0.0, 4), (deep, 0.035, 1)):
+            to |= {(series, at[p]) for p in plain_troughs(quiet, depth, distance)}
+    assert low.keys() == want_low.keys() and max(abs(low[k] - want_low[k]) for k in low) < 2e-6
+    assert found == want and want < far and want < deep                                # either rule drops some
+    raw = {(s, i): v for (s, _), rows in chunks.items() for i, v in rows}
+    assert sum(abs(low[k] - raw[k]) > 1e-3 for k in low) > len(low) / 10

@@ -365,16 +365,29 @@ def chunked(spark, sf):
     t AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS n FROM r WINDOW w AS (PARTITION BY series_id, chunk ORDER BY k))
     SELECT series_id, CAST((a + b) // 2 AS INTEGER) AS frame_idx FROM t WHERE p > v AND n > v""")
 def _(spark, sf):
-    """Every local minimum: neither spacing nor depth is asked for."""
+    """Border case that SQL can express: every local minimum, neither spacing nor depth is asked for (see troughs_spaced)."""
     return V.troughs(chunked(spark, sf), 15.0, 0.0, 0.0).where("trough").select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"))
 
 
 @query("lowpass", "long_frames", "SELECT series_id, CAST(frame_idx AS INTEGER) AS frame_idx, round(CAST(CAST(pos AS FLOAT) AS DOUBLE), 6) AS low FROM long_frames")
 def _(spark, sf):
-    """A cut-off above the Nyquist rate passes everything; the filter itself is tested against the plain recursion."""
+    """Border case that SQL can express: a cut-off above the Nyquist rate passes everything (see lowpass_4hz)."""
     return rounded(V.lowpass(chunked(spark, sf), 15.0, 8.0).select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "low"), "low")
 
 
+@query("troughs_spaced")
+def _(spark, sf):
+    """Troughs of the filtered frames by depth and spacing, compared with plain loops in tests/test_flows.py. The default of 0.15 s
+    is two frames at 15 fps, which any two minima keep, so four frames are asked for."""
+    return V.troughs(V.lowpass(chunked(spark, sf), 15.0, 4.0), 15.0, 0.035, 0.3, x="low").where("trough").select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"))
+
+
+@query("lowpass_4hz")
+def _(spark, sf):
+    """Every frame filtered; compared with the plain recursion in tests/test_flows.py."""
+    return rounded(V.lowpass(chunked(spark, sf), 15.0, 4.0).select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "low"), "low")
+
+
 @query("normalize_cycles")
 def _(spark, sf):
     marked = V.troughs(V.lowpass(chunked(spark, sf), 15.0, 4.0), 15.0, x="low")
