@@ -262,6 +262,36 @@ def test_toxicity_counterfactual(spark, frame, odd_rows):
     assert toxicity.score(docs, toxicity.fit(docs, marks.limit(0), use)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_counts_like_a_plain_loop(spark, frame):
+    rng = random.Random(6)
+    names = [t for g in toxicity.IDENTITY_GROUPS for t in g]
+    rows, marks = [], []
+    for i in range(900):
+        words = [f"{rng.choice('abcdef')}word{rng.randrange(300)}" for _ in range(20)] + rng.sample(names, i % 3)
+        rows.append((i, " ".join(words + ["nasty"] * (i % 7 == 0)), "en", "s", 0))
+        marks.append((i, int(i % 7 == 0)))
+    docs, labels = frame(rows + rows[:5]), spark.createDataFrame(marks, "doc_id long, toxic int")      # equal rows count once
+    everything = lambda c: c.isNotNull()
+    model = toxicity.fit(docs, labels, everything, top=200)
+    h = {r["i"]: (r["h"], r["t"]) for r in docs.select(F.col("doc_id").alias("i"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).collect()}
+    order = sorted(range(900), key=h.get)
+    plain = toxicity.train([(toxicity.features(rows[i][1]), marks[i][1]) for i in order], top=200)
+    assert model.weights.keys() == plain.weights.keys() and abs(model.bias - plain.bias) < 1e-9
+    assert all(abs(model.weights[k] - v) < 1e-9 for k, v in plain.weights.items())
+
+
+def test_toxicity_learns_rare_words_of_many_labelled_rows(spark, frame):
+    """Rows beyond the former bound of 1500 a class are learned from."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=12)) + (" nasty" if i % 2 else ""), "en", "s", 0) for i in range(5200)]
+    docs, labels = frame(rows), spark.createDataFrame([(i, i % 2) for i in range(5200)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in docs.where("doc_id % 2 = 1").orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    late = set(order[1500:1540])                                 # each holds a word that no earlier row of its class has
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(late), F.lit("rarely")).otherwise(F.col("text")))
+    model = toxicity.fit(docs, labels, lambda c: c.isNotNull())
+    assert model.score(["rarely"])[0] > 0.5 > model.score(["a b c"])[0]
+
+
 # ---- 8 packing -----------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("size", [64, 2048])
