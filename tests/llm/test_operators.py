@@ -118,6 +118,25 @@ def test_frequent_lines_reject_depleted_documents(spark, frame, odd_rows):
     assert quality.judge(docs.limit(0))[0].count() == 0
 
 
+def test_line_limit_does_not_grow_with_the_host(spark, frame):
+    rng = random.Random(8)
+    body = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(55))
+    hosts, rows = {"hot": (6000, 250, 21, 20), "mid": (200, 11, 10, 9), "small": (12, 8, 6, 5)}, []
+    for host, (docs, *shared) in hosts.items():
+        for i in range(docs):
+            rows.append((len(rows), "\n".join([f"line {k} of the host" for k in shared if i < k] + [body()]), "en", host, 0))
+    texts = defaultdict(set)
+    for _, text, _, host, _ in rows:
+        texts[host].add(text)
+    spread = Counter((host, x) for host, own in texts.items() for t in own for x in set(t.split("\n")))
+    limit = {host: max(5, min(20, 0.05 * len(own))) for host, own in texts.items()}
+    want = {i: "\n".join(x for x in text.split("\n") if spread[host, x] <= limit[host]) for i, text, _, host, _ in rows}
+    got = {r["doc_id"]: r["text"] for r in quality.filter_documents(frame(rows)).collect()}
+    assert got == want
+    gone = {(r["host"], r["n"]) for r in quality._judge(frame(rows), min_docs=5, most_docs=20)[1].collect()}
+    assert gone == {("hot", 250), ("hot", 21), ("mid", 11), ("small", 8), ("small", 6)}
+
+
 # ---- 4 language ----------------------------------------------------------------------------------------------------------------
 
 def test_language(spark, frame, odd_rows):

@@ -3,7 +3,9 @@
 Lines are normalised (ASCII lower case, white space to single spaces) and hashed. A line that stands in more distinct
 documents of a host than the limit is boilerplate there; exact copies of a text count as one document, so a copied
 text does not make its own lines frequent. A document that loses more than ``depleted`` of its words with these
-lines is rejected. The limit is ``max(min_docs, share * distinct documents of the host)``.
+lines is rejected. The limit is ``max(min_docs, share * distinct documents of the host)``, and at most ``most_docs`` where
+that is given: without it the limit grows with the host. ``judge`` has no such bound by default, as its SQL says;
+``filter_documents`` lies between 5 and 20 documents whatever the size of the host.
 
 Null or empty texts have no words and fail the base rules. A null host is a host of its own. Ids are only carried:
 nulls and repeats are kept as rows. Other columns are ignored.
@@ -77,13 +79,19 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     return source.mapInArrow(work, f"doc_id {kind}, host string, {FIELDS}")
 
 
-def judge(docs: DataFrame, min_docs: int = 20, share: float = 0.05, depleted: float = 0.5, min_words: int = 50,
-          doc_id: str = "doc_id", text: str = "text", host: str = "source") -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, *limits, **options) -> tuple[DataFrame, DataFrame]:
     """(verdicts, frequent lines). Verdicts hold one row per row of ``docs``: doc_id, the base counts, ``n_removed_words``,
-    ``base_failed`` and ``kept``. Frequent lines: host, line (hash), n documents.
+    ``base_failed`` and ``kept``. Frequent lines: host, line (hash), n documents. Limits and options are those of ``_judge``.
 
     Three shuffles of one small row per line; a hot host or line is combined map-side or split by Spark.
     """
+    verdicts, frequent = _judge(docs, *limits, **options)
+    return verdicts.drop("bad"), frequent
+
+
+def _judge(docs: DataFrame, min_docs: int = 20, share: float = 0.05, depleted: float = 0.5, min_words: int = 50,
+           doc_id: str = "doc_id", text: str = "text", host: str = "source", most_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``judge``, and with every verdict ``bad``: which of the document's own lines are frequent (null for none)."""
     ready(docs.sparkSession)
     all_rows = stored(_measured(docs, doc_id, text, host), "quality-docs")
     lines = all_rows.select("host", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
@@ -91,31 +99,32 @@ def judge(docs: DataFrame, min_docs: int = 20, share: float = 0.05, depleted: fl
     lines = stored(lines.groupBy("host", "digest", "line").agg(F.max("words").alias("words")), "quality-lines")
     per_host = all_rows.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    frequent = counts.join(per_host, "host").where(F.col("n") > F.col("docs") * share).select("host", "line", "n")
-    removed = lines.join(frequent, ["host", "line"]).groupBy("host", "digest").agg(F.sum("words").alias("gone"))
+    over = F.col("n") > F.col("docs") * share
+    if most_docs is not None:
+        over = over | (F.col("n") > most_docs)
+    frequent = counts.join(per_host, "host").where(over).select("host", "line", "n")
+    removed = lines.join(frequent, ["host", "line"]).groupBy("host", "digest").agg(
+        F.sum("words").alias("gone"), F.array_sort(F.collect_list("line")).alias("bad"))
     out = all_rows.drop("lines", "line_words").join(removed, ["host", "digest"], "left")
     gone = F.coalesce("gone", F.lit(0))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdicts = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           gone.alias("n_removed_words"), base.alias("base_failed"),
-                          (~base & (gone <= F.col("n_words") * depleted)).alias("kept"), "host", "digest")
+                          (~base & (gone <= F.col("n_words") * depleted)).alias("kept"), "host", "digest", "bad")
     return verdicts, frequent
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str | None = "n_chars",
-                     **limits) -> DataFrame:
+                     min_docs: int = 5, most_docs: int | None = 20, **limits) -> DataFrame:
     """The documents that the rules keep, all columns, without the lines above the limits.
 
-    Verdicts are found by host and text digest, so ids need not be unique.
+    Verdicts are found by host and text digest, so ids need not be unique. A document is given its own frequent lines only.
     """
-    verdicts, frequent = judge(docs, text=text, host=host, **limits)
+    verdicts, _ = _judge(docs, text=text, host=host, min_docs=min_docs, most_docs=most_docs, **limits)
     whole = F.coalesce(F.col(host).cast("string"), F.lit(""))
     keyed = docs.withColumns({"_host": whole, "_digest": F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))})
-    good = verdicts.where("kept").select(F.col("host").alias("_host"), F.col("digest").alias("_digest")).distinct()
-    kept = keyed.join(good, ["_host", "_digest"], "left_semi")
-    lines = stored(frequent, "quality-frequent").groupBy(F.col("host").alias("_host"), (F.col("line") % 64).alias("_b")).agg(
-        F.collect_list("line").alias("_lines")).groupBy("_host").agg(F.flatten(F.collect_list("_lines")).alias("_lines"))
-    both = kept.join(lines, "_host", "left")
+    good = verdicts.where("kept").select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), F.col("bad").alias("_lines"))
+    both = keyed.join(good.distinct(), ["_host", "_digest"])
 
     @F.pandas_udf("string")
     def strip(texts, frequent_lines):
