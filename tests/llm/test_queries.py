@@ -25,6 +25,22 @@ def test_query(spark, name):
         assert set(COLUMNS[int(number[1])].split()) <= set(queries.QUERIES[name](spark, SF).columns)
 
 
+def test_language_stage_drops_unlearned_languages(spark):
+    import random
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from wavetable.llm import quality
+    rng = random.Random(4)
+    docs = quality.filter_documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = [(-1 - i, " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 10))) for _ in range(80)), None, "new", 0)
+            for i, a in enumerate(["абвгдежзиклмнопрстуфхцчшыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"] * 5)]
+    foreign = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(
+        *[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(foreign), SF).select("doc_id").collect()}
+    assert got == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_stages_keep_columns(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
