@@ -63,7 +63,10 @@ SELECT source, lang, CASE WHEN revised THEN 'words-2' ELSE 'words-1' END AS toke
 FROM s WHERE NOT gone GROUP BY ALL
 """)
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document is inserted, labelled ones are counted anew by the second version, those of low quality are deleted."""
+    """Every document is inserted, labelled ones are counted anew by the second version, those of low quality are deleted.
+
+    Both versions are word counters, as the SQL says, not tokenizers: words between white space, and these with the marks .,;:!?
+    """
     from ..session import shared_folder
     from . import token_ledger as T
     from .common import stored
