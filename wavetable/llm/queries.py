@@ -165,6 +165,25 @@ def op9_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
+@query("""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND NOT coalesce(list_bool_or(list_transform(embedding, lambda c: c IS NULL OR NOT isfinite(c))), false)),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INTEGER AS rank
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""")
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    from .negatives import mine
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
