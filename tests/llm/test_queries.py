@@ -12,7 +12,8 @@ COLUMNS = {
     1: "page_id payload_bytes payload_digest record_type refers_to", 3: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     4: "doc_id held_out lang_pred score", 5: "vec_id n_links component_id kept", 6: "doc_id n_shingles component_id kept",
     7: "doc_id held_out score predicted", 8: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
-    10: "doc_id n_bytes n_removed n_spans kept_sha256",
+    10: "doc_id n_bytes n_removed n_spans kept_sha256", 11: "vec_id component n deviation whitened explained identity_error",
+    12: "page_id url text n_chars", 13: "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 

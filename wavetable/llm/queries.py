@@ -165,6 +165,21 @@ def op9_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
+@query()
+def op12_line_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    from .extraction import extract
+    return extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    from .whitening import whiten
+    out = whiten(table(spark, sf, "embeddings"), count=4)
+    both = F.arrays_zip("whitened", "explained")
+    return out.select("vec_id", F.posexplode(both).alias("i", "c"), "n", "deviation", "identity_error").select(
+        "vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 @query("""
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
