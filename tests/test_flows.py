@@ -166,6 +166,64 @@ def test_watch_retries_and_survives_exceptions(spark, tmp_path):
     assert "no connection" in spark.read.parquet(failed).where("batch = 0").first()["error"]
 
 
+def test_watch_isolates_an_item_that_always_raises(spark, tmp_path):
+    src, done, failed, chk = (str(tmp_path / n) for n in ("in", "done", "failed", "chk"))
+
+    def work(b):
+        checked = F.udf(lambda k: 1 // 0 if k.startswith("bomb") else None, "string")
+        return b.withColumn("error", checked("series_id"))
+
+    for n in range(10):
+        rows = [(f"{c}{n}", n) for c in "abc"] + ([("bomb", n)] if n == 2 else [])
+        spark.createDataFrame(rows, "series_id string, v int").coalesce(1).write.mode("append").parquet(src)
+        L.watch(L.stream_table(spark, src, "series_id string, v int"), work, done=done, failed=failed, checkpoint=chk, attempts=4).awaitTermination()
+    got = {r["series_id"]: r["batch"] for r in spark.read.parquet(done).collect()}
+    assert got == {f"{c}{n}": 3 if n == 2 else n for c in "abc" for n in range(10)}
+    (gone,) = spark.read.parquet(f"{failed}-given-up").collect()
+    assert (gone["series_id"], gone["v"], gone["attempts"], gone["batch"]) == ("bomb", 2, 4, 6) and "ZeroDivisionError" in gone["error"]
+    assert spark.read.parquet(f"{failed}-items/batch=9").count() == 0
+
+
+def test_watch_waits_until_an_item_is_due(spark, tmp_path):
+    src, done, failed, chk = (str(tmp_path / n) for n in ("in", "done", "failed", "chk"))
+    calls = []
+
+    def work(b):
+        calls.append(sorted(r["series_id"] for r in b.select("series_id").collect()))
+        return b.withColumn("error", F.when(F.col("series_id") == "bad", "broken"))
+
+    for n in range(3):
+        spark.createDataFrame([(f"a{n}", n)] + ([("bad", 0)] if n == 0 else []), "series_id string, v int").coalesce(1).write.mode("append").parquet(src)
+        L.watch(L.stream_table(spark, src, "series_id string, v int"), work, done=done, failed=failed, checkpoint=chk, wait_seconds=3600.0).awaitTermination()
+    assert calls == [["a0", "bad"], ["a1"], ["a2"]]
+    (left,) = spark.read.parquet(f"{failed}-items/batch=2").collect()
+    assert left["series_id"] == "bad" and left["_tries"] == 1
+
+
+def test_live_windows_over_vectors_equal_batch(spark, tmp_path):
+    import numpy as np
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    schema = "series_id string, frame_idx int, v array<float>, is_end boolean"
+    rng = np.random.default_rng(3)
+    data = {k: rng.random((n, 5)).astype(np.float32) for k, n in (("a", 130), ("b", 13), ("c", 40))}
+
+    def model(x):
+        import numpy as np
+        return np.stack([x[:, :, 0], x.sum(2) - x[:, :1, 1], x[:, :, 4] * x[:, :, 2]], 1)
+
+    rows = [(k, i, [float(c) for c in v[i]], False) for k, v in data.items() for i in range(len(v))]
+    rng.shuffle(rows)
+    for part in (rows[:90], rows[90:], [(k, len(v), None, True) for k, v in data.items()]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        s = L.stream_windows(L.stream_table(spark, src, schema), model, 20, 8, block=40, column="v")
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["series_id"], r["frame_idx"], r["channel"]): r["pos"] for r in spark.read.parquet(out).collect()}
+    frames = spark.createDataFrame([r[:3] for r in rows], "series_id string, frame_idx int, v array<float>")
+    want = {(r["series_id"], r["frame_idx"], r["channel"]): r["pos"] for r in G.sliding_predict(frames, model, "v", seq=20, stride=8, block=30).collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 183
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
 def test_live_series_without_end_marker_ends_by_timer(spark, tmp_path):
     import time
     src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
@@ -24,41 +25,98 @@ def stream_table(spark: SparkSession, path: str, schema, *, pattern: str = "*.pa
 
 
 def watch(items: DataFrame, work: Callable[[DataFrame], DataFrame], *, done: str, failed: str, checkpoint: str,
-          key: str = "series_id", poll: str | None = None):
+          key: str = "series_id", poll: str | None = None, attempts: int = 5, wait_seconds: float = 0.0, splits: int = 200):
     """Process every new item. ``work`` returns one row per item with a nullable ``error``.
 
     Finished rows go below ``done``, failed ones below ``failed``, in a folder per batch that a replayed batch overwrites.
-    A failed item stays pending: its row is kept below ``failed``-items and tried again with the next batch. If ``work``
-    itself raises, all items of the batch count as failed and the stream goes on. A key that came before is not
-    taken again; the stream keeps the keys it has seen in its state, so no earlier batch is read. ``poll`` sets the
-    interval; without it the query takes what is there and stops. Returns the running query.
+    If ``work`` raises, the items go back and are tried apart from new ones with the next batch, halved until what raises
+    stands alone, so the other items are done; after ``splits`` exceptions the parts that are left go back and are divided otherwise in
+    the batch after. So a fault that passes costs one call, and an item that always raises delays those it came with
+    by one batch. A failed item stays pending below ``failed``-items with the number of its attempts and the time it is due again, ``wait_seconds`` after the first attempt
+    and twice as long after each further one; at ``attempts`` it is given up and goes below ``failed``-given-up. Items are
+    tried with the next batch that runs when they are due. A key that came before is not taken again; the stream keeps the
+    keys it has seen in its state, so no earlier batch is read. ``poll`` sets the interval; without it the query takes what is
+    there and stops. Returns the running query.
     """
     spark = items.sparkSession
-    waiting = f"{failed.rstrip('/')}-items"
+    waiting, given_up = f"{failed.rstrip('/')}-items", f"{failed.rstrip('/')}-given-up"
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        now = time.time()
+        names = batch.columns
         left = _left_over(spark, waiting, batch_id)
-        pending = (batch if left is None else batch.unionByName(left)).persist()
+        pending = batch.withColumns({"_tries": F.lit(0), "_due": F.lit(0.0), "_apart": F.lit(False)})
+        pending = (pending if left is None else pending.unionByName(left)).persist()
+        outs: list[DataFrame] = []
         try:
-            try:
-                out = work(pending).persist()
-                out.where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-            except Exception as exc:  # noqa: BLE001  the items stay pending
-                out = pending.select(key, F.lit(f"{type(exc).__name__}: {exc}"[:2000]).alias("error")).persist()
-            bad = out.where(F.col("error").isNotNull())
-            bad.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
-            pending.join(bad.select(key).distinct(), key, "left_semi").select(*batch.columns).write.mode("overwrite").parquet(
-                f"{waiting}/batch={batch_id}")
-            out.unpersist()
+            ready = pending.where(F.col("_due") <= now)
+            lone, whole = [], []
+            for apart in (True, False):
+                part = ready.where(F.col("_apart") == apart).select(*names)
+                if not (apart and part.isEmpty()):
+                    for kept, more in zip((outs, lone, whole), _isolate(part, work, key, batch_id, splits if apart else 0)):
+                        kept += more
+            bad = [o.where(F.col("error").isNotNull()) for o in outs]
+            if outs:
+                _union(outs).where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+            told = _union([*bad, *lone, *whole]) if bad or lone or whole else ready.select(key, F.lit(None).cast("string").alias("error")).limit(0)
+            told.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
+            counted = _union([b.select(key, "error") for b in [*bad, *lone]]) if bad or lone else told.select(key, "error").limit(0)
+            counted = counted.groupBy(key).agg(F.max("error").alias("_error"))
+            tried = ready.join(counted, key).withColumn("_tries", F.col("_tries") + 1)
+            tried.where(F.col("_tries") >= attempts).select(*names, F.col("_tries").alias("attempts"), F.col("_error").alias("error")).write.mode(
+                "overwrite").parquet(f"{given_up}/batch={batch_id}")
+            again = tried.where(F.col("_tries") < attempts).withColumn("_due", F.lit(now) + F.lit(wait_seconds) * F.pow(F.lit(2.0), F.col("_tries") - 1))
+            back = [again.select(*pending.columns), pending.where(F.col("_due") > now)]
+            if whole:
+                back.append(ready.join(_union(whole).select(key).distinct(), key, "left_semi").withColumn("_apart", F.lit(True)).select(*pending.columns))
+            _union(back).write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
         finally:
+            for o in outs:
+                o.unpersist()
             pending.unpersist()
 
     w = items.dropDuplicates([key]).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=poll) if poll else w.trigger(availableNow=True)).start()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _isolate(items: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, seed: int,
+             splits: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """(results, items that raise alone, parts that raise and were not divided any more); the last two as (key, error)."""
+    outs, lone, whole, raised = [], [], [], 0
+    todo = [(items, 0)]
+    while todo:
+        part, depth = todo.pop()
+        out = None
+        try:
+            out = work(part).persist()
+            out.count()
+            outs.append(out)
+            continue
+        except Exception as exc:  # noqa: BLE001  told in ``failed``
+            if out is not None:
+                out.unpersist()
+            error = part.select(key).distinct().withColumn("error", F.lit(f"{type(exc).__name__}: {exc}"[:2000]))
+            raised += 1
+        if error.limit(2).count() < 2:
+            lone.append(error)
+        elif raised > splits or depth > 60:
+            whole.append(error)
+        else:
+            bit = F.pmod(F.shiftright(F.xxhash64(F.lit(seed), F.col(key)), depth), F.lit(2))
+            todo += [(part.where(bit == 1), depth + 1), (part.where(bit == 0), depth + 1)]
+    return outs, lone, whole
+
+
 def _left_over(spark: SparkSession, waiting: str, batch_id: int) -> DataFrame | None:
-    """Items that the batch before left failed; each batch takes over what the one before could not do."""
+    """Items that the batch before left pending; each batch takes over what the one before could not do."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{waiting}/batch={batch_id - 1}")
     if batch_id == 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
@@ -122,14 +180,33 @@ class _WindowState(StatefulProcessor):
 
     Kept per key: frames that a coming window may need, and blend sums of frames that are not final. A frame is
     final once the head is ``seq`` frames past it: no regular window and no tail window can reach it any more. With
-    ``idle_ms`` a key that gets nothing for so long ends where its frames end.
+    ``idle_ms`` a key that gets nothing for so long ends where its frames end. A frame is a number or a vector; the values of
+    the frames that are kept lie in one flat array with the width beside it.
     """
 
-    SCHEMA = ("head bigint, next bigint, length bigint, idx array<bigint>, val array<double>, "
+    SCHEMA = ("head bigint, next bigint, length bigint, idx array<bigint>, val array<double>, width int, "
               "given bigint, channels int, total array<double>, weight array<double>")
 
-    def __init__(self, scorer, seq: int, stride: int, block: int, idle_ms: int | None = None):
-        self.scorer, self.seq, self.stride, self.block, self.idle_ms = scorer, seq, stride, block, idle_ms
+    def __init__(self, scorer, seq: int, stride: int, block: int, idle_ms: int | None = None, vector: bool = False):
+        self.scorer, self.seq, self.stride, self.block, self.idle_ms, self.vector = scorer, seq, stride, block, idle_ms, vector
+
+    def _values(self, given) -> "np.ndarray":
+        """One row per frame; numbers are vectors of one."""
+        import numpy as np
+        if not self.vector:
+            return given.to_numpy(dtype=np.float64)[:, None]
+        rows = [np.asarray(v, dtype=np.float64) for v in given]
+        if len({len(r) for r in rows}) > 1:
+            raise ValueError("frames of a series must have vectors of one width")
+        return np.stack(rows) if rows else np.zeros((0, 0))
+
+    @staticmethod
+    def _joined(parts) -> "np.ndarray":
+        import numpy as np
+        parts = [p for p in parts if len(p)]
+        if len({p.shape[1] for p in parts}) > 1:
+            raise ValueError("frames of a series must have vectors of one width")
+        return np.concatenate(parts) if parts else np.zeros((0, 1))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -148,13 +225,13 @@ class _WindowState(StatefulProcessor):
             if ends.any():
                 length = int(at[ends].max())
             idx.append(at[~ends])
-            val.append(pdf["pos"].to_numpy(dtype=np.float64)[~ends])
-        yield from self._advance(key, np.concatenate(idx), np.concatenate(val), length, False)
+            val.append(self._values(pdf["pos"][~ends]))
+        yield from self._advance(key, np.concatenate(idx), self._joined(val), length, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import numpy as np
         if self.state.exists():
-            yield from self._advance(key, np.zeros(0, np.int64), np.zeros(0), -1, True)
+            yield from self._advance(key, np.zeros(0, np.int64), np.zeros((0, 1)), -1, True)
 
     def _advance(self, key, idx, val, length: int, over: bool) -> Iterator:
         import numpy as np
@@ -164,8 +241,9 @@ class _WindowState(StatefulProcessor):
         lo, hi = blk * self.block, (blk + 1) * self.block
         total, weight, given = None, np.zeros(self.block), lo
         if self.state.exists():
-            head, start, known, old, old_val, given, channels, kept_total, kept_weight = self.state.get()
-            idx, val = np.concatenate([np.asarray(old, np.int64), idx]), np.concatenate([np.asarray(old_val, float), val])
+            head, start, known, old, old_val, width, given, channels, kept_total, kept_weight = self.state.get()
+            idx = np.concatenate([np.asarray(old, np.int64), idx])
+            val = self._joined([np.asarray(old_val, float).reshape(len(old), width), val])
             length = max(length, known)
             if channels:
                 n = len(kept_weight)
@@ -194,11 +272,11 @@ class _WindowState(StatefulProcessor):
         tri = 1.0 - np.abs(2.0 * np.arange(seq) / max(seq - 1, 1) - 1.0) + 0.01
         for at in range(0, len(windows), 256):
             part = windows[at:at + 256]
-            x = np.zeros((len(part), seq))
+            x = np.zeros((len(part), seq, val.shape[1]))
             for row, (s, n) in zip(x, part):
                 k = np.searchsorted(idx, s)
                 row[:n] = val[k:k + n]
-            y = np.asarray(self.scorer(x), dtype=float)
+            y = np.asarray(self.scorer(x if self.vector else x[:, :, 0]), dtype=float)
             y = y[:, None, :] if y.ndim == 2 else y
             total = np.zeros((y.shape[1], self.block)) if total is None else total
             for p, (s, n) in zip(y, part):
@@ -222,7 +300,7 @@ class _WindowState(StatefulProcessor):
         size = int(np.flatnonzero(weight)[-1]) + 1 - (given - lo) if weight.any() else 0
         size = max(size, 0) if total is not None else 0
         held = slice(given - lo, given - lo + size)
-        self.state.update((head, start, length, idx[keep].tolist(), val[keep].tolist(), given, 0 if total is None else len(total),
+        self.state.update((head, start, length, idx[keep].tolist(), val[keep].ravel().tolist(), val.shape[1], given, 0 if total is None else len(total),
                            [] if total is None else total[:, held].ravel().tolist(), weight[held].tolist()))
 
     def close(self) -> None:
@@ -237,11 +315,11 @@ def _travel_by_value(scorer) -> None:
 
 
 def stream_windows(frames: DataFrame, scorer: Callable, seq: int = 120, stride: int = 60, *,
-                   block: int = BLOCK_FRAMES, idle_seconds: float | None = None) -> DataFrame:
+                   block: int = BLOCK_FRAMES, idle_seconds: float | None = None, column: str = "pos") -> DataFrame:
     """Blended predictions of live series per channel, append mode; equal to ``sliding_predict`` over the whole.
 
-    ``frames`` is a stream of series_id, frame_idx, pos and is_end; the end row carries the number of
-    frames as its index. A series without one ends after ``idle_seconds`` without frames, if
+    ``frames`` is a stream of series_id, frame_idx, ``column`` and is_end; the end row carries the number of
+    frames as its index. A frame is a number or a vector (an array of one width per series), as in ``sliding_predict``. A series without one ends after ``idle_seconds`` without frames, if
     that is set; timers need a trigger that keeps running, not one that takes what is there and stops. State is kept per series and stretch of ``block`` frames, so that even a
     backlog of one long series spreads over many tasks.
     """
@@ -252,9 +330,11 @@ def stream_windows(frames: DataFrame, scorer: Callable, seq: int = 120, stride:
     span = F.sequence(F.greatest(F.floor(low / F.lit(block)), F.lit(0)).cast("bigint"),
                       F.greatest(F.floor(high / F.lit(block)), F.lit(0)).cast("bigint"))
     _travel_by_value(scorer)
-    rows = frames.select("series_id", i.alias("frame_idx"), F.col("pos").cast("double").alias("pos"), "is_end")
+    vector = frames.schema[column].dataType.typeName() == "array"
+    value = F.col(column).cast("array<double>" if vector else "double").alias("pos")
+    rows = frames.select("series_id", i.alias("frame_idx"), value, "is_end")
     rows = rows.withColumn(BLK, F.explode(span))
     kind = rows.schema["series_id"].dataType.simpleString()
     return rows.groupBy("series_id", BLK).transformWithStateInPandas(
-        _WindowState(scorer, seq, stride, block, None if idle_seconds is None else int(idle_seconds * 1000)),
+        _WindowState(scorer, seq, stride, block, None if idle_seconds is None else int(idle_seconds * 1000), vector),
         f"series_id {kind}, frame_idx bigint, channel int, pos double", "Append", "None" if idle_seconds is None else "ProcessingTime")
