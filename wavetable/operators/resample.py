@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import (BLOCK_FRAMES, BLOCK_MS, Carry, Key, Running, block_window, dense_index, explode_range,
-                     halo_columns, keys, range_join, scan)
+from ..functions import kernels
+from ..session import cut_lineage
+from .blocks import (BLK, BLOCK_FRAMES, BLOCK_MS, OWN, Carry, Key, block_window, dense_index, explode_range,
+                     halo_columns, keys, range_join, scan, with_halo)
 
 MONOTONE = ("pchip", "cubic", "monotone", "monotonic")
 KINDS = (*MONOTONE, "linear", "nearest")
@@ -300,36 +303,129 @@ def simplify(frames: DataFrame, fps: Column, tolerance: float = 2.0, *, series:
 
     Whether a point stays depends on the last kept one. A point that is an extremum among its
     direct neighbours always stays, though: had the point before it been dropped, that one would
-    lie strictly between the last kept value and this one. So the series falls into strictly
-    monotone stretches that are decided independently, each a short fold over an array.
+    lie strictly between the last kept value and this one. So a block with an extremum hands a value to the next that does not
+    depend on what comes before. Only blocks inside one long monotone stretch do: for these a summary tells which last kept
+    values change nothing, and those that do change are asked for in rounds. Each such block keeps a point, and the values of a monotone
+    stretch move by more than the tolerance for every point kept, so rounds are bounded by the range of the values over the tolerance.
+    A task holds one block, or one small row per block of a series.
     """
     by = keys(series)
-    x = F.col("pos").cast("double") * F.lit(100.0)
-    base = frames.select(*by, "frame_idx", x.alias("_x"))
-    w = block_window(series)
-    base = halo_columns(base, [("_before", F.lag("_x").over(w)), ("_after", F.lead("_x").over(w))], 1, 1,
-                        series=series, block=block)
-    a, b, c = F.col("_before"), F.col("_after"), F.col("_x")
-    turn = a.isNull() | b.isNull() | ((c >= a) & (c >= b)) | ((c <= a) & (c <= b))
-    runs = scan(base, [Running("_run", turn.cast("int"))], series=series, block=block)
-    item = F.struct("frame_idx", F.col("_x").alias("x"), F.col("_after").alias("nxt"))
-    runs = runs.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    head = F.col("_items")[0]
-    start = F.struct(head["x"].alias("last"), F.array(F.struct(
-        head["frame_idx"].alias("frame_idx"), head["x"].alias("x"))).alias("kept"))
-
-    def step(state, item):
-        far = F.abs(item["x"] - (state["last"] + (item["nxt"] - state["last"]) * F.lit(0.5))) > F.lit(tolerance)
-        point = F.struct(item["frame_idx"].alias("frame_idx"), item["x"].alias("x"))
-        return F.struct(F.when(far, item["x"]).otherwise(state["last"]).alias("last"),
-                        F.when(far, F.array_append(state["kept"], point)).otherwise(state["kept"]).alias("kept"))
-
-    kept = F.aggregate(F.slice("_items", 2, F.greatest(F.size("_items") - 1, F.lit(0))), start, step,
-                       lambda s: s["kept"])
-    out = runs.select(*by, F.explode(kept).alias("_p"))
-    at = F.rint(F.col("_p.frame_idx") * F.lit(1000.0) / fps).cast("bigint")
-    pos = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("_p.x")))).cast("int")
-    return out.select(*by, F.col("_p.frame_idx").alias("frame_idx"), at.alias("at_ms"), pos.alias("pos"))
+    base = frames.select(*by, "frame_idx", (F.col("pos").cast("double") * F.lit(100.0)).alias("_x"))
+    packs = cut_lineage(_monotone_packs(with_halo(base, 1, 1, block=block), by, tolerance))
+    summary = packs.select(*by, BLK, "_turn", "_out", "_below", "_above")
+    known = None
+    while True:
+        entering = cut_lineage(_entering(summary, known, by))
+        asked = entering.where("_ask")
+        if asked.isEmpty():
+            break
+        solved = cut_lineage(_left_behind(packs.where("not _turn").join(asked.select(*by, BLK, "_in"), [*by, BLK]), by, tolerance))
+        known = solved if known is None else known.unionByName(solved)
+    out = _kept_points(packs.join(entering.select(*by, BLK, "_in"), [*by, BLK]), by, frames.schema["frame_idx"].dataType, tolerance)
+    at = F.rint(F.col("frame_idx") * F.lit(1000.0) / fps).cast("bigint")
+    pos = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("_x")))).cast("int")
+    return out.select(*by, "frame_idx", at.alias("at_ms"), pos.alias("pos"))
+
+
+def _schema(df: DataFrame, names: list[str], **more: str) -> T.StructType:
+    out = T.StructType([df.schema[c] for c in names])
+    for name, kind in more.items():
+        out = out.add(name, T.DataType.fromDDL(kind))
+    return out
+
+
+def _monotone_packs(near: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """One row per block: its samples, the values before and behind it, whether it has an extremum, the last value kept in it if so, and
+    else the bounds of the last kept values (``_below`` up to ``_above``) that surely keep nothing in it."""
+    schema = _schema(near, [*by, BLK], _i="array<bigint>", _x="array<double>", _before="double", _after="double", _turn="boolean",
+                     _out="double", _below="double", _above="double")
+    arrow = to_arrow_schema(schema)
+
+    def pack(t):
+        import numpy as np
+        import pyarrow as pa
+        t = t.take(pa.array(np.argsort(t["frame_idx"].to_numpy(), kind="stable")))
+        own = np.flatnonzero(t[OWN].to_numpy() == t[BLK].to_numpy())
+        if not len(own):
+            return pa.Table.from_arrays([pa.array([], f.type) for f in arrow], schema=arrow)
+        x = t["_x"].to_numpy(zero_copy_only=False).astype(float)
+        first, last = own[0], own[-1] + 1
+        before = float(x[first - 1]) if first else None
+        after = float(x[last]) if last < len(x) else None
+        turns, _, out = kernels.chord_points(x[first:last], before, after, None, tolerance)
+        below, above = kernels.chord_bounds(x[first:last], after, tolerance)
+        made = [t["frame_idx"].to_numpy()[first:last].tolist(), x[first:last].tolist(), before, after, bool(turns.any()), out if turns.any() else None,
+                below, above]
+        return pa.Table.from_arrays([*[t[c].slice(0, 1).combine_chunks() for c in (*by, BLK)],
+                                     *[pa.array([m], f.type) for m, f in zip(made, list(arrow)[len(by) + 1:])]], schema=arrow)
+
+    return near.select(*by, BLK, OWN, "frame_idx", "_x").groupBy(*by, BLK).applyInArrow(pack, schema)
+
+
+def _entering(summary: DataFrame, known: DataFrame | None, by: list[str]) -> DataFrame:
+    """The last kept value before every block (null if it hangs on an answer), and whether the block must be asked what it makes of it."""
+    if known is None:
+        rows = summary.withColumns({"_was": F.lit(None).cast("double"), "_res": F.lit(None).cast("double")})
+    else:
+        rows = summary.join(known.withColumnRenamed("_in", "_was"), [*by, BLK], "left")
+    schema = _schema(rows, [*by, BLK], _in="double", _ask="boolean")
+    arrow = to_arrow_schema(schema)
+
+    def walk(t):
+        import numpy as np
+        import pyarrow as pa
+        t = t.take(pa.array(np.argsort(t[BLK].to_numpy())))
+        columns = [t[c].to_pylist() for c in ("_turn", "_out", "_below", "_above", "_was", "_res")]
+        last, entering, ask = None, [], []
+        for turn, out, below, above, was, res in zip(*columns):
+            entering.append(last)
+            ask.append(False)
+            if turn:
+                last = out
+            elif last is not None and not below <= last <= above:
+                ask[-1] = was is None
+                last = res
+        return pa.Table.from_arrays([*[t[c].combine_chunks() for c in (*by, BLK)], pa.array(entering, pa.float64()), pa.array(ask, pa.bool_())], schema=arrow)
+
+    return rows.groupBy(*by).applyInArrow(walk, schema)
+
+
+def _rows_of(batch) -> list[dict]:
+    """Scalars and arrays of a batch, one packed row at a time."""
+    import numpy as np
+    for k in range(batch.num_rows):
+        yield {f.name: (np.asarray(c[k].values) if c.type.num_fields else c[k].as_py()) for f, c in zip(batch.schema, batch.columns)}
+
+
+def _left_behind(packs: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    schema = _schema(packs, [*by, BLK], _in="double", _res="double")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            found = [kernels.chord_points(r["_x"], r["_before"], r["_after"], r["_in"], tolerance)[2] for r in _rows_of(batch)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in (*by, BLK, "_in")],
+                                              pa.array(found, pa.float64())], schema=arrow)
+
+    return packs.mapInArrow(run, schema)
+
+
+def _kept_points(packs: DataFrame, by: list[str], index: T.DataType, tolerance: float) -> DataFrame:
+    schema = _schema(packs, by).add("frame_idx", index).add("_x", T.DoubleType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for k, r in enumerate(_rows_of(batch)):
+                turns, far, _ = kernels.chord_points(r["_x"], r["_before"], r["_after"], r["_in"], tolerance)
+                keep = np.flatnonzero(turns | far)
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)).take(pa.array(np.full(len(keep), k))) for c in by],
+                                                  pa.array(r["_i"][keep]).cast(arrow.field("frame_idx").type), pa.array(r["_x"][keep])], schema=arrow)
+
+    return packs.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- overrides on frames
