@@ -185,3 +185,17 @@ def test_steps_on_chunks_equal_the_kernels(spark):
         assert np.flatnonzero(g.trough).tolist() == at.tolist() and g.in_cycle.tolist() == mask.tolist()
         np.testing.assert_allclose(g.pos, y, atol=1e-6)
         np.testing.assert_allclose(g.smooth, N.smooth(quiet, 30.0, "savgol", 0.5, 2, 0.12), atol=1e-6)
+
+
+def test_stages_of_a_sweep_run_once():
+    import dataclasses as D
+    x = np.clip(.5 + .4 * np.sin(np.arange(900) / 6) + RNG.normal(0, .05, 900), 0, 1)
+    base = WaveConfig()
+    configs = [base, D.replace(base, stretch_mode="linear"), D.replace(base, stretch_gain=2.0), D.replace(base, trough_prominence=.1),
+               D.replace(base, lowpass_cutoff_hz=4.0), D.replace(base, gradient_smoothing="gaussian"), D.replace(base, gradient_sigma_seconds=.3),
+               D.replace(base, chunk_seconds=60.0), D.replace(base, gradient_smoothing="none", min_cycle_amplitude=.6)]
+    stages = N.Stages()
+    for c in configs:
+        (a, sa), (b, sb) = N.clean_wave(x, 30.0, c, stages), N.clean_wave(x, 30.0, c)
+        assert (a == b).all() and sa == sb
+    assert stages.runs == {"fill": 1, "lowpass": 2, "troughs": 3, "cycles": 4, "smooth": 4, "slopes": 5, "stretch": 7}

@@ -79,6 +79,34 @@ def test_exact_quantile_equals_numpy(spark, frames):
             assert got[k] == pytest.approx(np.quantile(v, q), abs=1e-12)
 
 
+@pytest.mark.parametrize("ranked", [0, 40, 1 << 17])
+def test_exact_quantile_of_crowded_and_wide_values(spark, ranked):
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    data = {"crowded": np.concatenate([.5 + rng.random(900) * 1e-9, rng.random(100)]), "wide": 10.0 ** rng.uniform(-300, 300, 400) * rng.choice([-1, 1], 400),
+            "large": rng.integers(0, 10 ** 12, 300) + rng.random(300), "equal": np.r_[np.full(700, .25), rng.random(20)], "powers": 2.0 ** np.arange(-1074, 1024),
+            "zeros": np.r_[np.zeros(50), -np.zeros(50), -rng.random(30), 5e-324, -5e-324], "neighbours": 1 + np.arange(-200, 200) * 2.0 ** -52, "one": np.array([3.5])}
+    frames = spark.createDataFrame(pd.concat([pd.DataFrame({"series_id": k, "frame_idx": np.arange(len(v)), "pos": v}) for k, v in data.items()]))
+    for q in (0.0, 0.3, 0.9, 1.0):
+        got = {r["series_id"]: (r["threshold"], r["n"]) for r in O.exact_quantile(frames, F.col("pos"), q, length="n", ranked=ranked).collect()}
+        for name, x in data.items():
+            r = q * (len(x) - 1)
+            a, b = np.sort(x)[int(np.floor(r))], np.sort(x)[int(np.ceil(r))]
+            assert got[name] == (a + (b - a) * (r - np.floor(r)), len(x)), (name, q)
+
+
+def test_digits_order_doubles(spark):
+    rng = np.random.default_rng(4)
+    x = np.unique(np.concatenate([rng.integers(0, 2 ** 63, 3000).view(np.float64), -rng.integers(0, 2 ** 63, 3000).view(np.float64), 2.0 ** np.arange(-1074, 1024),
+                                  np.nextafter(2.0 ** np.arange(-1000, 1024), 0), -(2.0 ** np.arange(-1074, 1024)), [0.0, np.inf, -np.inf, 5e-324]]))
+    x = x[~np.isnan(x)]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").select(
+        "i", *[O._digit(F.col("v"), k) for k in range(O.DIGITS)]).orderBy("i").collect()
+    keys = [tuple(r)[1:] for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys) and all(0 <= d < 65536 for k in keys for d in k[1:])
+
+
+
 def test_smallest_by_is_exact(spark):
     df = spark.range(5000).withColumn("h", O.seeded_hash(7, "id"))
     want = [r["id"] for r in df.orderBy("h", "id").limit(321).collect()]

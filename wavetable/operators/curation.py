@@ -208,9 +208,9 @@ def train_val_split(ids: DataFrame, requested: DataFrame, ratio: float = 0.1, se
     if force_val is not None:
         flag = flag | F.coalesce(force_val, F.lit(False))
     units = tagged.groupBy(F.col(unit).alias("_unit")).agg(F.max(flag).alias("_req"))
-    # requested units take the lower half of the hash space, so they are drawn first
-    half = F.shiftrightunsigned(seeded_hash(seed, "_unit"), 1)
-    units = units.withColumn("_h", F.when(F.col("_req"), half + F.lit(-(1 << 63)).cast("bigint")).otherwise(half))
+    # requested units come below all others, so they are drawn first
+    drawn = seeded_hash(seed, "_unit")
+    units = units.withColumn("_h", F.when(F.col("_req"), drawn - F.lit(1 << 60)).otherwise(drawn))
     total = F.ceil(F.col("_total") * F.lit(ratio))
     quota = F.greatest(total, F.lit(1), F.col("_requested"))
     val = smallest_by(units, "_h", quota, ties=["_unit"], sums={"_requested": F.col("_req").cast("bigint")})

@@ -4,56 +4,109 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
 from .blocks import Key, keys
 
 
+DIGITS = 4
+RANKED = 1 << 17
+
+
+def _digit(v: Column, level: int) -> Column:
+    """Digits of a double in its order: sign, exponent and four bits first (at most 70 000 values), then 16 bits each.
+
+    Powers of two divide exactly, so four digits name a value. NaN is above all, as in sorting.
+    """
+    bounded = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (v != 0)
+    size = F.when(bounded, F.abs(v))
+    guess = F.floor(F.log2(size)).cast("int")
+    two = lambda e: F.pow(F.lit(2.0), e)
+    # the logarithm may be off by one next to a power of two; halves keep the powers within range
+    e = guess + F.when(size / 2 >= two(guess), 1).otherwise(0) - F.when(size < two(guess), 1).otherwise(0)
+    part = (size / two(F.greatest(e, F.lit(-1000))) / two(F.least(e, F.lit(-1000)) + 1000) - 1) * 16
+    if level == 0:
+        magnitude = (e + 1075) * 16 + F.floor(part).cast("int")
+        end = F.when(F.isnan(v), 60_001).when(v == float("inf"), 60_000).when(v == float("-inf"), -60_000).otherwise(0)
+        return F.when(bounded, F.when(v < 0, -magnitude).otherwise(magnitude)).otherwise(end)
+    for _ in range(level):
+        part = (part - F.floor(part)) * 65536
+    digit = F.floor(part).cast("int")
+    return F.when(bounded, F.when(v < 0, 65535 - digit).otherwise(digit)).otherwise(0)
+
+
 def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "series_id",
-                   out: str = "threshold", resolution: float = 1024.0, length: str | None = None,
-                   order: str = "frame_idx") -> DataFrame:
-    """Linear quantile of ``value`` per series, equal to sorting the series.
-
-    Pass 1 counts values in bins of width ``1/resolution``, which combines map-side and leaves
-    one row per series and bin. Pass 2 looks only at the one or two bins that hold the wanted
-    ranks. No task ever holds a series. ``length`` names an extra column with the number of frames,
-    which the first pass sees anyway.
+                   out: str = "threshold", resolution: float | None = None, length: str | None = None,
+                   order: str = "frame_idx", ranked: int = RANKED) -> DataFrame:
+    """Linear quantile of ``value`` per series, equal to sorting the series; nulls do not count.
+
+    Values are counted by the first digit of their bits, which combines map-side and leaves a bounded number of rows per series,
+    whatever the range of the values. Only the one or two digits that hold the wanted ranks are looked into: if one of them
+    holds more than ``ranked`` values that are not all equal, by the next digit, else by ranking its values. So no task ranks
+    more than that, however values crowd. ``length`` names an extra column with the number of frames, which the first count sees anyway.
+    ``resolution`` is taken from earlier calls and has no effect.
     """
     by = keys(series)
-    v = df.select(*by, value.alias("_v"), *([F.col(order).alias("_i")] if length else [])).where(F.col("_v").isNotNull())
-    v = v.withColumn("_bin", F.floor(F.col("_v") * F.lit(resolution)))
-    run = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = v.groupBy(*by, "_bin").agg(F.count("*").alias("_n"), *([F.max("_i").alias("_top")] if length else []))
-    if length:
-        bins = bins.withColumn("_top", F.max("_top").over(W.partitionBy(*by)) + 1)
-    bins = (bins.withColumn("_cum", F.sum("_n").over(run))
-                .withColumn("_rank", F.lit(q) * (F.sum("_n").over(W.partitionBy(*by)) - 1)))
-    bins = (bins.withColumn("_lo", F.floor("_rank")).withColumn("_hi", F.ceil("_rank"))
-                .withColumn("_start", F.col("_cum") - F.col("_n"))
-                .where((F.col("_start") <= F.col("_hi")) & (F.col("_cum") > F.col("_lo"))))
-    values = v.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_m"))
-    inner = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    near = (values.join(bins.drop("_n", "_cum"), [*by, "_bin"])
-                  .withColumn("_end", F.col("_start") + F.sum("_m").over(inner))
-                  .withColumn("_first", F.col("_end") - F.col("_m")))
-
-    def at(rank: str) -> Column:
-        hit = (F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    picked = near.groupBy(*by).agg(at("_lo").alias("_a"), at("_hi").alias("_b"),
-                                   F.max(F.col("_rank") - F.col("_lo")).alias("_f"),
+    v = df.select(*by, value.cast("double").alias("_v"), *([F.col(order).alias("_i")] if length else [])).where(F.col("_v").isNotNull())
+    picks, path = None, []
+    for level in range(DIGITS):
+        found = v if picks is None else _within(v, picks, by, path)
+        name = f"_d{level}"
+        bins = found.withColumn(name, _digit(F.col("_v"), level)).groupBy(*by, *path, name).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), *([F.max("_i").alias("_top")] if length and not path else []))
+        whole = W.partitionBy(*by)
+        if picks is None:
+            bins = bins.withColumn("_rank", F.lit(q) * (F.sum("_n").over(whole) - 1)).withColumn("_from", F.lit(0))
+            if length:
+                bins = bins.withColumn("_top", F.max("_top").over(whole) + 1)
+        else:
+            bins = bins.join(picks.select(*by, *path, "_rank", F.col("_start").alias("_from"), *(["_top"] if length else [])), [*by, *path])
+        before = W.partitionBy(*by, *path).orderBy(name).rowsBetween(W.unboundedPreceding, 0)
+        bins = bins.withColumn("_end", F.col("_from") + F.sum("_n").over(before)).withColumn("_start", F.col("_end") - F.col("_n"))
+        held = (F.col("_start") <= F.ceil("_rank")) & (F.col("_end") > F.floor("_rank"))
+        done = None if picks is None else picks.where("_least = _most")
+        path = [*path, name]
+        now = bins.where(held).drop("_from")
+        if done is not None:
+            now = now.unionByName(done.withColumn(name, F.lit(0)))
+        picks = cut_lineage(now)
+        if picks.where((F.col("_n") > ranked) & (F.col("_least") < F.col("_most"))).isEmpty():
+            break
+    single = picks.where("_least = _most").select(*by, F.col("_least").alias("_v"), F.col("_start").alias("_first"), "_end", "_rank", *(["_top"] if length else []))
+    values = _within(v, picks, by, path).groupBy(*by, *path, "_v").agg(F.count("*").alias("_m"))
+    inner = W.partitionBy(*by, *path).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    near = values.join(picks.select(*by, *path, "_start", "_rank", *(["_top"] if length else [])), [*by, *path])
+    near = near.withColumn("_end", F.col("_start") + F.sum("_m").over(inner)).withColumn("_first", F.col("_end") - F.col("_m"))
+    near = near.select(*single.columns).unionByName(single)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    picked = near.groupBy(*by).agg(at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"),
+                                   F.max(F.col("_rank") - F.floor("_rank")).alias("_f"),
                                    *([F.max("_top").alias(length)] if length else []))
     return picked.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out),
                          *([length] if length else []))
 
 
+def _within(v: DataFrame, picks: DataFrame, by: list[str], path: list[str]) -> DataFrame:
+    """Values whose digits are picked and that are not all equal; a hot digit is split by the join, which needs no order."""
+    digits = v.select(*by, "_v", *[_digit(F.col("_v"), k).alias(name) for k, name in enumerate(path)])
+    return digits.join(picks.where("_least < _most").select(*by, *path), [*by, *path], "left_semi")
+
+
 def seeded_hash(seed: int, *columns: Column | str) -> Column:
-    return F.xxhash64(F.lit(seed).cast("bigint"), *[F.col(c) if isinstance(c, str) else c for c in columns])
+    """60 bits that depend only on the seed and the columns: the first 15 digits of the MD5 of their texts, joined by ``|``.
+
+    Nulls are left out. Any engine with MD5 repeats the draw.
+    """
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def unit_hash(seed: int, *columns: Column | str) -> Column:
     """A number in [0, 1) that depends only on the seed and the columns."""
-    bits = F.shiftrightunsigned(seeded_hash(seed, *columns), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+    return F.shiftright(seeded_hash(seed, *columns), 7).cast("double") / F.lit(float(1 << 53))
 
 
 def normal_hash(seed: int, *columns: Column | str) -> Column:
@@ -67,13 +120,13 @@ def smallest_by(df: DataFrame, hash_column: str, quota: Column, *, ties: list[st
                 by: Key = (), sums: dict[str, Column] | None = None) -> DataFrame:
     """The ``quota`` rows with the smallest hash, exactly, in every group of ``by``.
 
-    The hash space is cut into 65 536 bins. Counting them finds the one bin the quota ends in;
+    The hash (60 bits) is cut into 65 536 bins. Counting them finds the one bin the quota ends in;
     only rows of that bin and below are shuffled and only within bins are they ranked. ``quota``
     may use ``_total`` (rows of the group) and the group ``sums``.
     """
     group = keys(by) if by else []
     sums = sums or {}
-    df = df.withColumn("_bin", F.shiftright(F.col(hash_column), 48))
+    df = df.withColumn("_bin", F.shiftright(F.col(hash_column), 44))
     whole = W.partitionBy(*group)
     bins = df.groupBy(*group, "_bin").agg(F.count("*").alias("_n"),
                                           *[F.sum(c).alias(f"_p_{k}") for k, c in sums.items()])
@@ -83,7 +136,7 @@ def smallest_by(df: DataFrame, hash_column: str, quota: Column, *, ties: list[st
     run = whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
     bins = bins.withColumn("_left", quota - F.sum("_n").over(run) + F.col("_n"))
     bins = bins.where(F.col("_left") > 0).select(*group, "_bin", "_n", "_left")
-    if not group:                                   # at most 65 536 rows, whatever the table
+    if not group:                                   # at most 131 072 rows, whatever the table
         bins = F.broadcast(bins)
     inside = W.partitionBy(*group, "_bin").orderBy(hash_column, *ties)
     return (df.join(bins, [*group, "_bin"])

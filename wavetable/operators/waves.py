@@ -379,10 +379,10 @@ def _process_chunks(frames: DataFrame, configs: list[WaveConfig], fps: float, se
         if found is None:
             return pa.table({f.name: pa.array([], f.type) for f in out_schema})
         rows, chunk, more = found
-        n, start, raw, parts = rows.num_rows, chunk * step, rows["pos"].to_numpy(), []
+        n, start, raw, parts, stages = rows.num_rows, chunk * step, rows["pos"].to_numpy(), [], kernels.Stages()
         same = lambda v, kind: pa.array(np.full(n, v), kind)
         for c, config in enumerate(configs):
-            values, _ = kernels.clean_wave(raw, fps, config)
+            values, _ = kernels.clean_wave(raw, fps, config, stages)
             columns = [rows[name].combine_chunks() if name != "pos" else pa.array(values, pa.float32())
                        for name in (*by, "frame_idx", "pos", "chunk")]
             parts.append(pa.Table.from_arrays([
@@ -470,7 +470,8 @@ def postprocess_sweep(frames: DataFrame, fps: float, configs: list[WaveConfig],
                       series: Key = "series_id") -> DataFrame:
     """Many configurations over the same series in one job, keyed by ``config_id``.
 
-    They share the chunk layout, so the frames are read, cut and shuffled once.
+    They share the chunk layout, so the frames are read, cut and shuffled once, and within a chunk every stage (low-pass, troughs,
+    cycles, smoothing, slopes, stretching) runs once for all configurations that agree on the settings that lead to it.
     """
     if len({c.chunking(fps) for c in configs}) != 1:
         raise ValueError("all configurations of a sweep must share chunk length and overlap")

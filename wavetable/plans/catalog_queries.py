@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import catalog as C, curation as U, metrics as M, waves as V
-from .roles import actions, cte, frames, pairs, query, r6, rounded, segments, table
+from .roles import actions, cte, drawn, frames, pairs, query, r6, rounded, segments, table
 from .series_queries import MISMATCH
 
 DAY = 86_400_000 * 30
@@ -485,7 +485,10 @@ def _(spark, sf):
     return M.split_totals(s, d, series="doc_id").select("split", "scenes", "frames")
 
 
-@query("train_val_split")
+@query("train_val_split", "", f"""WITH {CANDIDATES}, i AS (SELECT doc_id, doc_id IN (SELECT item_id FROM benchmark) AS wanted, {drawn(42, 'doc_id')} AS h FROM cand WHERE reason IS NULL),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY NOT wanted, h, doc_id) AS k,
+        greatest(1, ceil(count(*) OVER () * 0.1::DOUBLE), count(*) FILTER (WHERE wanted) OVER ()) AS quota FROM i)
+    SELECT doc_id, CASE WHEN k <= quota THEN 'val' ELSE 'train' END AS split FROM r""")
 def _(spark, sf):
     return split(spark, sf).select("doc_id", "split")
 

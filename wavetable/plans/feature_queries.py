@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import augment as A, blocks as B, features as H, keyed as K, metrics as M, waves as V, windows as G
-from .roles import actions, cte, frames, pairs, query, r6, rounded, segments, table
+from .roles import actions, cte, drawn, frames, normal, pairs, query, r6, rounded, segments, table, unit
 from .catalog_queries import analysis
 
 SEQ, STRIDE = 12, 5
@@ -110,12 +110,20 @@ def _(spark, sf):
     return e.agg(F.count("*").alias("n"), F.count_if((F.col("start") >= 0) & (F.col("start") + SEQ <= F.col("n"))).alias("known"))
 
 
+@query("epoch_subset_drawn", "fit_windows", f"""SELECT series_id, n, start FROM fit_windows
+    QUALIFY row_number() OVER (ORDER BY {drawn(45, 'series_id', 'start')}, series_id, start) <= 300""")
+def _(spark, sf):
+    """The windows of the fourth epoch themselves (see epoch_subset_seeded, which counts them)."""
+    return G.epoch_subset(G.window_index(lengths(spark, sf), SEQ, STRIDE), 300, 42, 3)
+
+
 @query("epoch_subset_first", "fit_windows", "SELECT series_id, n, start FROM fit_windows ORDER BY series_id, start LIMIT 300")
 def _(spark, sf):
     return G.epoch_subset(G.window_index(lengths(spark, sf), SEQ, STRIDE), 300, shuffle=False)
 
 
-@query("sample_windows")
+@query("sample_windows", "fit_windows", f"""SELECT series_id, n, start FROM fit_windows
+    QUALIFY row_number() OVER (ORDER BY {drawn(42, 'series_id', 'start')}, series_id, start) <= 10""")
 def _(spark, sf):
     return G.sample_windows(G.window_index(lengths(spark, sf), SEQ, STRIDE), 10, 42)
 
@@ -141,10 +149,15 @@ def _(spark, sf):
     return rounded(benchmark_suite(frames(spark, sf), models, seq=30, stride=30, count=40, seed=42), "mean", "std")
 
 
-@query("choose_segments")
+@query("choose_segments", "", f"""WITH v AS (SELECT o_orderkey AS scene_id, o_totalprice / 1000.0::DOUBLE AS duration FROM orders),
+    f AS (SELECT *, least(3, floor(duration / 40.0::DOUBLE))::INTEGER AS fits FROM v),
+    k AS (SELECT *, unnest(range(1, fits + 1))::INTEGER AS k FROM f WHERE duration > 40),
+    d AS (SELECT *, {unit(42, 'scene_id', 'k')} * (duration - fits * 40.0::DOUBLE) AS cut FROM k)
+    SELECT scene_id, duration, round(cut + 40.0::DOUBLE * (row_number() OVER (PARTITION BY scene_id ORDER BY cut) - 1), 6) AS segment_start_sec FROM d
+    UNION ALL SELECT scene_id, duration, 0.0::DOUBLE FROM f WHERE duration <= 40 AND duration >= 20""")
 def _(spark, sf):
     v = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene_id"), (F.col("o_totalprice") / F.lit(1000.0)).alias("duration"))
-    return G.choose_segments(v, 40.0, 3)
+    return rounded(G.choose_segments(v, 40.0, 3), "segment_start_sec")
 
 
 @query("choose_segments_by_bin")
@@ -189,9 +202,10 @@ def _(spark, sf):
     return unrolled(A.speed(windows(spark, sf), flag(), F.lit(1.1), ["pos"]))
 
 
-@query("augment_label_noise")
+@query("augment_label_noise", "cut_windows", f"""SELECT series_id, start, i, round(CASE WHEN series_id % 2 = 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+    pos + 0.02::DOUBLE * {normal(42, "'label'", "'0'", 'series_id', 'start', 'i')})) ELSE pos END, 6) AS pos FROM cut_windows""")
 def _(spark, sf):
-    return unrolled(A.label_noise(windows(spark, sf), flag(), 42, 0, ["series_id", "start"]))
+    return rounded(unrolled(A.label_noise(windows(spark, sf), flag(), 42, 0, ["series_id", "start"])), "pos")
 
 
 def vector_windows(spark, sf):
@@ -226,14 +240,17 @@ def _(spark, sf):
     return wide(A.hflip(vector_windows(spark, sf), flag(), "v", 8))
 
 
-@query("augment_dim_dropout")
+@query("augment_dim_dropout", "vector_windows", f"""SELECT series_id, start, i, dim, CASE WHEN series_id % 2 = 0
+    AND {unit(42, "'dim'", "'0'", 'series_id', 'start', 'dim')} < 0.1::DOUBLE THEN 0.0::DOUBLE ELSE x END AS value FROM vector_windows""")
 def _(spark, sf):
     return wide(A.dim_dropout(vector_windows(spark, sf), flag(), "v", 42, 0, ["series_id", "start"]))
 
 
-@query("augment_feature_noise")
+@query("augment_feature_noise", "vector_windows", f"""SELECT series_id, start, i, dim, round(CASE WHEN series_id % 2 = 0
+    THEN x + 0.02::DOUBLE * stddev_samp(x) OVER (PARTITION BY series_id, start) * {normal(42, "'feature'", "'0'", 'series_id', 'start', 'i', 'dim')}
+    ELSE x END, 6) AS value FROM vector_windows""")
 def _(spark, sf):
-    return wide(A.feature_noise(vector_windows(spark, sf), flag(), "v", 42, 0, ["series_id", "start"]))
+    return rounded(wide(A.feature_noise(vector_windows(spark, sf), flag(), "v", 42, 0, ["series_id", "start"])), "value")
 
 
 def pose_windows(spark, sf):
@@ -246,12 +263,24 @@ def points(df):
     return x.select("series_id", "start", "i", "k", "p.x", "p.y", "p.conf")
 
 
-@query("augment_pose_noise")
+POINTS = """WITH n AS (SELECT series_id, max(frame_idx) + 1 AS n FROM pose_points GROUP BY series_id),
+    w AS (SELECT series_id, frame_idx // 4 * 4 AS start, frame_idx % 4 AS i, k, x, y, conf FROM pose_points JOIN n USING (series_id)
+        WHERE slot = 0 AND frame_idx // 4 * 4 + 4 <= n)"""
+
+
+def shaken(axis):
+    moved = f"{axis} + 0.01::DOUBLE * {normal(42, f"'pose_{axis}'", "'0'", 'series_id', 'start', 'i', 'k')}"
+    return f"round(CASE WHEN series_id % 2 = 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, {moved})) ELSE {axis} END, 6) AS {axis}"
+
+
+@query("augment_pose_noise", "pose_points", f"{POINTS} SELECT series_id, start, i, k, {shaken('x')}, {shaken('y')}, conf FROM w")
 def _(spark, sf):
-    return points(A.pose_noise(pose_windows(spark, sf), flag(), "kp", 42, 0, ["series_id", "start"]))
+    return rounded(points(A.pose_noise(pose_windows(spark, sf), flag(), "kp", 42, 0, ["series_id", "start"])), "x", "y")
 
 
-@query("augment_keypoint_dropout")
+@query("augment_keypoint_dropout", "pose_points", f"""{POINTS}, d AS (SELECT *, series_id % 2 = 0 AND
+    {unit(42, "'point'", "'0'", 'series_id', 'start', 'i', 'k')} < 0.1::DOUBLE AS gone FROM w)
+    SELECT series_id, start, i, k, CASE WHEN gone THEN 0 ELSE x END AS x, CASE WHEN gone THEN 0 ELSE y END AS y, CASE WHEN gone THEN 0 ELSE conf END AS conf FROM d""")
 def _(spark, sf):
     return points(A.keypoint_dropout(pose_windows(spark, sf), flag(), "kp", 42, 0, ["series_id", "start"]))
 
@@ -267,15 +296,27 @@ def augmented(spark, sf):
     return A.augment(vector_windows(spark, sf), ["pos", "v"], 42, 1, grid="v", grid_width=8, slices=[(0, 16), (16, 64)])
 
 
-@query("augment")
+def chances(epoch):
+    return ", ".join(f"{unit(42, f"'{n}'", f"'{epoch}'", 'series_id', 'start')} < {r}::DOUBLE AS {n}" for n, r in A.RATES.items())
+
+
+@query("augment", "vector_windows", f"""WITH f AS (SELECT *, {chances(1)}, CAST(floor({unit(42, "'shift'", "'1'", 'series_id', 'start')} * 11) AS INTEGER) - 5 AS shift,
+        {unit(42, "'slice'", "'1'", 'series_id', 'start')} < 0.5::DOUBLE AS low FROM vector_windows),
+    r AS (SELECT *, CASE WHEN time_reverse THEN 7 - i ELSE i END AS t FROM f)
+    SELECT series_id, start, CAST(CASE WHEN roll THEN (t + shift + 8) % 8 ELSE t END AS INTEGER) AS i,
+        CAST(CASE WHEN hflip THEN dim // 8 * 8 + 7 - dim % 8 ELSE dim END AS INTEGER) AS dim,
+        CASE WHEN slice_dropout AND (dim < 16) = low THEN 0.0::DOUBLE ELSE x END AS value FROM r""")
 def _(spark, sf):
     return wide(augmented(spark, sf))
 
 
-@query("augmentation_rates")
+@query("augmentation_rates", "fit_windows", f"""WITH f AS (SELECT {chances(0)}, CAST(floor({unit(42, "'shift'", "'0'", 'series_id', 'start')} * 11) AS INTEGER) - 5 AS shift FROM fit_windows)
+    SELECT unnest(['time_reverse', 'roll', 'slice_dropout', 'hflip']) AS augmentation, round(unnest([avg(time_reverse::INTEGER), avg((roll AND shift <> 0)::INTEGER), 0, 0]), 9) AS rate,
+        count(*) AS windows FROM f""")
 def _(spark, sf):
+    """How often each augmentation applied; without a grid the last two never do."""
     w = windows(spark, sf)
-    return M.augmentation_rates(A.augment(w, ["pos"], 42, 0), list(A.RATES))
+    return rounded(M.augmentation_rates(A.augment(w, ["pos"], 42, 0), list(A.RATES)), "rate", digits=9)
 
 
 # ---------------------------------------------------------------- vectors and channels

@@ -57,6 +57,22 @@ def query(name: str, using: str = "", sql: str | None = None):
     return register
 
 
+def drawn(seed: int, *columns: str) -> str:
+    """SQL of ``order_stats.seeded_hash``; columns are SQL expressions."""
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(columns)})), 1, 15))::BIGINT"
+
+
+def unit(seed: int, *columns: str) -> str:
+    """SQL of ``order_stats.unit_hash``."""
+    return f"(({drawn(seed, *columns)} >> 7) / 9007199254740992.0::DOUBLE)"
+
+
+def normal(seed: int, *columns: str) -> str:
+    """SQL of ``order_stats.normal_hash``."""
+    u, v = (unit(seed, f"'{k}'", *columns) for k in "uv")
+    return f"(sqrt(-2.0::DOUBLE * ln(greatest({u}, 1e-300::DOUBLE))) * cos(6.283185307179586::DOUBLE * {v}))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ship_package(spark)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks as B, metrics as M, resample as R, waves as V
+from ..functions import kernels
+from ..operators import blocks as B, metrics as M, passes as P, resample as R, waves as V
 from ..operators.order_stats import exact_quantile
 from .roles import (actions, cte, frames, grids, long_frames, oracle, pairs, query, r6, rounded, segments, table)
 
@@ -375,14 +376,70 @@ def _(spark, sf):
     return rounded(V.lowpass(chunked(spark, sf), 15.0, 8.0).select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "low"), "low")
 
 
-@query("troughs_spaced")
+def filtered(source: str, by: str, fps: float, cutoff: float) -> str:
+    """Definitions that end in ``low`` (by, i, v): the low-pass of second order of ``source`` (by, i, v), sample by sample."""
+    (b0, b1, b2), (_, a1, a2) = (tuple(f"({c!r}::DOUBLE)" for c in map(float, k)) for k in kernels.butterworth(2, cutoff / (fps / 2)))
+    z1, z2 = (f"({c!r}::DOUBLE)" for c in map(float, kernels.step_state(*kernels.butterworth(2, cutoff / (fps / 2)))))
+
+    def run(name, given):
+        y = lambda v, s: f"({b0} * {v} + {s})"
+        state = lambda v, s, t: f"{b1} * {v} - {a1} * {y(v, s)} + {t} AS s1, {b2} * {v} - {a2} * {y(v, s)} AS s2"
+        same = " AND ".join(f"e.{c} = f.{c}" for c in by.split(", "))
+        return f"""{name} AS (SELECT {by}, 0::BIGINT AS k, {y('v', f'{z1} * v')} AS y, {state('v', f'{z1} * v', f'{z2} * v')} FROM {given} WHERE k = 0
+            UNION ALL SELECT {', '.join(f'e.{c}' for c in by.split(', '))}, e.k, {y('e.v', 'f.s1')}, {state('e.v', 'f.s1', 'f.s2')} FROM {name} f JOIN {given} e ON {same} AND e.k = f.k + 1)"""
+    return f"""src AS (SELECT *, count(*) OVER (PARTITION BY {by}) AS n, first_value(v) OVER (PARTITION BY {by} ORDER BY i) AS va,
+            last_value(v) OVER (PARTITION BY {by} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS vz FROM {source}),
+        ext AS (SELECT {by}, n, (i + 9)::BIGINT AS k, v FROM src WHERE n > 9 UNION ALL SELECT {by}, n, 9 - i, 2 * va - v FROM src WHERE n > 9 AND i BETWEEN 1 AND 9
+            UNION ALL SELECT {by}, n, 2 * (n - 1) - i + 9, 2 * vz - v FROM src WHERE n > 9 AND i BETWEEN n - 10 AND n - 2),
+        {run('forth', 'ext')}, turned AS (SELECT {by}, max(k) OVER (PARTITION BY {by}) - k AS k, y AS v FROM forth), {run('back', 'turned')},
+        low AS (SELECT {by}, (max(k) OVER (PARTITION BY {by}) - k - 9)::INTEGER AS i, CAST(CAST(y AS FLOAT) AS DOUBLE) AS v, max(k) OVER (PARTITION BY {by}) - 17 AS n FROM back
+            QUALIFY i BETWEEN 0 AND n - 1 UNION ALL SELECT {by}, i::INTEGER, CAST(CAST(v AS FLOAT) AS DOUBLE), n FROM src WHERE n <= 9)"""
+
+
+def spaced_troughs(by: str, distance: int, depth: float) -> str:
+    """Definitions that end in ``found`` (by, i): troughs of ``low`` by the plain rules."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in by.split(", "))
+    return f"""flat AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY {by} ORDER BY i) THEN 0 ELSE 1 END AS new FROM low),
+        numbered AS (SELECT *, sum(new) OVER (PARTITION BY {by} ORDER BY i) AS part FROM flat),
+        parts AS (SELECT {by}, part, (min(i) + max(i)) // 2 AS pos, any_value(v) AS v FROM numbered GROUP BY {by}, part),
+        minima AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY v, pos DESC) AS rank FROM (SELECT * FROM parts
+            QUALIFY lag(v) OVER (PARTITION BY {by} ORDER BY part) > v AND lead(v) OVER (PARTITION BY {by} ORDER BY part) > v)),
+        chosen AS (SELECT {by}, rank, [pos] AS kept FROM minima WHERE rank = 1 UNION ALL SELECT {', '.join(f'b.{c}' for c in by.split(', '))}, b.rank,
+            CASE WHEN len(list_filter(kept, lambda k: abs(k - b.pos) < {distance})) = 0 THEN list_append(kept, b.pos) ELSE kept END FROM chosen a JOIN minima b ON {same} AND b.rank = a.rank + 1),
+        spaced AS (SELECT {by}, unnest(kept) AS pos FROM (SELECT {by}, arg_max(kept, rank) AS kept FROM chosen GROUP BY {by})),
+        valued AS (SELECT a.*, v FROM spaced a JOIN low b ON {same} AND a.pos = b.i),
+        walls AS (SELECT {', '.join(f'a.{c}' for c in by.split(', '))}, a.pos, a.v, coalesce(max(b.i) FILTER (WHERE b.i < a.pos AND b.v < a.v), -1) AS l,
+            coalesce(min(b.i) FILTER (WHERE b.i > a.pos AND b.v < a.v), 1 << 30) AS r FROM valued a JOIN low b ON {same} GROUP BY ALL),
+        found AS (SELECT {', '.join(f'a.{c}' for c in by.split(', '))}, a.pos::INTEGER AS i FROM walls a JOIN low b ON {same} AND b.i > a.l AND b.i < a.r GROUP BY {', '.join(f'a.{c}' for c in by.split(', '))}, a.pos, a.v
+            HAVING least(max(b.v) FILTER (WHERE b.i <= a.pos), max(b.v) FILTER (WHERE b.i >= a.pos)) - a.v >= {depth}::DOUBLE)"""
+
+
+WHOLE = "given AS (SELECT series_id, frame_idx AS i, pos::DOUBLE AS v FROM long_frames)"
+CHUNKS = "given AS (SELECT series_id, frame_idx // 900 AS chunk, frame_idx % 900 AS i, pos::DOUBLE AS v FROM long_frames)"
+
+
+@query("lowpass_whole", "long_frames", f"WITH RECURSIVE {WHOLE}, {filtered('given', 'series_id', 15.0, 4.0)} SELECT series_id, i AS frame_idx, round(v, 6) AS low FROM low")
+def _(spark, sf):
+    return rounded(P.lowpass_whole(long_frames(spark, sf), 15.0, 4.0), "low")
+
+
+@query("troughs_whole", "long_frames", f"""WITH RECURSIVE {WHOLE}, {filtered('given', 'series_id', 15.0, 4.0)}, {spaced_troughs('series_id', 4, 0.035)}
+    SELECT series_id, i AS frame_idx FROM found""")
+def _(spark, sf):
+    low = P.lowpass_whole(long_frames(spark, sf), 15.0, 4.0)
+    return P.troughs_whole(low, 15.0, 0.035, 0.3, x="low").select("series_id", "frame_idx")
+
+
+@query("troughs_spaced", "long_frames", f"""WITH RECURSIVE {CHUNKS}, {filtered('given', 'series_id, chunk', 15.0, 4.0)}, {spaced_troughs('series_id, chunk', 4, 0.035)}
+    SELECT series_id, CAST(chunk * 900 + i AS INTEGER) AS frame_idx FROM found""")
 def _(spark, sf):
     """Troughs of the filtered frames by depth and spacing, compared with plain loops in tests/test_flows.py. The default of 0.15 s
     is two frames at 15 fps, which any two minima keep, so four frames are asked for."""
     return V.troughs(V.lowpass(chunked(spark, sf), 15.0, 4.0), 15.0, 0.035, 0.3, x="low").where("trough").select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"))
 
 
-@query("lowpass_4hz")
+@query("lowpass_4hz", "long_frames", f"""WITH RECURSIVE {CHUNKS}, {filtered('given', 'series_id, chunk', 15.0, 4.0)}
+    SELECT series_id, CAST(chunk * 900 + i AS INTEGER) AS frame_idx, round(v, 6) AS low FROM low""")
 def _(spark, sf):
     """Every frame filtered; compared with the plain recursion in tests/test_flows.py."""
     return rounded(V.lowpass(chunked(spark, sf), 15.0, 4.0).select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "low"), "low")
