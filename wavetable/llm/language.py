@@ -51,20 +51,26 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, reg: float = 1e-4) -> np.ndarray:
-    """Weights and bias of a linear machine for labels +1 and -1: hinge loss, averaged sub-gradient steps, balanced classes."""
+def fit_machine(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, reg: float = 1e-4, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights and bias of a linear machine for labels +1 and -1: hinge loss, averaged sub-gradient steps, balanced classes.
+
+    ``rows`` says which rows of ``x`` the labels belong to (default: all), so that machines share one array.
+    """
     rng = np.random.default_rng(seed)
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+    rows = np.arange(len(x)) if rows is None else rows
     weight = np.where(y > 0, len(y) / max(2 * (y > 0).sum(), 1), len(y) / max(2 * (y < 0).sum(), 1))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     mean, steps, t = np.zeros_like(w), 0, 0
     for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
+        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
             t += 1
             rate = 1.0 / (reg * (t + 1000))
-            inside = y[part] * (x[part] @ w) < 1
+            given = x[rows[part]]
+            inside = y[part] * (given @ w[:-1] + w[-1]) < 1
+            push = weight[part] * y[part] * inside
             w *= 1 - rate * reg
-            w += rate / len(part) * ((weight[part] * y[part] * inside) @ x[part])
+            w[:-1] += rate / len(part) * (push @ given)
+            w[-1] += rate / len(part) * push.sum()
             size = np.sqrt(w @ w)
             w *= min(1.0, 1 / np.sqrt(reg) / size) if size else 1.0
             if epoch >= epochs // 2:
@@ -110,6 +116,18 @@ def _confidence(margin: float) -> float:
     return float(1 / (1 + np.exp(-2.0 * min(max(margin, -30.0), 30.0))))
 
 
+def _sparse(v: np.ndarray) -> bytes:
+    """Places and values of the entries of a vector that are not zero."""
+    where = np.flatnonzero(v).astype(np.uint16 if len(v) <= 1 << 16 else np.uint32)
+    return np.uint32(len(where)).tobytes() + v[where].astype(np.float32).tobytes() + where.tobytes()
+
+
+def _dense(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    kind = np.uint16 if len(raw) == 4 + 6 * n else np.uint32
+    return np.frombuffer(raw, kind, n, 4 + 4 * n), np.frombuffer(raw, np.float32, n, 4)
+
+
 def fit(docs: DataFrame, train: Column, per_language: int = 600, families: dict[str, str] | None = None, dim: int = DIM,
         text: str = "text", lang: str = "lang") -> Model:
     """Fit on rows where ``train`` holds. At most ``per_language`` rows of each language, the smallest by a hash of the
@@ -128,27 +146,37 @@ def fit(docs: DataFrame, train: Column, per_language: int = 600, families: dict[
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                vs = [vector(t.encode("utf-8", "surrogatepass"), dim).tobytes() for t in batch.column(1).to_pylist()]
+                vs = [_sparse(vector(t.encode("utf-8", "surrogatepass"), dim)) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(vs, pa.binary())], names=["lang", "h", "v"])
 
     got = near.select("lang", "text", "h").mapInArrow(work, "lang string, h long, v binary").collect()
     by: dict[str, list] = {}
     for row in sorted(got, key=lambda r: (r["lang"], r["h"])):
-        by.setdefault(row["lang"], []).append(np.frombuffer(row["v"], np.float32))
-    by = {k: np.stack(v[:per_language]) for k, v in by.items()}
-    members: dict[str, list[str]] = {}
+        if len(by.setdefault(row["lang"], [])) < per_language:
+            by[row["lang"]].append(row["v"])
+    del got
+    # one array for all machines, filled row by row
+    x = np.zeros((sum(map(len, by.values())), dim), np.float32)
+    at, place = {}, 0
     for language in sorted(by):
+        at[language] = np.arange(place, place + len(by[language]))
+        for v in by[language]:
+            where, value = _dense(v)
+            x[place, where] = value
+            place += 1
+        by[language] = []
+    members: dict[str, list[str]] = {}
+    for language in at:
         members.setdefault(families.get(language, language), []).append(language)
     first, pairs = {}, {}
     if len(members) > 1:
-        x = np.concatenate([by[k] for k in sorted(by)])
-        own = np.concatenate([[families.get(k, k)] * len(by[k]) for k in sorted(by)])
+        own = np.concatenate([[families.get(k, k)] * len(at[k]) for k in at])
         first = {f: fit_machine(x, np.where(own == f, 1.0, -1.0), 1) for f in sorted(members)}
     for group in members.values():
         for i, a in enumerate(group):
             for b in group[i + 1:]:
-                x = np.concatenate([by[a], by[b]])
-                pairs[a, b] = fit_machine(x, np.concatenate([np.ones(len(by[a])), -np.ones(len(by[b]))]), 2)
+                y = np.concatenate([np.ones(len(at[a])), -np.ones(len(at[b]))])
+                pairs[a, b] = fit_machine(x, y, 2, rows=np.concatenate([at[a], at[b]]))
     return Model(members, first, pairs, dim)
 
 
