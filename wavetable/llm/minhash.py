@@ -9,7 +9,8 @@ Links are confirmed on the full sets. Equal sets are one node from the start. In
 against the most typical one; nodes that are connected by then need not be compared with each other, only pairs that
 are still apart are, and of these only pairs whose parity bits allow the similarity: each set keeps the parity of its
 number of elements in each of 512 hash classes, and sets differ in at least as many elements as they do in
-parities. Buckets of more than ``hot`` are split by a second chunk (which finds all pairs up to a distance of ``2 * chunks - 3``).
+parities. In a bucket of more than ``hot`` nodes, those outside its largest component are held against all, in parts of
+about ``hot`` nodes; pairs within that component are connected already. So every bucket finds all its pairs, whatever its size.
 """
 
 from __future__ import annotations
@@ -205,19 +206,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
     found = buckets.select("key", "chunk", "node", "n", "size").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     apart = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = stored(found.join(apart.select("key"), "key"), "minhash-apart")
+    left = stored(found.join(apart.select("key"), "key"), "minhash-apart")      # buckets with nodes that are still apart
     left = left.join(classes.select("node", "bits"), "node")
-    small = left.where(F.col("size") <= hot).select("key", "node", "n", "bits", "component")
-    large = left.where(F.col("size") > hot).select(F.col("key").alias("first"), F.col("chunk").alias("own"), "node", "n", "bits", "component")
-    second = large.join(left.select("node", "chunk", F.col("key").alias("other")), "node")
-    second = second.where("own <> chunk").select(F.xxhash64("first", "other").alias("key"), "node", "n", "bits", "component")
-    rest = small.unionByName(second)
-    x = rest.toDF("key", "a", "na", "xa", "ca")
-    y = rest.toDF("key", "b", "nb", "xb", "cb")
     # sets differ at least in as many elements as their parities do; 80 % leave a ninth of both sizes
     differ = sum((F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])) for k in range(PARITIES // 64)), F.lit(0))
-    more = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-                                  & (differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))))
+    possible = (F.col("ca") != F.col("cb")) & (differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
+    small = left.where(F.col("size") <= hot).select("key", "node", "n", "bits", "component")
+    more = small.toDF("key", "a", "na", "xa", "ca").join(small.toDF("key", "b", "nb", "xb", "cb"), "key").where((F.col("a") < F.col("b")) & possible)
+    large = left.where(F.col("size") > hot)
+    most = large.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(
+        F.max_by("component", F.struct("m", "component")).alias("main"))
+    parts = F.ceil(F.col("size") / hot).cast("int")
+    asking = large.join(most, "key").where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    asked = large.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    asking = asking.select("key", "part", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("component").alias("ca"))
+    asked = asked.select("key", "part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("component").alias("cb"))
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))        # both ask unless one is in the largest component
+    wide = asking.join(asked, ["key", "part"]).where(once & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.select("a", "b").unionByName(wide)
     more = more.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     extra = stored(_confirmed(stored(more, "minhash-more"), sets, percent), "minhash-extra")
     if not extra.isEmpty():
