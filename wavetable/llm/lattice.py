@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 from .common import components, ready, stored
 
 BLOCKS = 2
+#: Length of a projected unit vector, in units in which lattice points lie sqrt(2) apart: at a cosine of 0.98 vectors are 0.6 apart.
+RADIUS = 3.0
+
+
+def scale_of(dims: int) -> float:
+    """Scale at which the projection of a random unit vector of ``dims`` entries is ``RADIUS`` long, whatever their number."""
+    return RADIUS * (max(dims, 8 * BLOCKS) / (8 * BLOCKS)) ** 0.5
 
 
 def neighbours() -> np.ndarray:
@@ -50,8 +57,9 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
-def cells(unit: np.ndarray, table: int, probes: int, scale: float, seed: int) -> np.ndarray:
-    """(rows, 1 + probes) keys: the own cell first, then the closest neighbouring ones."""
+def cells(unit: np.ndarray, table: int, probes: int, scale: float | None, seed: int) -> np.ndarray:
+    """(rows, 1 + probes) keys: the own cell first, then the closest neighbouring ones. Without a ``scale`` it follows the dimension."""
+    scale = scale_of(unit.shape[1]) if scale is None else scale
     rng = np.random.default_rng([seed, table, unit.shape[1]])
     width = 8 * BLOCKS
     wide = max(unit.shape[1], width)
@@ -69,7 +77,7 @@ def cells(unit: np.ndarray, table: int, probes: int, scale: float, seed: int) ->
         return np.concatenate([own[:, None], own[:, None] + moves[best]], 1)
 
 
-def link(vectors: DataFrame, threshold: float = 0.98, tables: int = 8, probes: int = 8, scale: float = 6.0, seed: int = 3,
+def link(vectors: DataFrame, threshold: float = 0.98, tables: int = 8, probes: int = 8, scale: float | None = None, seed: int = 3,
          vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links (other rows linked directly), component_id (smallest id reachable), kept; one row per row.
 
