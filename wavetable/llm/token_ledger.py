@@ -1,17 +1,22 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed changes.
 
 A change is +1 document with its tokens for an insert, -1 for a delete, and a pair of both for a revised count. Each
-batch is summed by key first and committed as one folder whose success marker is written last: a batch that is
-sent again is skipped, one that broke off is written over. Totals are the sums over all committed batches, so the
-order of batches does not matter.
+batch is summed by key first, written aside and committed by renaming its folder to its name, which fails if the name is
+taken: a batch that is sent again is skipped, of two writers of one batch one commits, and one that broke off leaves no trace in
+the totals. Totals are the sums over all committed batches, so the order of batches does not matter. A compacted ledger
+carries the names of the batches it holds, so these are skipped there too.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer_version")
+FOLDED, COMPACTED = "folded-names", "compacted"
 
 
 def inserts(docs: DataFrame, tokens: Column, version: str, sign: int = 1) -> DataFrame:
@@ -38,29 +43,67 @@ def _files(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _folders(spark: SparkSession, ledger: str) -> list[str]:
+    """Names of the folders that hold totals and have their success marker; one search for all batches."""
+    path, fs = _files(spark, f"{ledger}/*/_SUCCESS")
+    names = (s.getPath().getParent().getName() for s in fs.globStatus(path) or [])
+    return sorted(n for n in names if not n.startswith((".", "_")) and n != FOLDED)
+
+
+def _folded(spark: SparkSession, ledger: str) -> DataFrame | None:
+    path, fs = _files(spark, f"{ledger}/{FOLDED}")
+    return spark.read.schema("batch string").parquet(f"{ledger}/{FOLDED}") if fs.exists(path) else None
+
+
 def committed(spark: SparkSession, ledger: str) -> list[str]:
-    """Names of the batches whose success marker exists."""
-    path, fs = _files(spark, ledger)
-    if not fs.exists(path):
-        return []
-    folders = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
-    return sorted(p.getName() for p in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    """Names of the batches in the ledger, those that a compaction folded included."""
+    old = _folded(spark, ledger)
+    return sorted({*_folders(spark, ledger), *([r["batch"] for r in old.collect()] if old is not None else [])} - {COMPACTED})
+
+
+def _known(spark: SparkSession, ledger: str, batch: str) -> bool:
+    path, fs = _files(spark, f"{ledger}/{batch}/_SUCCESS")
+    old = _folded(spark, ledger)
+    return fs.exists(path) or (old is not None and not old.where(F.col("batch") == batch).isEmpty())
 
 
 def commit(changes: DataFrame, ledger: str, batch: str) -> bool:
-    """Add a batch of changes; False if a batch of that name is there already."""
+    """Add a batch of changes; False if a batch of that name is there already, or another writer was first."""
+    if not batch or batch in (FOLDED, COMPACTED) or batch.startswith((".", "_")) or "/" in batch:
+        raise ValueError(f"not a name for a batch: {batch!r}")
     spark = changes.sparkSession
-    if batch in committed(spark, ledger):
+    if _known(spark, ledger, batch):
         return False
     rolled = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-    rolled.write.mode("overwrite").parquet(f"{ledger}/{batch}")
-    return True
+    aside = f"{ledger}/.aside-{uuid.uuid4().hex}"
+    rolled.write.parquet(aside)
+    return _rename(spark, aside, f"{ledger}/{batch}")
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False (and the source deleted) if the target exists. Where renaming is not atomic, writers of one batch
+    must not run at the same time."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    here, there = fs.Path(source), fs.Path(target)
+    context = fs.FileContext.getFileContext(here.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(here, there, spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0))
+        return True
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        marker, files = _files(spark, f"{target}/_SUCCESS")
+        if not files.exists(marker):                      # a folder that a writer left unfinished
+            context.delete(there, True)
+            return _rename(spark, source, target)
+        context.delete(here, True)
+        return False
 
 
 def totals(spark: SparkSession, ledger: str) -> DataFrame:
     """Current totals; keys whose documents have all gone are left out. An empty ledger gives no rows."""
     schema = "source string, lang string, tokenizer_version string, documents long, tokens long"
-    names = committed(spark, ledger)
+    names = _folders(spark, ledger)
     if not names:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(*[f"{ledger}/{n}" for n in names])
@@ -69,5 +112,10 @@ def totals(spark: SparkSession, ledger: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, ledger: str, target: str) -> None:
-    """Write the totals as the first batch of a new ledger."""
-    totals(spark, ledger).write.mode("overwrite").parquet(f"{target}/compacted")
+    """Write the totals as the one folder of a new ledger, with the names of the batches in them; batches sent again are skipped there.
+
+    Names are written first: a ledger without its totals folder is not finished and is written over by the next attempt.
+    """
+    names = [(n,) for n in committed(spark, ledger)]
+    spark.createDataFrame(names, "batch string").write.mode("overwrite").parquet(f"{target}/{FOLDED}")
+    totals(spark, ledger).write.mode("overwrite").parquet(f"{target}/{COMPACTED}")
