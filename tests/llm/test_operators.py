@@ -88,7 +88,27 @@ def test_ledger_is_additive_and_idempotent(spark, tmp_path):
     token_ledger.commit(token_ledger.revisions(docs.where("t = 5"), F.col("t"), "v1", F.lit(9), "v2"), ledger, "2")
     assert {tuple(r) for r in token_ledger.totals(spark, ledger).collect()} == got
     token_ledger.compact(spark, ledger, str(tmp_path / "new"))
-    assert {tuple(r) for r in token_ledger.totals(spark, str(tmp_path / "new")).collect()} == got
+    new = str(tmp_path / "new")
+    assert {tuple(r) for r in token_ledger.totals(spark, new).collect()} == got
+    # batches that the compacted ledger holds are skipped there, also after a second compaction; new ones count
+    assert token_ledger.committed(spark, new) == ["1", "2", "3"] and not token_ledger.commit(load, new, "1")
+    token_ledger.compact(spark, new, str(tmp_path / "newer"))
+    assert not token_ledger.commit(load, str(tmp_path / "newer"), "1")
+    assert {tuple(r) for r in token_ledger.totals(spark, str(tmp_path / "newer")).collect()} == got
+    assert token_ledger.commit(load.where("lang = 'en'"), str(tmp_path / "newer"), "4") and "4" in token_ledger.committed(spark, str(tmp_path / "newer"))
+    for name in ("", ".x", "_x", "a/b", "compacted", "folded-names"):
+        with pytest.raises(ValueError):
+            token_ledger.commit(load, ledger, name)
+
+
+def test_ledger_has_one_winner(spark, tmp_path):
+    """A writer that finds its batch taken when it is done leaves it as it is."""
+    ledger = str(tmp_path / "ledger")
+    one = spark.createDataFrame([("a", "en", "v1", 1, 5)], "source string, lang string, tokenizer_version string, documents long, tokens long")
+    assert token_ledger.commit(one, ledger, "1")
+    one.withColumn("tokens", F.lit(7)).write.parquet(f"{ledger}/.aside-late")
+    assert not token_ledger._rename(spark, f"{ledger}/.aside-late", f"{ledger}/1")
+    assert [r["tokens"] for r in token_ledger.totals(spark, ledger).collect()] == [5] and not (tmp_path / "ledger" / ".aside-late").exists()
 
 
 # ---- 3 quality -----------------------------------------------------------------------------------------------------------------
@@ -451,3 +471,53 @@ def test_merge_knows_common_prefixes():
 def test_held_out_remainders(spark):
     got = spark.range(50).select("id", crc_mod("id", 3).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in got)
+
+
+@pytest.mark.parametrize("dims", [8, 16, 24, 64, 256, 768, 1536])
+def test_lattice_finds_close_vectors_at_any_dimension(dims):
+    rng = np.random.default_rng(dims)
+    n = 600
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(rng.normal(size=(n, dims)))
+    side = rng.normal(size=(n, dims))
+    side = unit(side - (side * a).sum(1)[:, None] * a)
+    c = rng.uniform(.98, .985, n)[:, None]
+    b = c * a + np.sqrt(1 - c * c) * side
+
+    def met(x, y):
+        hit = np.zeros(n, bool)
+        for t in range(8):
+            p, q = (lattice.cells(v, t, 8, None, 3) for v in (x, y))
+            hit |= (p == q[:, :1]).any(1) | (q == p[:, :1]).any(1)
+        return hit.mean()
+    assert met(a, b) >= .99 and met(a, np.roll(a, 1, 0)) < .01
+
+
+@pytest.mark.parametrize("dims", [16, 300])
+def test_lattice_links_planted_pairs(spark, dims):
+    rng = np.random.default_rng(dims + 1)
+    base = rng.normal(size=(60, dims))
+    near = base[:30] / np.linalg.norm(base[:30], axis=1)[:, None]
+    side = rng.normal(size=near.shape)
+    side -= (side * near).sum(1)[:, None] * near
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(base)] + [(100 + i, v.tolist(), "a") for i, v in enumerate(.982 * near + np.sqrt(1 - .982 ** 2) * side)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {**{i: (1 if i < 30 else 0, i) for i in range(60)}, **{100 + i: (1, i) for i in range(30)}}
+
+
+def test_archive_reads_what_records_say(spark, tmp_path):
+    """References and lengths come from the records: a header that is changed shows."""
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "v", "abc"), (3, "w", "é" * 200_000)], "page_id long, url string, html string").withColumn("refers_to", F.lit(9))
+    warc.write_archive(pages, str(tmp_path / "a"))
+    got = {r["page_id"]: r for r in warc.read_archive(spark, str(tmp_path / "a")).withColumn("block", F.when(warc.field("WARC-Type") == "response", warc.block_of())).collect()}
+    assert got[1]["refers_to"] == 2 and got[2]["refers_to"] is None and bytes(got[3]["block"]) == ("é" * 200_000).encode() and bytes(got[2]["block"]) == b"abc"
+    headers, payloads = (spark.read.parquet(str(tmp_path / "a" / n)) for n in ("headers", "payloads"))
+    for k, (old, new, message) in enumerate([("WARC-Refers-To: <urn:uuid:", "WARC-Refers-To: <urn:uuid:0", "no response has the id"),
+                                             ("Content-Length: 3\r", "Content-Length: 4\r", "not as long as stated")]):
+        folder = str(tmp_path / f"b{k}")
+        payloads.write.parquet(f"{folder}/payloads")
+        headers.withColumn("header", F.replace(F.col("header").cast("string"), F.lit(old), F.lit(new)).cast("binary")).write.parquet(f"{folder}/headers")
+        read = warc.read_archive(spark, folder)
+        with pytest.raises(Exception, match=message):
+            read.select("refers_to", F.when(warc.field("WARC-Type") == "response", warc.block_of())).collect()

@@ -46,10 +46,12 @@ FROM d
 """)
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     from . import warc
-    records = warc.round_trip(table(spark, sf, "pages"))
-    return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"),
-                          F.regexp_extract(warc.field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"),
-                          warc.field("WARC-Type").alias("record_type"), "refers_to")
+    records = warc.round_trip(table(spark, sf, "pages")).withColumn("type", warc.field("WARC-Type"))
+    # a revisit has no block of its own; its payload is that of the response it shares a digest with
+    payload = F.when(F.col("type") == "response", warc.block_of()).otherwise(F.col("payload"))
+    return records.withColumn("payload", payload).select(
+        "page_id", F.length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
 
 
 @query("""
@@ -103,7 +105,7 @@ l AS (SELECT doc_id, host, text, line, i, array_to_string(regexp_extract_all(
 lw AS (SELECT *, len(string_split(norm, ' ')) AS words FROM l WHERE norm <> ''),
 u AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lw GROUP BY 1, 2) GROUP BY 1),
 f AS (SELECT host, norm FROM lw JOIN (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY 1) USING (host)
-      GROUP BY host, norm HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05::DOUBLE * max(docs)),
+      GROUP BY host, norm HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > least(20, 0.05::DOUBLE * max(docs))),
 x AS (SELECT doc_id, sum(words) AS n FROM lw JOIN f USING (host, norm) GROUP BY 1),
 a AS (SELECT d.doc_id, coalesce(c.n_words, 0)::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars,
              (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
@@ -114,8 +116,9 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= n_words * 0.5::DOUBLE AS kept FROM a
 """)
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A line is frequent in more than 5 documents of its host and more than 5 % of them or 20, so the limit does not grow with the host."""
     from .quality import judge
-    return judge(table(spark, sf, "documents"))[0].drop("host", "digest")
+    return judge(table(spark, sf, "documents"), min_docs=5, most_docs=20)[0].drop("host", "digest")
 
 
 @query()
