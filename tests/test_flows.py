@@ -166,6 +166,19 @@ def test_watch_retries_and_survives_exceptions(spark, tmp_path):
     assert "no connection" in spark.read.parquet(failed).where("batch = 0").first()["error"]
 
 
+def test_folders_are_released(spark):
+    from wavetable import session
+    held, session._folders[:] = list(session._folders), []
+    try:
+        folder = session.shared_folder(spark, "gone")
+        spark.range(3).write.parquet(f"{folder}/rows")
+        assert os.path.isdir(f"{folder}/rows")
+        session.release_folders()
+        assert not os.path.exists(folder) and session._folders == []
+    finally:
+        session._folders[:] = held
+
+
 def test_watch_isolates_an_item_that_always_raises(spark, tmp_path):
     src, done, failed, chk = (str(tmp_path / n) for n in ("in", "done", "failed", "chk"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 from .blocks import Key, keys
 
 
@@ -12,26 +12,35 @@ DIGITS = 4
 RANKED = 1 << 17
 
 
-def _digit(v: Column, level: int) -> Column:
+def with_digits(df: DataFrame, names: list[str], value: str = "_v") -> DataFrame:
     """Digits of a double in its order: sign, exponent and four bits first (at most 70 000 values), then 16 bits each.
 
-    Powers of two divide exactly, so four digits name a value. NaN is above all, as in sorting.
+    Powers of two divide exactly, so four digits name a value. NaN is above all, as in sorting. The steps are columns of their own, so
+    that each is worked out once.
     """
-    bounded = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (v != 0)
-    size = F.when(bounded, F.abs(v))
-    guess = F.floor(F.log2(size)).cast("int")
-    two = lambda e: F.pow(F.lit(2.0), e)
-    # the logarithm may be off by one next to a power of two; halves keep the powers within range
-    e = guess + F.when(size / 2 >= two(guess), 1).otherwise(0) - F.when(size < two(guess), 1).otherwise(0)
-    part = (size / two(F.greatest(e, F.lit(-1000))) / two(F.least(e, F.lit(-1000)) + 1000) - 1) * 16
-    if level == 0:
-        magnitude = (e + 1075) * 16 + F.floor(part).cast("int")
-        end = F.when(F.isnan(v), 60_001).when(v == float("inf"), 60_000).when(v == float("-inf"), -60_000).otherwise(0)
-        return F.when(bounded, F.when(v < 0, -magnitude).otherwise(magnitude)).otherwise(end)
-    for _ in range(level):
-        part = (part - F.floor(part)) * 65536
-    digit = F.floor(part).cast("int")
-    return F.when(bounded, F.when(v < 0, 65535 - digit).otherwise(digit)).otherwise(0)
+    v = F.col(value)
+    kept = df.columns
+    size = F.when(~F.isnan(v) & (F.abs(v) < float("inf")) & (v != 0), F.abs(v))
+    df = df.withColumn("_size", size)
+    tiny = F.col("_size") < 2.0 ** -900                   # lifted, so that all powers below are in range
+    df = df.withColumn("_lift", F.when(tiny, F.col("_size") * 2.0 ** 200).otherwise(F.col("_size")))
+    df = df.withColumn("_guess", F.floor(F.log2("_lift"))).withColumn("_power", F.pow(F.lit(2.0), F.col("_guess")))
+    # the logarithm may be off by one next to a power of two
+    off = F.when(F.col("_lift") / 2 >= F.col("_power"), 1).when(F.col("_lift") < F.col("_power"), -1).otherwise(0)
+    df = df.withColumn("_exp", F.col("_guess") + off)
+    df = df.withColumn("_part", (F.col("_lift") / F.pow(F.lit(2.0), F.col("_exp")) - 1) * 16)
+    for level, name in enumerate(names):
+        digit = F.floor("_part")
+        if level == 0:
+            whole = ((F.col("_exp") - F.when(tiny, 200).otherwise(0) + 1075) * 16 + digit).cast("int")
+            end = F.when(F.isnan(v), 60_001).when(v == float("inf"), 60_000).when(v == float("-inf"), -60_000).otherwise(0)
+            out = F.when(F.col("_size").isNull(), end).when(v < 0, -whole).otherwise(whole)
+        else:
+            out = F.when(F.col("_size").isNull(), 0).when(v < 0, 65535 - digit.cast("int")).otherwise(digit.cast("int"))
+        df = df.withColumn(name, out)
+        if level + 1 < len(names):
+            df = df.withColumn("_part", (F.col("_part") - digit) * 65536)
+    return df.select(*kept, *names)
 
 
 def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "series_id",
@@ -42,16 +51,19 @@ def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "ser
     Values are counted by the first digit of their bits, which combines map-side and leaves a bounded number of rows per series,
     whatever the range of the values. Only the one or two digits that hold the wanted ranks are looked into: if one of them
     holds more than ``ranked`` values that are not all equal, by the next digit, else by ranking its values. So no task ranks
-    more than that, however values crowd. ``length`` names an extra column with the number of frames, which the first count sees anyway.
+    more than that, however values crowd; a table of no more rows is ranked at once. ``length`` names an extra column with the number of frames, which the first count sees anyway.
     ``resolution`` is taken from earlier calls and has no effect.
     """
     by = keys(series)
     v = df.select(*by, value.cast("double").alias("_v"), *([F.col(order).alias("_i")] if length else [])).where(F.col("_v").isNotNull())
+    v = stored(v, "quantile")                             # one or two numbers a row; they are read twice or more
     picks, path = None, []
-    for level in range(DIGITS):
-        found = v if picks is None else _within(v, picks, by, path)
+    # a table that no task could rank too much of needs no digits
+    few = v.count() <= ranked
+    for level in range(0 if few else DIGITS):
         name = f"_d{level}"
-        bins = found.withColumn(name, _digit(F.col("_v"), level)).groupBy(*by, *path, name).agg(
+        found = v if picks is None else _within(v, picks, by, path, [*path, name])
+        bins = (with_digits(found, [name]) if not path else found).groupBy(*by, *path, name).agg(
             F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), *([F.max("_i").alias("_top")] if length and not path else []))
         whole = W.partitionBy(*by)
         if picks is None:
@@ -68,15 +80,23 @@ def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "ser
         now = bins.where(held).drop("_from")
         if done is not None:
             now = now.unionByName(done.withColumn(name, F.lit(0)))
-        picks = cut_lineage(now)
+        picks = stored(now, "quantile")
         if picks.where((F.col("_n") > ranked) & (F.col("_least") < F.col("_most"))).isEmpty():
             break
-    single = picks.where("_least = _most").select(*by, F.col("_least").alias("_v"), F.col("_start").alias("_first"), "_end", "_rank", *(["_top"] if length else []))
-    values = _within(v, picks, by, path).groupBy(*by, *path, "_v").agg(F.count("*").alias("_m"))
+    tops = ["_top"] if length else []
     inner = W.partitionBy(*by, *path).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    near = values.join(picks.select(*by, *path, "_start", "_rank", *(["_top"] if length else [])), [*by, *path])
+    if few:
+        near = v.groupBy(*by, "_v").agg(F.count("*").alias("_m"), *([F.max("_i").alias("_top")] if length else []))
+        near = near.withColumn("_rank", F.lit(q) * (F.sum("_m").over(W.partitionBy(*by)) - 1)).withColumn("_start", F.lit(0))
+        near = near.withColumn("_top", F.max("_top").over(W.partitionBy(*by)) + 1) if length else near
+    else:
+        open_ = picks.where("_least < _most").select(*by, *path, "_start", "_rank", *tops)
+        near = with_digits(v.select(*by, "_v"), path).join(open_, [*by, *path])
+        near = near.groupBy(*by, *path, "_start", "_rank", *tops, "_v").agg(F.count("*").alias("_m"))
     near = near.withColumn("_end", F.col("_start") + F.sum("_m").over(inner)).withColumn("_first", F.col("_end") - F.col("_m"))
-    near = near.select(*single.columns).unionByName(single)
+    near = near.select(*by, "_v", "_first", "_end", "_rank", *tops)
+    if not few:
+        near = near.unionByName(picks.where("_least = _most").select(*by, F.col("_least").alias("_v"), F.col("_start").alias("_first"), "_end", "_rank", *tops))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_end")), F.col("_v")))
@@ -88,9 +108,10 @@ def exact_quantile(df: DataFrame, value: Column, q: float, *, series: Key = "ser
                          *([length] if length else []))
 
 
-def _within(v: DataFrame, picks: DataFrame, by: list[str], path: list[str]) -> DataFrame:
-    """Values whose digits are picked and that are not all equal; a hot digit is split by the join, which needs no order."""
-    digits = v.select(*by, "_v", *[_digit(F.col("_v"), k).alias(name) for k, name in enumerate(path)])
+def _within(v: DataFrame, picks: DataFrame, by: list[str], path: list[str], names: list[str]) -> DataFrame:
+    """Values whose digits are picked and that are not all equal, with ``names`` of their digits; a hot digit is split by the join,
+    which needs no order."""
+    digits = with_digits(v.select(*by, "_v"), names)
     return digits.join(picks.where("_least < _most").select(*by, *path), [*by, *path], "left_semi")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
-from ..session import cut_lineage
+from ..session import stored
 from .blocks import BLK, BLOCK_FRAMES, Carry, Key, attach, block_of, block_window, halo_columns, keys, scan
 
 
@@ -82,8 +82,8 @@ def lowpass_whole(frames: DataFrame, fps: float, cutoff: float = 8.0, order: int
     def summary(v, _):
         return [len(v), kernels.filtered(b, a, v, zero)[1].tolist(), float(v[0])]
 
-    packs = cut_lineage(_pack(every.withColumn(BLK, block_of(i + pad, block)), by, "_x",
-                              [("_n", "bigint"), ("_s", "array<double>"), ("_edge", "double")], summary))
+    packs = stored(_pack(every.withColumn(BLK, block_of(i + pad, block)), by, "_x",
+                              [("_n", "bigint"), ("_s", "array<double>"), ("_edge", "double")], summary), "pass")
     states = _states(packs, by, b, a, backwards=False)
     schema = _fields(packs, [*by, BLK], ("_lo", "bigint"), ("_v", "array<double>"), ("_n", "bigint"), ("_s", "array<double>"), ("_edge", "double"))
 
@@ -92,7 +92,7 @@ def lowpass_whole(frames: DataFrame, fps: float, cutoff: float = 8.0, order: int
         return [rows["_lo"], [v.tolist() for v in y], rows["_n"], [kernels.filtered(b, a, v[::-1], zero)[1].tolist() for v in y],
                 [float(v[-1]) for v in y]]
 
-    packs = cut_lineage(_each(packs.join(states, [*by, BLK]), [*by, BLK], schema, forwards))
+    packs = stored(_each(packs.join(states, [*by, BLK]), [*by, BLK], schema, forwards), "pass")
     states = _states(packs, by, b, a, backwards=True)
     schema = _fields(packs, by, ("frame_idx", dict(frames.dtypes)["frame_idx"]), (out, "double"))
     arrow = to_arrow_schema(schema)
@@ -175,7 +175,7 @@ def troughs_whole(frames: DataFrame, fps: float, prominence: float = 0.035, min_
     by = keys(series)
     v = -F.col(x).cast("float").cast("double")
     rows = frames.select(*by, "frame_idx", F.col(x).alias("_given"), v.alias("_v"))
-    peaks = cut_lineage(_peaks(rows, by, series, block))
+    peaks = stored(_peaks(rows, by, series, block), "pass")
     distance = max(1, kernels.half_even(min_distance * fps))
     if distance > 1:
         peaks = _spaced(peaks, by, distance, block)
@@ -225,7 +225,7 @@ def _spaced(peaks: DataFrame, by: list[str], distance: int, block: int) -> DataF
     last = F.floor((F.col("frame_idx") + halo) / block).cast("bigint")
     while True:
         near = peaks.withColumn(BLK, F.explode(F.sequence(first, last)))
-        out = cut_lineage(near.groupBy(*by, BLK).applyInArrow(run, schema))
+        out = stored(near.groupBy(*by, BLK).applyInArrow(run, schema), "pass")
         peaks = out.drop("_open")
         if out.where("_open").isEmpty():
             return peaks
@@ -237,8 +237,8 @@ def _deep(rows: DataFrame, peaks: DataFrame, by: list[str], least: float, block:
     Most are decided within their block. A side that reaches the border first is looked up by height: the summaries of the other
     blocks name the first block with a higher sample and the lowest point on the way, and that block says how low it gets there.
     """
-    packs = cut_lineage(_pack(rows.withColumn(BLK, block_of("frame_idx", block)), by, "_v", [("_max", "double"), ("_min", "double")],
-                              lambda v, _: [float(v.max()), float(v.min())]))
+    packs = stored(_pack(rows.withColumn(BLK, block_of("frame_idx", block)), by, "_v", [("_max", "double"), ("_min", "double")],
+                              lambda v, _: [float(v.max()), float(v.min())]), "pass")
     marked = peaks.withColumn(BLK, block_of("frame_idx", block))
     here = [*by, BLK]
     names = [c for c in peaks.columns if c not in by]
@@ -255,7 +255,7 @@ def _deep(rows: DataFrame, peaks: DataFrame, by: list[str], least: float, block:
         return pa.Table.from_arrays([*[t[c].combine_chunks() for c in (*here, *names)], pa.array(left, pa.bool_()), pa.array(right, pa.bool_())], schema=arrow)
 
     both = lambda a, b, fn, kind: a.groupBy(*here).cogroup(b.groupBy(*here)).applyInArrow(fn, kind)
-    judged = cut_lineage(both(packs.select(*here, "_lo", "_v"), marked.select(*here, *names), inside, schema))
+    judged = stored(both(packs.select(*here, "_lo", "_v"), marked.select(*here, *names), inside, schema), "pass")
     sides = [judged.where(f"{c} is null").select(*here, F.lit(s).alias("_side"), F.col("_v").alias("_h")) for c, s in (("_l", 0), ("_r", 1))]
     asked = sides[0].unionByName(sides[1]).distinct()
     # where to look: the summaries of a series beside its questions
@@ -278,7 +278,7 @@ def _deep(rows: DataFrame, peaks: DataFrame, by: list[str], least: float, block:
 
     by_salt = [*by, "_salt"]
     found_rows = summary.groupBy(*by_salt).cogroup(asked.groupBy(*by_salt)).applyInArrow(search, found)
-    found_rows = cut_lineage(found_rows)
+    found_rows = stored(found_rows, "pass")
     # how low it gets in the block that holds the higher sample
     last = found_rows.where("_deep is null").select(*by, F.col(BLK).alias("_of"), F.col("_at").alias(BLK), "_side", "_h")
     answer = _fields(last, [*by, "_of", "_side", "_h"], ("_deep", "boolean"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
-from ..session import cut_lineage
+from ..session import stored
 from .blocks import (BLK, BLOCK_FRAMES, BLOCK_MS, OWN, Carry, Key, block_window, dense_index, explode_range,
                      halo_columns, keys, range_join, scan, with_halo)
 
@@ -311,15 +311,15 @@ def simplify(frames: DataFrame, fps: Column, tolerance: float = 2.0, *, series:
     """
     by = keys(series)
     base = frames.select(*by, "frame_idx", (F.col("pos").cast("double") * F.lit(100.0)).alias("_x"))
-    packs = cut_lineage(_monotone_packs(with_halo(base, 1, 1, block=block), by, tolerance))
+    packs = stored(_monotone_packs(with_halo(base, 1, 1, block=block), by, tolerance), "simplify")
     summary = packs.select(*by, BLK, "_turn", "_out", "_below", "_above")
     known = None
     while True:
-        entering = cut_lineage(_entering(summary, known, by))
+        entering = stored(_entering(summary, known, by), "simplify")
         asked = entering.where("_ask")
         if asked.isEmpty():
             break
-        solved = cut_lineage(_left_behind(packs.where("not _turn").join(asked.select(*by, BLK, "_in"), [*by, BLK]), by, tolerance))
+        solved = stored(_left_behind(packs.where("not _turn").join(asked.select(*by, BLK, "_in"), [*by, BLK]), by, tolerance), "simplify")
         known = solved if known is None else known.unionByName(solved)
     out = _kept_points(packs.join(entering.select(*by, BLK, "_in"), [*by, BLK]), by, frames.schema["frame_idx"].dataType, tolerance)
     at = F.rint(F.col("frame_idx") * F.lit(1000.0) / fps).cast("bigint")

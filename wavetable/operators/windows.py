@@ -291,7 +291,8 @@ def choose_segments_by_bin(videos: DataFrame, analysis: DataFrame, bins: DataFra
                            duration=duration)
     cand = cand.join(videos.select(scene, duration), scene).where(
         F.col("start_time_sec") + F.lit(float(segment_sec)) <= F.col(duration))
-    cand = cand.withColumn("_h", seeded_hash(seed, scene, "start_time_sec"))
+    # milliseconds, since engines print large fractions differently
+    cand = cand.withColumn("_h", seeded_hash(seed, scene, F.rint(F.col("start_time_sec") * 1000).cast("bigint")))
     cand, picks = cut_lineage(cand), []
     for _ in range(count):
         best = cut_lineage(cand.groupBy(scene).agg(F.min_by(F.struct(duration, "start_time_sec"), F.struct("_h", "start_time_sec")).alias("_b")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import augment as A, blocks as B, features as H, keyed as K, metrics as M, waves as V, windows as G
 from .roles import actions, cte, drawn, frames, normal, pairs, query, r6, rounded, segments, table, unit
 from .catalog_queries import analysis
+from .series_queries import METRICS_OF
 
 SEQ, STRIDE = 12, 5
 
@@ -141,12 +142,23 @@ def _(spark, sf):
     return G.unknown_windows(G.window_index(l, SEQ, STRIDE), l.select("series_id", F.lit(50).alias("start")))
 
 
-@query("benchmark_suite")
+SUITE = f"""WITH w AS (SELECT series_id AS s, k * 30 AS start FROM (SELECT series_id, unnest(range((n - 30) // 30 + 1)) AS k FROM lengths WHERE n >= 30)
+        QUALIFY row_number() OVER (ORDER BY {drawn(42, 'series_id', 'k * 30')}, series_id, k) <= 40),
+    cut AS (SELECT s, start, frame_idx - start AS frame_idx, pos AS target FROM w JOIN frames f ON f.series_id = w.s AND frame_idx >= start AND frame_idx < start + 30),
+    scored AS (SELECT label || '/' || s || '/' || start AS series_id, frame_idx, target * a + b AS pred, target FROM cut, (VALUES ('identity', 1.0::DOUBLE, 0.0::DOUBLE), ('damped', 0.8, 0.1)) m(label, a, b)),
+    m AS ({METRICS_OF.format(source='scored')}),
+    p AS (SELECT series_id, avg(pred) AS pred_mean, stddev_pop(pred) AS pred_std FROM scored GROUP BY series_id),
+    l AS (UNPIVOT (SELECT split_part(series_id, '/', 1) AS label, {', '.join(f'{n}::DOUBLE AS {n}' for n in M.BENCHMARK_METRICS)} FROM m JOIN p USING (series_id))
+        ON {', '.join(M.BENCHMARK_METRICS)} INTO NAME metric VALUE value)
+    SELECT label, metric, count(value) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std FROM l GROUP BY label, metric"""
+
+
+@query("benchmark_suite", "lengths", SUITE)
 def _(spark, sf):
     """The same sampled windows for two models: score, metrics per window, summary per model."""
     from .flows import benchmark_suite
     models = {"identity": G.LinearScorer((1.0,)), "damped": G.LinearScorer((0.8,), 0.1)}
-    return rounded(benchmark_suite(frames(spark, sf), models, seq=30, stride=30, count=40, seed=42), "mean", "std")
+    return rounded(benchmark_suite(frames(spark, sf), models, seq=30, stride=30, count=40, seed=42), "mean", "std", digits=9)
 
 
 @query("choose_segments", "", f"""WITH v AS (SELECT o_orderkey AS scene_id, o_totalprice / 1000.0::DOUBLE AS duration FROM orders),
@@ -160,12 +172,28 @@ def _(spark, sf):
     return rounded(G.choose_segments(v, 40.0, 3), "segment_start_sec")
 
 
-@query("choose_segments_by_bin")
+BY_BIN = f"""WITH RECURSIVE target AS (SELECT bin_id FROM analysis WHERE bin_id <> 0 GROUP BY bin_id ORDER BY count(*), bin_id LIMIT 3),
+    v AS (SELECT scene_id, max(start_time_sec)::DOUBLE AS duration FROM analysis GROUP BY scene_id),
+    cand AS (SELECT DISTINCT scene_id, start_time_sec::DOUBLE AS t FROM analysis JOIN target USING (bin_id)),
+    fit AS (SELECT scene_id, duration, t, row_number() OVER (PARTITION BY scene_id ORDER BY {drawn(42, 'scene_id', 'CAST(round(t * 1000) AS BIGINT)')}, t) AS rank
+        FROM cand JOIN v USING (scene_id) WHERE t + 86400 <= duration),
+    taken AS (SELECT scene_id, duration, rank, [t] AS kept FROM fit WHERE rank = 1 UNION ALL SELECT f.scene_id, f.duration, f.rank,
+        CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: abs(k - f.t) < 86400)) = 0 THEN list_append(kept, f.t) ELSE kept END
+        FROM taken t JOIN fit f ON f.scene_id = t.scene_id AND f.rank = t.rank + 1),
+    free AS (SELECT *, least(3, floor(duration / 86400.0::DOUBLE))::INTEGER AS fits FROM v WHERE scene_id NOT IN (SELECT scene_id FROM cand)),
+    k AS (SELECT *, unnest(range(1, fits + 1))::INTEGER AS k FROM free WHERE duration > 86400),
+    d AS (SELECT *, {unit(42, 'scene_id', 'k')} * (duration - fits * 86400.0::DOUBLE) AS cut FROM k)
+    SELECT scene_id, duration, unnest(arg_max(kept, rank)) AS segment_start_sec FROM taken GROUP BY scene_id, duration
+    UNION ALL SELECT scene_id, duration, round(cut + 86400.0::DOUBLE * (row_number() OVER (PARTITION BY scene_id ORDER BY cut) - 1), 6) FROM d
+    UNION ALL SELECT scene_id, duration, 0.0::DOUBLE FROM free WHERE duration <= 86400 AND duration >= 43200"""
+
+
+@query("choose_segments_by_bin", "analysis", BY_BIN)
 def _(spark, sf):
     a = analysis(spark, sf)
     bins = a.groupBy("bin_id").agg(F.count("*").alias("count"))
     v = a.groupBy("scene_id").agg(F.max("start_time_sec").alias("duration"))
-    return G.choose_segments_by_bin(v, a, bins, 86_400.0, 3, [0])
+    return rounded(G.choose_segments_by_bin(v, a, bins, 86_400.0, 3, [0]), "segment_start_sec")
 
 
 @query("update_bins", "analysis", """SELECT bin_id, count(*) + count(*) FILTER (WHERE scene_id % 2 = 0) AS count FROM analysis GROUP BY bin_id""")

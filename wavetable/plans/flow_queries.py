@@ -12,8 +12,8 @@ from ..streaming import live as L
 from . import flows as P
 from .catalog_queries import decisions, files, review_state, scenes
 from .feature_queries import BLENDED, poses, two_channels, window_model
-from .roles import actions, cte, frames, pairs, query, r6, rounded, table
-from .series_queries import WAVE, DAY
+from .roles import actions, cte, drawn, frames, pairs, query, r6, rounded, table
+from .series_queries import DAY, WAVE, clean
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -184,15 +184,31 @@ def _(spark, sf):
         F.count("*").alias("frames"), r6(F.avg("pos")).alias("mean"))
 
 
-@query("predict_and_clean")
+@query("predict_and_clean", "frames", f"""WITH RECURSIVE predicted AS (SELECT series_id, frame_idx, 2.0::DOUBLE * pos AS pos FROM frames), {clean('predicted')}
+    SELECT series_id, CAST(frame_idx AS INTEGER) AS ord, CAST(round_even((frame_idx / 15.0::DOUBLE) * 1000.0::DOUBLE, 0) AS BIGINT) AS at_ms,
+        CAST(greatest(0, least(100, round_even(pos * 100.0::DOUBLE, 0))) AS INTEGER) AS pos FROM blended""")
 def _(spark, sf):
     return P.predict_and_clean(frames(spark, sf), two_channels, 15.0, seq=30, stride=15, config=WAVE)
 
 
-@query("evaluate_and_split")
+SPLIT = f"""WITH s AS (SELECT series_id, count(*) AS frames, stddev_pop(target) AS label_std FROM pairs GROUP BY series_id),
+    t AS (SELECT s.*, CASE WHEN r.series_id IS NULL THEN 'pending' WHEN s.series_id % 3 = 0 THEN 'approved' ELSE coalesce(r.status, 'pending') END AS status
+        FROM s LEFT JOIN review_state r USING (series_id)),
+    q AS (SELECT *, CASE WHEN status = 'rejected' THEN 'scene is rejected' WHEN status <> 'approved' THEN 'scene is not approved'
+        WHEN label_std < 0.02 THEN 'label_std=' || printf('%.4f', label_std) || ' < 0.02' WHEN frames < 55 THEN 'frames=' || frames || ' < 55' END AS reason FROM t),
+    k AS (SELECT series_id, series_id IN (SELECT item_id FROM benchmark) AS wanted FROM q WHERE reason IS NULL),
+    d AS (SELECT series_id, CASE WHEN row_number() OVER (ORDER BY NOT wanted, {drawn(42, 'series_id')}, series_id)
+        <= greatest(1, ceil(count(*) OVER () * 0.1::DOUBLE), count(*) FILTER (WHERE wanted) OVER ()) THEN 'val' ELSE 'train' END AS split FROM k)
+    SELECT series_id, frames, round(label_std, 6) AS label_std, status, reason, split, round(pos_mse, 10) AS mse, round(event_mse, 10) AS event_mse,
+        round(active_mse, 10) AS active_mse, round(vel_mae, 10) AS vel_mae, round(acc_mae, 10) AS acc_mae, round(spec_mse, 10) AS spec_mse
+    FROM q LEFT JOIN d USING (series_id) LEFT JOIN metrics USING (series_id)"""
+
+
+@query("evaluate_and_split", "review_state metrics", SPLIT)
 def _(spark, sf):
     p = pairs(spark, sf)
     side = lambda c: p.select("series_id", "frame_idx", F.col(c).alias("pos"))
     r = review_state(spark, sf).withColumn("status", F.when(F.col("series_id") % 3 == 0, "approved").otherwise(F.col("status")))
     want = table(spark, sf, "benchmark").select(F.col("item_id").alias("series_id"))
-    return P.evaluate_and_split(side("target"), side("pred"), r.withColumn("stage2_status", F.lit("approved")), want, min_frames=55)
+    out = P.evaluate_and_split(side("target"), side("pred"), r.withColumn("stage2_status", F.lit("approved")), want, min_frames=55)
+    return rounded(rounded(out, "label_std"), *M.SCENE_METRICS, digits=10)

@@ -445,13 +445,54 @@ def _(spark, sf):
     return rounded(V.lowpass(chunked(spark, sf), 15.0, 4.0).select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "low"), "low")
 
 
-@query("normalize_cycles")
+CYCLE_BOUNDS = """bounds AS (SELECT series_id, chunk, lag(i) OVER (PARTITION BY series_id, chunk ORDER BY i) AS a, i AS b FROM found),
+    ranged AS (SELECT u.series_id, u.chunk, u.a, u.b FROM bounds u JOIN low l ON l.series_id = u.series_id AND l.chunk = u.chunk AND l.i BETWEEN u.a AND u.b
+        WHERE u.b - u.a BETWEEN 2 AND 30 GROUP BY ALL HAVING CAST(max(l.v) AS FLOAT) - CAST(min(l.v) AS FLOAT) >= 0.3::FLOAT),
+    inside AS (SELECT r.series_id, r.chunk, r.a, r.b, min(CAST(g.v AS FLOAT)) AS least, max(CAST(g.v AS FLOAT)) AS most FROM ranged r JOIN given g ON g.series_id = r.series_id
+        AND g.chunk = r.chunk AND g.i BETWEEN r.a + 1 AND r.b GROUP BY ALL),
+    cycles AS (SELECT s.*, CAST(g.v AS FLOAT) AS own, row_number() OVER (PARTITION BY s.series_id, s.chunk ORDER BY s.a) AS k FROM inside s JOIN given g
+        ON g.series_id = s.series_id AND g.chunk = s.chunk AND g.i = s.a),
+    told AS (SELECT series_id, chunk, a, b, k, own AS border, least(own, least) AS shift, greatest(own, most) - least(own, least) AS spread FROM cycles WHERE k = 1
+        UNION ALL SELECT series_id, chunk, a, b, k, border, least(border, least), greatest(border, most) - least(border, least) FROM (
+            SELECT c.*, CASE WHEN c.a = t.b AND t.spread > 1e-6 THEN CAST((c.own - t.shift) / t.spread AS FLOAT) ELSE c.own END AS border
+            FROM told t JOIN cycles c ON c.series_id = t.series_id AND c.chunk = t.chunk AND c.k = t.k + 1)),
+    good AS (SELECT * FROM told WHERE spread > 1e-6),
+    moved AS (SELECT g.series_id, g.chunk, g.i, CAST((CAST(g.v AS FLOAT) - t.shift) / t.spread AS FLOAT) AS v FROM given g JOIN good t ON t.series_id = g.series_id AND t.chunk = g.chunk AND g.i > t.a AND g.i <= t.b),
+    first AS (SELECT series_id, chunk, a AS i, CAST((border - shift) / spread AS FLOAT) AS v FROM good),
+    waved AS (SELECT g.series_id, g.chunk, g.i, coalesce(s.v, m.v, CAST(g.v AS FLOAT)) AS v, s.v IS NOT NULL OR m.v IS NOT NULL AS inside
+        FROM given g LEFT JOIN moved m USING (series_id, chunk, i) LEFT JOIN first s USING (series_id, chunk, i))"""
+CYCLES = f"WITH RECURSIVE {CHUNKS}, {filtered('given', 'series_id, chunk', 15.0, 4.0)}, {spaced_troughs('series_id, chunk', 2, 0.035)}, {CYCLE_BOUNDS}"
+
+
+@query("normalize_cycles", "long_frames", f"""{CYCLES}
+    SELECT g.series_id, g.chunk::BIGINT AS chunk, CAST(g.chunk * 900 + g.i AS INTEGER) AS frame_idx, round(l.v, 6) AS low, f.i IS NOT NULL AS trough,
+        round(CAST(g.v AS DOUBLE), 6) AS pos, g.inside AS in_cycle
+    FROM waved g JOIN low l USING (series_id, chunk, i) LEFT JOIN found f USING (series_id, chunk, i)""")
 def _(spark, sf):
     marked = V.troughs(V.lowpass(chunked(spark, sf), 15.0, 4.0), 15.0, x="low")
     return rounded(V.normalize_cycles(marked, 15.0, reference="low"), "pos", "low")
 
 
-@query("smooth_savgol")
+def savgol_weights():
+    """Rows (window, target place, sample place, weight) of a parabola fitted to windows of 5, 7 and 9 samples."""
+    import numpy as np
+    out = []
+    for w in (5, 7, 9):
+        basis = np.vander(np.arange(w) - w // 2, 3, increasing=True)
+        fit = basis @ np.linalg.pinv(basis)
+        out += [f"({w}, {t}, {k}, {float(fit[t, k])!r}::DOUBLE)" for t in range(w) for k in range(w)]
+    return ", ".join(out)
+
+
+@query("smooth_savgol", "long_frames", f"""WITH x AS (SELECT series_id, frame_idx // 900 AS chunk, frame_idx, frame_idx % 900 AS i, pos::DOUBLE AS pos, CAST(CAST(pos AS FLOAT) AS DOUBLE) AS v,
+        count(*) OVER (PARTITION BY series_id, frame_idx // 900) AS n FROM long_frames),
+    y AS (SELECT *, CASE WHEN n >= 9 THEN 9 WHEN n >= 7 THEN 7 WHEN n >= 5 THEN 5 ELSE 0 END AS w FROM x),
+    z AS (SELECT *, CASE WHEN i < w // 2 THEN i WHEN i >= n - w // 2 THEN i - (n - w) ELSE w // 2 END AS t FROM y),
+    c(w, t, k, weight) AS (VALUES {savgol_weights()}),
+    f AS (SELECT z.series_id, z.frame_idx, sum(c.weight * o.v) AS smooth FROM z JOIN c ON c.w = z.w AND c.t = z.t
+        JOIN x o ON o.series_id = z.series_id AND o.chunk = z.chunk AND o.i = z.i - z.t + c.k GROUP BY z.series_id, z.frame_idx)
+    SELECT z.series_id, z.chunk::BIGINT AS chunk, z.frame_idx, z.pos, round(CAST(CAST(coalesce(f.smooth, z.v) AS FLOAT) AS DOUBLE), 6) AS smooth
+    FROM z LEFT JOIN f USING (series_id, frame_idx)""")
 def _(spark, sf):
     return rounded(V.smooth(chunked(spark, sf), 15.0, "savgol"), "smooth")
 
@@ -459,22 +500,80 @@ def _(spark, sf):
 WAVE = V.WaveConfig(chunk_seconds=20.0, chunk_overlap_seconds=2.0, lowpass_cutoff_hz=4.0)
 
 
-@query("postprocess")
+def clean(source: str, cutoff: float = 4.0, linear: bool = False) -> str:
+    """The clean-up of ``source`` in chunks of 300 frames that overlap by 30, rule by rule: ``cleaned`` (series_id, chunk, i, v), ``blended``."""
+    low = filtered("given", "series_id, chunk", 15.0, cutoff) if cutoff else (
+        "low AS (SELECT series_id, chunk, i::INTEGER AS i, v, count(*) OVER (PARTITION BY series_id, chunk) AS n FROM given)")
+    stretched = "(w.v::DOUBLE - floor_) / greatest(height, 1e-6)" if linear else (
+        "0.5::DOUBLE + 0.5::DOUBLE * tanh(4.0::DOUBLE * (w.v::DOUBLE - mean) / CASE WHEN dev <= 1e-6 THEN greatest(height / 6.0::DOUBLE, 1e-6) ELSE dev END)")
+    return f"""total AS (SELECT series_id, max(frame_idx) + 1 AS total FROM {source} GROUP BY 1),
+    chunks AS (SELECT series_id, total, unnest(range(0, greatest((total - 300 + 269) // 270, 0) + 1)) AS chunk FROM total),
+    given AS (SELECT c.series_id, chunk, frame_idx - chunk * 270 AS i, CAST(CAST(pos AS FLOAT) AS DOUBLE) AS v FROM chunks c JOIN {source} f
+        ON f.series_id = c.series_id AND frame_idx >= chunk * 270 AND frame_idx < chunk * 270 + 300),
+    {low}, {spaced_troughs('series_id, chunk', 2, 0.035)}, {CYCLE_BOUNDS},
+    wide AS (SELECT *, CASE WHEN n >= 7 THEN 7 WHEN n >= 5 THEN 5 ELSE 0 END AS w FROM low),
+    placed AS (SELECT *, CASE WHEN i < w // 2 THEN i WHEN i >= n - w // 2 THEN i - (n - w) ELSE w // 2 END AS t FROM wide),
+    fits(w, t, k, weight) AS (VALUES {savgol_weights()}),
+    fitted AS (SELECT p.series_id, p.chunk, p.i, sum(f.weight * o.v) AS v FROM placed p JOIN fits f ON f.w = p.w AND f.t = p.t
+        JOIN low o ON o.series_id = p.series_id AND o.chunk = p.chunk AND o.i = p.i - p.t + f.k GROUP BY ALL),
+    base AS (SELECT l.series_id, l.chunk, l.i, l.n, CAST(coalesce(f.v, l.v) AS FLOAT) AS v FROM low l LEFT JOIN fitted f USING (series_id, chunk, i)),
+    slopes AS (SELECT *, CASE WHEN n < 3 THEN 0::FLOAT WHEN i = 0 THEN lead(v) OVER o - v WHEN i = n - 1 THEN v - lag(v) OVER o
+        ELSE CAST((lead(v) OVER o - lag(v) OVER o) / 2::FLOAT AS FLOAT) END AS g FROM base WINDOW o AS (PARTITION BY series_id, chunk ORDER BY i)),
+    sized AS (SELECT s.*, abs(g) AS size, inside FROM slopes s JOIN waved w USING (series_id, chunk, i)),
+    limits AS (SELECT series_id, chunk, greatest(0.00075::DOUBLE, quantile_cont(size::DOUBLE, 0.25)) AS lo, quantile_cont(size::DOUBLE, 0.9) AS hi
+        FROM sized WHERE NOT inside AND size > 0 GROUP BY 1, 2),
+    marked AS (SELECT s.*, lo, greatest(lo, hi) AS hi, size >= CAST(lo AS FLOAT) AS strong, size >= CAST(lo AS FLOAT) AND size <= CAST(greatest(lo, hi) AS FLOAT) AND NOT inside AS slow
+        FROM sized s JOIN limits USING (series_id, chunk)),
+    runs AS (SELECT series_id, chunk, i, sum(new) OVER (PARTITION BY series_id, chunk ORDER BY i) AS run FROM (
+        SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY series_id, chunk ORDER BY i) <= 3 THEN 0 ELSE 1 END AS new FROM marked WHERE slow)),
+    spans AS (SELECT series_id, chunk, min(i) AS a, max(i) + 1 AS b FROM runs GROUP BY series_id, chunk, run),
+    steady AS (SELECT p.series_id, p.chunk, a, b FROM spans p JOIN marked m ON m.series_id = p.series_id AND m.chunk = p.chunk AND m.i >= a AND m.i < b
+        GROUP BY ALL HAVING b - a >= 9 AND count(*) FILTER (WHERE strong) > 0
+        AND abs(sum(CASE WHEN strong THEN sign(g) ELSE 0 END)) / greatest(count(*) FILTER (WHERE strong), 1)::DOUBLE >= 0.65 AND max(m.v)::DOUBLE - min(m.v)::DOUBLE >= 0.08),
+    changed AS (SELECT s.series_id, s.chunk, a, b, avg(w.v::DOUBLE) AS mean, stddev_pop(w.v::DOUBLE) AS dev, min(w.v)::DOUBLE AS floor_, max(w.v)::DOUBLE - min(w.v)::DOUBLE AS height FROM steady s
+        JOIN waved w ON w.series_id = s.series_id AND w.chunk = s.chunk AND w.i >= a AND w.i < b GROUP BY ALL HAVING max(w.v)::DOUBLE - min(w.v)::DOUBLE >= 0.08),
+    cleaned AS (SELECT w.series_id, w.chunk, w.i, CASE WHEN c.a IS NULL THEN w.v ELSE CAST({stretched} AS FLOAT) END AS v FROM waved w
+        LEFT JOIN changed c ON c.series_id = w.series_id AND c.chunk = w.chunk AND w.i >= c.a AND w.i < c.b),
+    tapered AS (SELECT c.series_id, chunk * 270 + i AS frame_idx, greatest(0.0::DOUBLE, least(1.0::DOUBLE, v::DOUBLE)) AS v,
+        CASE WHEN chunk > 0 AND i < 30 THEN (i + 1) / 31.0::DOUBLE ELSE 1.0::DOUBLE END
+        * CASE WHEN chunk * 270 + 300 < total AND 300 - i <= 30 THEN (300 - i) / 31.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM cleaned c JOIN total USING (series_id)),
+    blended AS (SELECT series_id, frame_idx, sum(v * w) / sum(w) AS pos FROM tapered GROUP BY series_id, frame_idx)"""
+
+
+CLEAN = "WITH RECURSIVE " + clean("long_frames")
+
+
+@query("postprocess", "long_frames", f"{CLEAN} SELECT series_id, CAST(frame_idx AS INTEGER) AS frame_idx, round(pos, 6) AS pos FROM blended")
 def _(spark, sf):
     return rounded(V.postprocess(long_frames(spark, sf), 15.0, WAVE), "pos")
 
 
-@query("postprocess_stats")
+@query("postprocess_stats", "long_frames", f"""{CLEAN},
+    each AS (SELECT c.series_id, c.chunk, least(c.chunk * 270 + 300, total) AS over,
+        (SELECT count(*) FROM found x WHERE x.series_id = c.series_id AND x.chunk = c.chunk) AS troughs,
+        (SELECT count(*) FROM good x WHERE x.series_id = c.series_id AND x.chunk = c.chunk) AS cycles,
+        (SELECT count(*) FROM changed x WHERE x.series_id = c.series_id AND x.chunk = c.chunk) AS segments,
+        (SELECT count(*) FROM waved x WHERE x.series_id = c.series_id AND x.chunk = c.chunk AND inside) AS in_cycle,
+        (SELECT coalesce(sum(b - a), 0) FROM steady x WHERE x.series_id = c.series_id AND x.chunk = c.chunk) AS in_slope,
+        (SELECT count(*) FROM cleaned x WHERE x.series_id = c.series_id AND x.chunk = c.chunk AND (v < 0 OR v > 1)) AS clipped,
+        coalesce((SELECT lo FROM limits x WHERE x.series_id = c.series_id AND x.chunk = c.chunk), 0) AS lo,
+        coalesce((SELECT greatest(lo, hi) FROM limits x WHERE x.series_id = c.series_id AND x.chunk = c.chunk), 0) AS hi FROM chunks c)
+    SELECT series_id, max(over)::BIGINT AS num_samples, count(*) AS num_chunks, sum(troughs)::BIGINT AS num_troughs, sum(cycles)::BIGINT AS num_normalized_cycles,
+        sum(segments)::BIGINT AS num_gradient_segments, sum(in_cycle)::BIGINT AS num_cycle_samples, sum(in_slope)::BIGINT AS num_gradient_samples,
+        sum(clipped)::BIGINT AS num_clipped_samples, round(max(lo), 6) AS gradient_low_threshold, round(max(hi), 6) AS gradient_high_threshold FROM each GROUP BY series_id""")
 def _(spark, sf):
-    return V.postprocess_stats(long_frames(spark, sf), 15.0, WAVE)
+    return rounded(V.postprocess_stats(long_frames(spark, sf), 15.0, WAVE), "gradient_low_threshold", "gradient_high_threshold")
 
 
-@query("postprocess_segments")
+@query("postprocess_segments", "long_frames", f"""{CLEAN}
+    SELECT series_id, chunk::BIGINT AS chunk, 'cycle' AS kind, (chunk * 270 + a)::BIGINT AS start, (chunk * 270 + b + 1)::BIGINT AS "end" FROM good
+    UNION ALL SELECT series_id, chunk::BIGINT, 'gradient', (chunk * 270 + a)::BIGINT, (chunk * 270 + b)::BIGINT FROM changed""")
 def _(spark, sf):
     return V.postprocess_segments(long_frames(spark, sf), 15.0, WAVE)
 
 
-@query("postprocess_sweep")
+@query("postprocess_sweep", "long_frames", " UNION ALL ".join(f"""SELECT {k} AS config_id, * FROM (WITH RECURSIVE {clean('long_frames', *settings)}
+    SELECT series_id, count(*) AS frames, round(avg(pos), 6) AS mean FROM blended GROUP BY series_id)""" for k, settings in enumerate([(4.0,), (4.0, True), (0.0,)])))
 def _(spark, sf):
     import dataclasses as D
     configs = [WAVE, D.replace(WAVE, stretch_mode="linear"), D.replace(WAVE, lowpass_cutoff_hz=0.0)]
@@ -516,10 +615,11 @@ def _(spark, sf):
                                       r6(M.masked_mean(F.col("pos"), F.col("active")), 10).alias("active_mean"))
 
 
-cte("metrics", """WITH b AS (SELECT *, pred - target AS e, lag(target) OVER w AS t1, lag(target, 2) OVER w AS t2, lag(pred) OVER w AS p1, lag(pred, 2) OVER w AS p2,
+#: The eleven error metrics per series_id of ``source`` (series_id, frame_idx, pred, target).
+METRICS_OF = """WITH b AS (SELECT *, pred - target AS e, lag(target) OVER w AS t1, lag(target, 2) OVER w AS t2, lag(pred) OVER w AS p1, lag(pred, 2) OVER w AS p2,
     row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n,
     sum(target) OVER k AS ts, sum(pred) OVER k AS ps, first_value(target) OVER u AS tf, last_value(target) OVER u AS tl, first_value(pred) OVER u AS pf, last_value(pred) OVER u AS pl
-    FROM pairs WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx), k AS (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING),
+    FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx), k AS (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING),
     u AS (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 c AS (SELECT *, coalesce(target-t1, 0) AS td1, coalesce(target-2*t1+t2, 0) AS td2, coalesce(pred-p1, 0) AS pd1, coalesce(pred-2*p1+p2, 0) AS pd2,
     (pred - (ps + greatest(0, 7-i)*pf + greatest(0, 7-(n-1-i))*pl)/15) - (target - (ts + greatest(0, 7-i)*tf + greatest(0, 7-(n-1-i))*tl)/15) AS hf FROM b),
@@ -529,7 +629,8 @@ SELECT d.series_id, avg(e*e) AS pos_mse, avg(abs(e)) AS pos_mae, avg(e*e*(1+act)
     sum(CASE WHEN act >= cut THEN e*e ELSE 0 END)/greatest(count(*) FILTER (WHERE act >= cut), 1) AS active_mse,
     sum(CASE WHEN act >= cut THEN abs(e) ELSE 0 END)/greatest(count(*) FILTER (WHERE act >= cut), 1) AS active_mae,
     avg((pd1-td1)*(pd1-td1)) AS vel_mse, avg(abs(pd1-td1)) AS vel_mae, avg((pd2-td2)*(pd2-td2)) AS acc_mse, avg(abs(pd2-td2)) AS acc_mae,
-    avg(hf*hf) AS spec_mse, avg(act) AS activity_mean FROM d JOIN q USING (series_id) GROUP BY d.series_id""", "pairs")
+    avg(hf*hf) AS spec_mse, avg(act) AS activity_mean FROM d JOIN q USING (series_id) GROUP BY d.series_id"""
+cte("metrics", METRICS_OF.format(source="pairs"), "pairs")
 METRICS_SQL = ", ".join(f"round({m}, 10) AS {m}" for m in M.REGRESSION_METRICS)
 
 

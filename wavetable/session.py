@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +56,44 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor sees: below ``spark.checkpoint.dir``, or temporary where that is unset."""
-    import uuid
+    """A fresh folder every executor sees: below ``spark.checkpoint.dir``, or temporary where that is unset.
+
+    What lies in it lasts as long as the application; ``release_folders`` deletes it before.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         _only_local(spark)
-        return tempfile.mkdtemp(prefix=f"wavetable-{name}-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = tempfile.mkdtemp(prefix=f"wavetable-{name}-")
+    else:
+        folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(release_folders)
+    _folders.append((folder, spark._jvm, spark._jsc.hadoopConfiguration()))
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, so that each later use reads the columns it needs.
+
+    Cuts the lineage as ``cut_lineage`` does, but works the rows out once and keeps them in columns.
+    """
+    folder = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+_folders: list[tuple] = []
+
+
+def release_folders() -> None:
+    """Delete the folders that ``shared_folder`` gave out; results that still read them must have been written elsewhere."""
+    while _folders:
+        folder, jvm, settings = _folders.pop()
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(settings).delete(path, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone at the end of the process
+            return
 
 
 def _only_local(spark: SparkSession) -> None:
