@@ -101,6 +101,43 @@ def test_ledger_is_additive_and_idempotent(spark, tmp_path):
             token_ledger.commit(load, ledger, name)
 
 
+def test_token_counts_against_the_tokenizers(spark, frame, odd_rows):
+    import base64
+
+    import tiktoken
+    paths = {k: public_tokenizers.path(f"byte_bpe_{n}.tiktoken") for k, n in (("score", "50k"), ("tokens", "multi_50k"))}
+    load = lambda p: tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                       mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p, "rb"))})
+    docs = frame([*odd_rows, (8, "<|endoftext|> é\u00a0日本", None, None, 1)])
+    got = token_ledger.with_counts(docs, paths, public_tokenizers.PATTERN).collect()
+    encoders = {k: load(p) for k, p in paths.items()}
+    want = Counter((r["doc_id"], *(len(e.encode_ordinary(r["text"] or "")) for e in encoders.values())) for r in docs.select("doc_id", "text").collect())
+    assert Counter((r["doc_id"], r["score"], r["tokens"]) for r in got) == want and "text" not in got[0].asDict()
+    assert token_ledger.with_counts(docs.limit(0), paths, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_totals_of_the_query(spark):
+    import base64
+
+    import tiktoken
+
+    from wavetable.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    one, two = (tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks={
+        base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"byte_bpe_{n}.tiktoken"), "rb"))}) for n in ("50k", "multi_50k"))
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if quality.get(r["doc_id"]) == 0:
+            continue
+        revised = r["doc_id"] in quality
+        total = want[r["source"], r["lang"], "byte_bpe_multi_50k" if revised else "byte_bpe_50k"]
+        total[0] += 1
+        total[1] += len((two if revised else one).encode_ordinary(r["text"] or ""))
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): [r["documents"], r["tokens"]] for r in QUERIES["op2_token_counts"](spark, sf).collect()}
+    assert got == dict(want)
+
+
 def test_ledger_has_one_winner(spark, tmp_path):
     """A writer that finds its batch taken when it is done leaves it as it is."""
     ledger = str(tmp_path / "ledger")

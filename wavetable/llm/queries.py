@@ -64,28 +64,43 @@ SELECT source, lang, CASE WHEN revised THEN 'words-2' ELSE 'words-1' END AS toke
        count(*)::BIGINT AS documents, sum(CASE WHEN revised THEN v2 ELSE v1 END)::BIGINT AS tokens
 FROM s WHERE NOT gone GROUP BY ALL
 """)
+def token_ledger_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger with two counters that SQL has too: words between white space, and these with the marks .,;:!?"""
+    texts = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    marks = F.length("text") - F.length(F.translate("text", ".,;:!?", ""))
+    return _ledger(spark, sf, texts.select("doc_id", "source", "lang", words.alias("v1"), (words + marks).alias("v2")), "words-1", "words-2")
+
+
+@query()
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document is inserted, labelled ones are counted anew by the second version, those of low quality are deleted.
+    """Every document is inserted with its tokens by one tokenizer, labelled ones are counted anew by another, those of low quality are deleted."""
+    import public_tokenizers as P
 
-    Both versions are word counters, as the SQL says, not tokenizers: words between white space, and these with the marks .,;:!?
-    """
+    from ..session import ship_package
+    from . import token_ledger as T
+    ship_package(spark)
+    files = {"v1": P.path("byte_bpe_50k.tiktoken"), "v2": P.path("byte_bpe_multi_50k.tiktoken")}
+    docs = T.with_counts(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), files, P.PATTERN)
+    return _ledger(spark, sf, docs, "byte_bpe_50k", "byte_bpe_multi_50k")
+
+
+def _ledger(spark: SparkSession, sf: str, counted: DataFrame, one: str, two: str) -> DataFrame:
+    """Totals after a load counted by ``v1``, a recount of labelled documents by ``v2`` that is sent twice, and deletes of low quality."""
     from ..session import shared_folder
     from . import token_ledger as T
     from .common import stored
-    texts = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    marks = F.length("text") - F.length(F.translate("text", ".,;:!?", ""))
     # texts are read once for both versions; joins move counts only
-    docs = stored(texts.select("doc_id", "source", "lang", words.alias("v1"), (words + marks).alias("v2")), "token-counts")
+    docs = stored(counted, "token-counts")
     v1, v2 = F.col("v1"), F.col("v2")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     labelled = docs.join(labels, "doc_id")
     ledger = f"{shared_folder(spark, 'ledger')}/batches"
-    T.commit(T.inserts(docs, v1, "words-1"), ledger, "0001-load")
-    revised = T.revisions(labelled, v1, "words-1", v2, "words-2")
+    T.commit(T.inserts(docs, v1, one), ledger, "0001-load")
+    revised = T.revisions(labelled, v1, one, v2, two)
     T.commit(revised, ledger, "0002-recount")
     T.commit(revised, ledger, "0002-recount")                          # sent twice: no effect
-    T.commit(T.deletes(labelled.where("quality = 0"), v2, "words-2"), ledger, "0003-delete")
+    T.commit(T.deletes(labelled.where("quality = 0"), v2, two), ledger, "0003-delete")
     return T.totals(spark, ledger)
 
 

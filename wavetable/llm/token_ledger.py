@@ -3,22 +3,64 @@
 A change is +1 document with its tokens for an insert, -1 for a delete, and a pair of both for a revised count. Each
 batch is summed by key first, written aside and committed by renaming its folder to its name, which fails if the name is
 taken: a batch that is sent again is skipped, of two writers of one batch one commits, and one that broke off leaves no trace in
-the totals. Totals are the sums over all committed batches, so the order of batches does not matter. A compacted ledger
+the totals. Totals are the sums over all committed batches, so the order of batches does not matter. Counts come from any column; ``with_counts`` makes them by byte-level tokenizers. A compacted ledger
 carries the names of the batches it holds, so these are skipped there too.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import slices
+
 KEYS = ("source", "lang", "tokenizer_version")
 FOLDED, COMPACTED = "folded-names", "compacted"
 
 
+_ENCODINGS: dict = {}
+
+
+def _encoding(path: str, pattern: str):
+    """A byte-level tokenizer from its file of ranks, kept for the life of the worker."""
+    if (path, pattern) not in _ENCODINGS:
+        import base64
+
+        import tiktoken
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _ENCODINGS[path, pattern] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[path, pattern]
+
+
+def with_counts(docs: DataFrame, tokenizers: dict[str, str], pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with one column of token counts for each entry of ``tokenizers`` (column: path of a file of ranks).
+
+    Names of special tokens in a text are ordinary text. A null or empty text has no tokens. A column that is called like a count is
+    replaced. One pass; each text is encoded once for each tokenizer.
+    """
+    names = [c for c in docs.columns if c not in (text, *tokenizers)]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias(text))
+    schema = source.drop(text).schema
+    for column in tokenizers:
+        schema = schema.add(column, "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encodings = [_encoding(path, pattern) for path in tokenizers.values()]
+        for batch in batches:
+            for part in slices(batch, len(names)):
+                texts = part.column(len(names)).to_pylist()
+                counts = [pa.array([len(e.encode_ordinary(t)) if t else 0 for t in texts], pa.int64()) for e in encodings]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], *counts], names=[*names, *tokenizers])
+
+    return source.mapInArrow(count, schema)
+
+
 def inserts(docs: DataFrame, tokens: Column, version: str, sign: int = 1) -> DataFrame:
     """Signed rows (source, lang, tokenizer_version, documents, tokens). Null tokens count as 0, null keys are a key."""
     return docs.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(sign).cast("long").alias("documents"),
