@@ -172,10 +172,12 @@ def _(spark, sf):
     return rounded(G.choose_segments(v, 40.0, 3), "segment_start_sec")
 
 
+#: Seconds from 1e9 up to 1e10 as Spark prints them: a digit, the further digits up to milliseconds without zeros at the end, E9.
+PRINTED = "regexp_replace(regexp_replace(substr(CAST(round(t * 1000) AS BIGINT)::VARCHAR, 1, 1) || '.' || substr(CAST(round(t * 1000) AS BIGINT)::VARCHAR, 2), '0+$', ''), '\\.$', '.0') || 'E9'"
 BY_BIN = f"""WITH RECURSIVE target AS (SELECT bin_id FROM analysis WHERE bin_id <> 0 GROUP BY bin_id ORDER BY count(*), bin_id LIMIT 3),
     v AS (SELECT scene_id, max(start_time_sec)::DOUBLE AS duration FROM analysis GROUP BY scene_id),
     cand AS (SELECT DISTINCT scene_id, start_time_sec::DOUBLE AS t FROM analysis JOIN target USING (bin_id)),
-    fit AS (SELECT scene_id, duration, t, row_number() OVER (PARTITION BY scene_id ORDER BY {drawn(42, 'scene_id', 'CAST(round(t * 1000) AS BIGINT)')}, t) AS rank
+    fit AS (SELECT scene_id, duration, t, row_number() OVER (PARTITION BY scene_id ORDER BY {drawn(42, 'scene_id', PRINTED)}, t) AS rank
         FROM cand JOIN v USING (scene_id) WHERE t + 86400 <= duration),
     taken AS (SELECT scene_id, duration, rank, [t] AS kept FROM fit WHERE rank = 1 UNION ALL SELECT f.scene_id, f.duration, f.rank,
         CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: abs(k - f.t) < 86400)) = 0 THEN list_append(kept, f.t) ELSE kept END
